@@ -40,16 +40,18 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     n = F.size("_pl_words")
     grams = F.when(n >= 3, F.transform(F.slice("_pl_words", F.lit(1), F.greatest(n - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get("_pl_words", i + 1), F.get("_pl_words", i + 2)))).otherwise(F.array().cast("array<bigint>"))
     listed = sorted({w for ws in COMMON_WORDS.values() for w in ws})
-    df = df.withColumn("_pl_grams", grams).withColumn("_pl_lines", lines).withColumn("_pl_common", F.filter("_pl_words", lambda w: w.isin(listed)))
+    df = df.withColumn("_pl_grams", grams).withColumn("_pl_lines", lines)
+    # The common words in one string, a space on either side of each, so that each is counted by taking it out.
+    df = df.withColumn("_pl_joined", F.concat(F.lit(" "), F.array_join(F.filter("_pl_words", lambda w: w.isin(listed)), "  "), F.lit(" ")))
     df = df.select(
         *keep,
         F.col("_pl_grams"),
         n.cast("long").alias("n_words"),
-        (left[0] - left[1] * 0 - (left[1] - left[2])).cast("long").alias("word_chars"),
+        (left[0] - (left[1] - left[2])).cast("long").alias("word_chars"),
         counts[5].alias("n_symbols"),
         (F.size("_pl_lines") - F.size(F.array_distinct("_pl_lines"))).cast("long").alias("n_dup_lines"),
         F.array(*counts).alias("class_counts"),
-        F.array(*[(F.size("_pl_common") - F.size(F.array_remove("_pl_common", w))).cast("long") for w in listed]).alias("common_counts"),
+        F.array(*[F.floor((F.octet_length("_pl_joined") - F.octet_length(F.replace("_pl_joined", F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("long") for w in listed]).alias("common_counts"),
         (F.size(F.array_distinct("_pl_grams")) < F.size("_pl_grams")).alias("_pl_again"),
     )
     pairs = F.when(F.col("_pl_again"), F.array_sort(F.transform("_pl_grams", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
