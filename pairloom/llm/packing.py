@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -15,7 +16,7 @@ from .textkit import cut, tune
 EOS = 2
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Most distinct words whose ids a worker keeps.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 #: Characters that Python takes for spaces and the tokenizer does not.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -24,32 +25,55 @@ class WordTokenizer:
     """Ids of a text as little-endian unsigned 32-bit bytes.
 
     The vocabulary file drops white space and never joins characters across it, so the ids of
-    a text are those of its space-separated parts, end to end; the ids of the parts are kept.
+    a text are those of its space-separated parts, end to end.  The ids of parts are kept in
+    two generations.  New parts are encoded together, a special token between any two.
     """
 
-    def __init__(self, vocabulary: str):
-        import os
+    _open: dict[str, WordTokenizer] = {}
 
+    def __init__(self, vocabulary: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(vocabulary)
-        self._known: dict[str, bytes] = {}
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self._tok.encode_batch_fast(parts, add_special_tokens=False)]
+        self._mark = "<|startoftext|>"
+        self._mark_id = self._tok.token_to_id(self._mark)
+        self._new: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+
+    @classmethod
+    def of(cls, vocabulary: str) -> WordTokenizer:
+        """One for each worker process, whatever the number of its tasks."""
+        if vocabulary not in cls._open:
+            cls._open[vocabulary] = cls(vocabulary)
+        return cls._open[vocabulary]
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.asarray(self._tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, parts: list[str]) -> None:
+        plain = [p for p in parts if "<|" not in p]
+        for p in parts:
+            if "<|" in p:
+                self._new[p] = self._encode(p).tobytes()
+        for lo in range(0, len(plain), 512):
+            group = plain[lo : lo + 512]
+            ids = self._encode(self._mark.join(group))
+            marks = np.flatnonzero(ids == self._mark_id).tolist()
+            data = ids.tobytes()
+            self._new.update((p, data[4 * (a + 1) : 4 * b]) for p, a, b in zip(group, [-1, *marks], [*marks, len(ids)], strict=True))
 
     def batch(self, texts: list[str | None]) -> Iterator[bytes]:
-        known = self._known
-        if len(known) > CACHE_WORDS:
-            known.clear()
         for lo in range(0, len(texts), 64):
+            if len(self._new) > CACHE_WORDS:
+                self._old, self._new = self._new, {}
+            known, old = self._new, self._old
             split = [None if t and any(c in t for c in _ODD) else (t or "").split() for t in texts[lo : lo + 64]]
-            new = list({w for s in split if s for w in s if w not in known})
-            for a in range(0, len(new), 4096):
-                known.update(zip(new[a : a + 4096], self._encode(new[a : a + 4096]), strict=True))
+            fresh = {w for s in split if s for w in s}.difference(known)
+            known.update({w: old[w] for w in fresh if w in old})
+            self._learn([w for w in fresh if w not in old])
             for s, t in zip(split, texts[lo : lo + 64], strict=True):
-                yield self._encode([t])[0] if s is None else b"".join([known[w] for w in s])
+                yield self._encode(t).tobytes() if s is None else b"".join([known[w] for w in s])
 
 
 def pieces(docs: DataFrame, vocabulary: str | None = None, length: int = 4096, with_ids: bool = False) -> DataFrame:
@@ -65,7 +89,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, length: int = 4096, w
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        tok = WordTokenizer(vocabulary or public_tokenizers.path("word_bpe_49k.json"))
+        tok = WordTokenizer.of(vocabulary or public_tokenizers.path("word_bpe_49k.json"))
         eos = np.asarray([EOS], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
