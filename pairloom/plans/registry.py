@@ -5,6 +5,132 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import pairs as P
+from ..operators import review as R
+from ..sources import TABLES, table
+from .portable import PORTABLE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("owner"), "lang", F.explode(F.array_distinct(T.tokens(F.coalesce("text", F.lit(""))))).alias("key"))
+
+
+_KEYS_SQL = """
+k AS (SELECT DISTINCT doc_id AS owner, lang, key FROM (SELECT doc_id, lang, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-zà-ÿ]+')) AS key FROM documents) WHERE length(key) >= 4),
+n AS (SELECT count(DISTINCT owner) AS n FROM k),
+spec AS (SELECT key, count(*) AS df, round(1 - ln(count(*)) / ln((SELECT n FROM n)), 6) AS specificity FROM k GROUP BY key)"""
+
+
+@query(f"""WITH {_KEYS_SQL},
+p AS (SELECT k.owner, k.lang, k.key, s.specificity FROM k JOIN spec s ON k.key = s.key WHERE s.df BETWEEN 2 AND 30)
+SELECT i, j, count(*) AS shared, max(specificity) AS score, substr(md5(i || '|' || j), 1, 16) AS pair
+FROM (SELECT a.owner AS i, b.owner AS j, a.specificity FROM p a JOIN p b ON a.key = b.key AND a.owner < b.owner AND a.lang <> b.lang)
+GROUP BY i, j ORDER BY score DESC, pair LIMIT 20""")
+def related_pairs_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.top_pairs(P.inverted_index_pairs(_keys(spark, sf_dir), "lang", most=30), 20)
+
+
+@query(f"WITH {_KEYS_SQL} SELECT key, df, specificity FROM spec")
+def key_specificity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.key_specificity(_keys(spark, sf_dir))
+
+
+@query(f"""WITH {_KEYS_SQL}, p AS (SELECT k.owner, k.key, s.specificity FROM k JOIN spec s ON k.key = s.key WHERE s.df BETWEEN 2 AND 12)
+SELECT a.owner AS i, b.owner AS j, count(*) AS shared, max(a.specificity) AS score FROM p a JOIN p b ON a.key = b.key AND a.owner < b.owner GROUP BY a.owner, b.owner""")
+def inverted_index_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.inverted_index_pairs(_keys(spark, sf_dir), most=12)
+
+
+_COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))"
+
+
+@query(f"""SELECT * FROM (SELECT a.vec_id AS i, b.vec_id AS j, round({_COS}, 6) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.label <> b.label) WHERE sim >= 0.3""")
+def all_pairs_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.floor_pairs(table(spark, sf_dir, "embeddings"), 0.3)
+
+
+@query(f"""WITH s AS (SELECT a.vec_id AS i, b.vec_id AS j, a.label = b.label AS same, round({_COS}, 9) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY i, same ORDER BY sim DESC, j) AS INTEGER) AS rank FROM s)
+SELECT i, j, same, rank FROM r WHERE rank <= CASE WHEN same THEN 3 ELSE 8 END AND sim > 0""")
+def knn_two_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.knn_two_budgets(table(spark, sf_dir, "embeddings"), 3, 8).select("i", "j", "same", "rank")
+
+
+@query(f"""WITH {_KEYS_SQL}, u AS (SELECT k.owner, k.key, s.specificity AS weight FROM k JOIN spec s ON k.key = s.key WHERE s.df BETWEEN 2 AND 8),
+b AS (SELECT a.owner AS i, b.owner AS j, a.key AS unit, least(a.weight, b.weight) AS w FROM u a JOIN u b ON a.key = b.key AND a.owner < b.owner)
+SELECT i, j, unit, w FROM (SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY w DESC, unit) AS r FROM b) WHERE r = 1""")
+def best_unit_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = _keys(spark, sf_dir)
+    spec = P.key_specificity(keys).filter("df between 2 and 8")
+    return P.best_unit_pair(keys.select("owner", "key").join(spec, "key").withColumn("weight", F.col("specificity")))
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events)
+SELECT user_id, event_id, event_type FROM r WHERE r = 1 AND event_type <> 'error'""")
+def latest_decision_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = R.latest_state(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", F.col("event_type") == "error")
+    return out.select("user_id", "event_id", "event_type")
+
+
+@query("""WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('s' || doc_id), doc_id) AS r, count(*) OVER (PARTITION BY source) AS size FROM documents)
+SELECT doc_id, source, size, round(least(1.0, 5.0 / size), 6) AS probability FROM r WHERE r <= 5""")
+def hash_stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return R.stratified_sample(docs, "source", "doc_id", 5).select("doc_id", "source", "size", "probability")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'new' ELSE o_orderstatus END AS verdict FROM orders""")
+def cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("verdict"))
+    return R.cache_upsert(old, old.filter("o_orderkey % 10 = 0").withColumn("verdict", F.lit("new")), "o_orderkey")
+
+
+@query()
+def greedy_budget_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.greedy_budget_cap(P.inverted_index_pairs(_keys(spark, sf_dir), "lang", most=12), 200, 3, 0.5)
+
+
+_PHRASES = ["binnen 24 uur nadat", "uiterlijk drie dagen", "onverwijld", "zo spoedig mogelijk", "binnen 72 uur en binnen 4 weken", "", "20 000 000 EUR", "20 000 000 EUR", "€ 1.000.000,-", "10,5 euro", "2 % van de totale wereldwijde jaaromzet", "betrouwbaarheidsniveau hoog"]
+
+
+@query("""SELECT * FROM (VALUES ('binnen 24 uur nadat', 24.0::DOUBLE, 'hour'), ('uiterlijk drie dagen', 3.0, 'day'), ('onverwijld', NULL, 'undelayed'), ('zo spoedig mogelijk', NULL, 'undelayed'), ('binnen 72 uur en binnen 4 weken', 72.0, 'hour')) t(phrase, value, unit)""")
+def deadline_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(p,) for p in _PHRASES], "phrase string").withColumn("d", T.deadline(F.col("phrase")))
+    return rows.filter("d is not null").select("phrase", "d.value", "d.unit")
+
+
+@query("""SELECT * FROM (VALUES ('20 000 000 EUR', 20000000.0::DOUBLE, 'eur'), ('20 000 000 EUR', 20000000.0, 'eur'), ('€ 1.000.000,-', 1000000.0, 'eur'), ('10,5 euro', 10.5, 'eur'), ('2 % van de totale wereldwijde jaaromzet', 2.0, 'percent')) t(phrase, value, kind)""")
+def amount_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(p,) for p in _PHRASES], "phrase string").withColumn("a", T.amount(F.col("phrase")))
+    return rows.filter("a is not null").select("phrase", "a.value", "a.kind")
+
+
+def _portable(name: str, sql: str, oracle: str | None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        used = {t: table(spark, sf_dir, t) for t in TABLES if f"{{{t}}}" in sql}
+        return spark.sql(sql, **used)
+
+    run.__name__ = name
+    QUERIES[name] = run
+    ORACLES[name] = (oracle or sql).replace("{", "").replace("}", "")
+
+
+for _name, (_sql, _oracle) in PORTABLE.items():
+    _portable(_name, _sql, _oracle)
