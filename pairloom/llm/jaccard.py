@@ -24,7 +24,11 @@ from .textkit import Words, cut, mix, signed, tokenize, tune, windows
 
 #: Most frequent words that give the order of the pivots, and rows of a table that is broadcast.
 ORDER_WORDS, BROADCAST_ROWS = 1 << 20, 1_000_000
+#: Rounds of pivots at most, and open pairs for a member of a region below which no more are needed.
+ROUNDS, OPEN_PAIRS = 3, 8
 _EMPTY = 0
+#: Parities of a set's shingles over 256 buckets, in four longs.
+SIGNS = ["g0", "g1", "g2", "g3"]
 
 
 def _sets(words: Words, shingle: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -45,7 +49,7 @@ def _profile(shingle: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_seen, known, counts, fresh = 0, np.zeros(0, np.uint64), np.zeros(0, np.int64), []
-        names = ["kind", "a", "b", "n", "s"]
+        names = ["kind", "a", "b", "n", "s", *SIGNS]
 
         def merge(known, counts, fresh):
             v, c = np.unique(np.concatenate(fresh), return_counts=True) if fresh else (known[:0], counts[:0])
@@ -58,10 +62,13 @@ def _profile(shingle: int):
         for batch in batches:
             words = tokenize(batch.column(2), lower=True)
             n, s = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.uint64)
+            signs = np.zeros((batch.num_rows, 4), np.uint64)
             for i, hashes, _ in _sets(words, shingle):
                 n[i] = len(hashes)
+                odd = np.bincount((mix(hashes) >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+                signs[i] = np.packbits(odd.astype(np.uint8)).view(np.uint64)
                 s[i] = mix(np.array([mix(hashes ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64) + np.uint64(len(hashes))]))[0] if len(hashes) else _EMPTY
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), batch.column(1), pa.array(n), pa.array(signed(s))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), batch.column(1), pa.array(n), pa.array(signed(s)), *[pa.array(signed(np.ascontiguousarray(g))) for g in signs.T]], names=names)
             fresh.append(words.hashes)
             words_seen += len(words.hashes)
             if sum(map(len, fresh)) > 2_000_000:
@@ -70,13 +77,13 @@ def _profile(shingle: int):
         known, counts = merge(known, counts, fresh)
         on = counts >= max(2, words_seen // 1_000_000)
         k = int(on.sum())
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(signed(known[on])), pa.array(np.zeros(k, np.int64)), pa.array(counts[on]), pa.array(np.zeros(k, np.int64))], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(signed(known[on])), pa.array(np.zeros(k, np.int64)), pa.array(counts[on]), *[pa.array(np.zeros(k, np.int64))] * 5], names=names)
 
     return run
 
 
 def _regions(shingle: int, percent: int, shared):
-    """(cell, c, n): each set's first pivots in the global order, floor(r n) + 1 of them."""
+    """(cell, c, n, pos): each set's first pivots in the global order, floor(r n) + 1 of them, and their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, level = shared.value
@@ -87,7 +94,7 @@ def _regions(shingle: int, percent: int, shared):
                 at = np.minimum(np.searchsorted(table, words.hashes), len(table) - 1)
                 grade = np.where(table[at] == words.hashes, level[at], 0)
             # A shingle is as rare as its rarest word.
-            cells, own, size = [], [], []
+            cells, own, size, place = [], [], [], []
             for i, hashes, first in _sets(words, shingle):
                 n = len(hashes)
                 if not n:
@@ -101,8 +108,9 @@ def _regions(shingle: int, percent: int, shared):
                 cells.append(hashes[order])
                 own.append(np.full(len(order), mix(np.array([mix(hashes ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64) + np.uint64(n)]))[0]))
                 size.append(np.full(len(order), n, np.int64))
+                place.append(np.arange(len(order)))
             cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(cat(cells))), pa.array(signed(cat(own))), pa.array(cat(size).astype(np.int64))], names=["cell", "c", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(cat(cells))), pa.array(signed(cat(own))), pa.array(cat(size).astype(np.int64)), pa.array(cat(place).astype(np.int64))], names=["cell", "c", "n", "pos"])
 
     return run
 
@@ -175,7 +183,7 @@ def linked_sets(docs: DataFrame, shingle: int = 4, percent: int = 85) -> tuple[D
     spark = docs.sparkSession
     tune(spark)
     rows = _rows(docs)
-    profile = cut(rows.select("o", "tag", "text").mapInArrow(_profile(shingle), "kind int, a long, b long, n long, s long"))
+    profile = cut(rows.select("o", "tag", "text").mapInArrow(_profile(shingle), "kind int, a long, b long, n long, s long, " + ", ".join(f"{g} long" for g in SIGNS)))
     members = profile.filter("kind = 0").select(F.col("a").alias("o"), F.col("b").alias("tag"), "n", F.col("s").alias("c"))
     table = profile.filter("kind = 1").groupBy(F.col("a").alias("h")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(ORDER_WORDS).toArrow()
     hashes = table.column("h").to_numpy().view(np.uint64)
@@ -183,29 +191,61 @@ def linked_sets(docs: DataFrame, shingle: int = 4, percent: int = 85) -> tuple[D
     level = (np.log2(np.maximum(table.column("n").to_numpy(), 1)) * 2).astype(np.int64)[order] + 1
     shared = spark.sparkContext.broadcast((hashes[order], level))  # at most ORDER_WORDS entries
     classes = members.filter("n > 0").groupBy("c").agg(F.min(F.struct("o", "tag")).alias("first"))
-    regions = rows.mapInArrow(_regions(shingle, percent, shared), "cell long, c long, n long")
+    signs = profile.filter("kind = 0 and n > 0").groupBy(F.col("s").alias("c")).agg(*[F.first(g).alias(g) for g in SIGNS])
+    regions = rows.mapInArrow(_regions(shingle, percent, shared), "cell long, c long, n long, pos long")
     cells = regions.groupBy("cell").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("cell", F.col("lo").alias("pivot"))
     # Only regions of two sets and more go on; copies of a set are one member.
-    multi = cut(regions.join(cells, "cell").groupBy("cell", "c").agg(F.first("n").alias("n"), F.first("pivot").alias("pivot")))
-    near = lambda a, b: (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
-    # First all members of a region against its pivot, where the sizes leave a link open.
-    at = multi.filter("c = pivot").select("cell", F.col("n").alias("np"))
-    star = multi.filter("c <> pivot").join(at, "cell").filter(near("n", "np")).select(F.col("c").alias("x"), F.col("pivot").alias("y")).distinct()
-    first = _verify(cut(star), rows, classes, shingle)
+    multi = cut(regions.join(cells, "cell").groupBy("cell", "c").agg(F.first("n").alias("n"), F.first("pos").alias("pos"), F.first("pivot").alias("pivot")).join(signs, "c"))
+    # What two sets have in common starts at the first region they share, so in that one each must
+    # have as many pivots left as a link needs; all linked pairs meet there, and the rest need not meet.
+    left = lambda n, pos, m: (F.col(n) - F.col(pos)) * (100 + percent) >= (F.col(n) + F.col(m)) * percent
+    # Each bit in which the parities of two sets' counts over 256 buckets differ is a shingle that one lacks.
+    odd = lambda e, f: sum((F.bit_count(F.col(g + e).bitwiseXOR(F.col(g + f))) for g in SIGNS[1:]), F.bit_count(F.col(SIGNS[0] + e).bitwiseXOR(F.col(SIGNS[0] + f))))
+    near = lambda n, m, at, to, e, f: left(n, at, m) & left(m, to, n) & (odd(e, f) * (100 + percent) <= (F.col(n) + F.col(m)) * (100 - percent))
     is_link = F.col("common") * 100 >= (F.col("nx") + F.col("ny") - F.col("common")) * percent
-    links = first.filter(is_link).select("x", "y")
-    root = components(links)
-    # Then pairs that are apart so far and that the triangle inequality over the pivot leaves open.
-    away = first.select(F.col("x").alias("c"), F.col("y").alias("pivot"), (1 - F.col("common") / (F.col("nx") + F.col("ny") - F.col("common"))).alias("d"))
-    state = multi.join(root, "c", "left").withColumn("root", F.coalesce("root", "c")).join(away, ["c", "pivot"], "left")
+    distance = 1 - F.col("common") / (F.col("nx") + F.col("ny") - F.col("common"))
+    state = multi.withColumn("root", F.col("c"))
+    links, measured = None, []
+    for turn in range(ROUNDS):
+        # All members of a region against its pivot, where the sizes leave a link open and none is known.
+        if turn:
+            tall = state.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("cell").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("k2"))
+            tall = cut(tall.filter("k * k > k2"))
+            sums = tall.agg(F.sum("k").alias("rows"), F.sum((F.col("k") * F.col("k") - F.col("k2")) / 2).alias("pairs")).first()
+            if not sums["rows"] or sums["pairs"] <= OPEN_PAIRS * sums["rows"]:
+                break
+            by = F.struct(F.xxhash64("c", F.lit(turn)).alias("h"), "c", "n", "pos", "root", *SIGNS)
+            pivots = state.join(tall.select("cell"), "cell").groupBy("cell").agg(F.min(by).alias("p")).select("cell", F.col("p.c").alias(f"p{turn}"), F.col("p.n").alias("np"), F.col("p.pos").alias("pp"), F.col("p.root").alias("rp"), *[F.col(f"p.{g}").alias(f"{g}p") for g in SIGNS])
+        else:
+            pivots = multi.filter("c = pivot").select("cell", F.col("c").alias("p0"), F.col("n").alias("np"), F.col("pos").alias("pp"), F.col("c").alias("rp"), *[F.col(g).alias(f"{g}p") for g in SIGNS])
+        pivot = f"p{turn}"
+        star = state.join(pivots, "cell").filter((F.col("root") != F.col("rp")) & near("n", "np", "pos", "pp", "", "p"))
+        pairs = star.select(F.least("c", pivot).alias("x"), F.greatest("c", pivot).alias("y")).distinct()
+        for done in measured:
+            pairs = pairs.join(done.select("x", "y"), ["x", "y"], "left_anti")
+        found = _verify(cut(pairs), rows, classes, shingle)
+        measured.append(found)
+        new = found.filter(is_link).select("x", "y")
+        links = new if links is None else links.union(new)
+        root = components(links)
+        both = found.select(F.col("x").alias("c"), F.col("y").alias(pivot), distance.alias(f"d{turn}"))
+        both = both.union(found.select("y", "x", distance))
+        state = state.drop("root").join(pivots.select("cell", pivot), "cell", "left").join(both, ["c", pivot], "left").join(root, "c", "left").withColumn("root", F.coalesce("root", "c"))
+        state = cut(state)
+    # Then the pairs that are apart so far and that the triangle inequality over all pivots leaves open.
+    turns = [c[1:] for c in state.columns if c[0] == "d" and c[1:].isdigit()]
     split = state.groupBy("cell").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("cell")
-    open_ = cut(state.join(split, "cell").filter("c <> pivot").select("cell", "c", "n", "root", "d"))
-    a, b = (open_.select("cell", *[F.col(k).alias(k + e) for k in ("c", "n", "root", "d")]) for e in ("x", "y"))
+    open_ = cut(state.join(split, "cell").select("cell", "c", "n", "pos", "root", *SIGNS, *[f"d{t}" for t in turns]))
+    a, b = (open_.select("cell", *[F.col(k).alias(k + e) for k in ("c", "n", "pos", "root", *SIGNS, *[f"d{t}" for t in turns])]) for e in ("x", "y"))
     radius = 1 - percent / 100 + 1e-9
-    pairs = a.join(b, "cell").filter((F.col("cx") < F.col("cy")) & (F.col("rootx") != F.col("rooty")) & near("nx", "ny") & (F.coalesce(F.abs(F.col("dx") - F.col("dy")), F.lit(0.0)) <= radius))
-    second = _verify(cut(pairs.select(F.col("cx").alias("x"), F.col("cy").alias("y")).distinct()), rows, classes, shingle)
-    more = second.filter(is_link).select("x", "y")
-    return members, links.union(more), classes
+    admitted = (F.col("cx") < F.col("cy")) & (F.col("rootx") != F.col("rooty")) & near("nx", "ny", "posx", "posy", "x", "y")
+    for t in turns:
+        admitted &= F.coalesce(F.abs(F.col(f"d{t}x") - F.col(f"d{t}y")), F.lit(0.0)) <= radius
+    pairs = a.join(b, "cell").filter(admitted).select(F.col("cx").alias("x"), F.col("cy").alias("y")).distinct()
+    for done in measured:
+        pairs = pairs.join(done.select("x", "y"), ["x", "y"], "left_anti")
+    last = _verify(cut(pairs), rows, classes, shingle)
+    return members, links.union(last.filter(is_link).select("x", "y")), classes
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFrame:
