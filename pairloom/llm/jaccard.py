@@ -142,11 +142,17 @@ def _measure(shingle: int):
     return run
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(c, root): the least node that links reach, for all nodes of edges (x, y); large-star, small-star."""
+def _is_star(stars: DataFrame) -> bool:
+    """Whether each u has one v and no u is a v of another."""
+    ends = stars.select(F.col("u").alias("k"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(stars.select("v", F.lit(0), F.lit(1)))
+    sums = ends.groupBy("k").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return sums.agg(F.count(F.when(F.col("below") + F.col("above") > 1, 1))).first()[0] == 0
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(c, root): the least node that links reach, for all nodes of edges (x, y) but the least; large-star, small-star."""
     stars = cut(edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).filter("u <> v").distinct())
-    last = None
-    for _ in range(rounds):
+    while not _is_star(stars):
         # Large star: the greater neighbours of a node go to the least of its neighbourhood.
         both = stars.union(stars.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -155,11 +161,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         stars = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
-        now = stars.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
-        if (now["n"], now["h"]) == last:
-            break
-        last = (now["n"], now["h"])
-    return stars.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("root"))
+    return stars.select(F.col("u").alias("c"), F.col("v").alias("root"))
+
+
+def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components of roots after more links, found between their roots alone."""
+    if roots is None:
+        return components(links)
+    of = lambda k: roots.select(F.col("c").alias(k), F.col("root").alias(f"r{k}"))
+    met = links.join(of("x"), "x", "left").join(of("y"), "y", "left")
+    step = components(met.select(F.coalesce("rx", "x").alias("x"), F.coalesce("ry", "y").alias("y")))
+    moved = roots.join(step.select(F.col("c").alias("root"), F.col("root").alias("to")), "root", "left")
+    return cut(moved.select("c", F.coalesce("to", "root").alias("root")).union(step))
 
 
 def _texts(rows: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
@@ -179,7 +192,7 @@ def _verify(pairs: DataFrame, rows: DataFrame, classes: DataFrame, shingle: int)
 
 
 def linked_sets(docs: DataFrame, shingle: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents: o, tag, n, c), (links between distinct sets: x, y), (classes: c, first)."""
+    """(documents: o, tag, n, c), (the least set that links reach, for linked sets but the least: c, root), (classes: c, first)."""
     spark = docs.sparkSession
     tune(spark)
     rows = _rows(docs)
@@ -205,7 +218,7 @@ def linked_sets(docs: DataFrame, shingle: int = 4, percent: int = 85) -> tuple[D
     is_link = F.col("common") * 100 >= (F.col("nx") + F.col("ny") - F.col("common")) * percent
     distance = 1 - F.col("common") / (F.col("nx") + F.col("ny") - F.col("common"))
     state = multi.withColumn("root", F.col("c"))
-    links, measured = None, []
+    roots, measured = None, []
     for turn in range(ROUNDS):
         # All members of a region against its pivot, where the sizes leave a link open and none is known.
         if turn:
@@ -225,12 +238,10 @@ def linked_sets(docs: DataFrame, shingle: int = 4, percent: int = 85) -> tuple[D
             pairs = pairs.join(done.select("x", "y"), ["x", "y"], "left_anti")
         found = _verify(cut(pairs), rows, classes, shingle)
         measured.append(found)
-        new = found.filter(is_link).select("x", "y")
-        links = new if links is None else links.union(new)
-        root = components(links)
+        roots = _joined(roots, found.filter(is_link).select("x", "y"))
         both = found.select(F.col("x").alias("c"), F.col("y").alias(pivot), distance.alias(f"d{turn}"))
         both = both.union(found.select("y", "x", distance))
-        state = state.drop("root").join(pivots.select("cell", pivot), "cell", "left").join(both, ["c", pivot], "left").join(root, "c", "left").withColumn("root", F.coalesce("root", "c"))
+        state = state.drop("root").join(pivots.select("cell", pivot), "cell", "left").join(both, ["c", pivot], "left").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
         state = cut(state)
     # Then the pairs that are apart so far and that the triangle inequality over all pivots leaves open.
     turns = [c[1:] for c in state.columns if c[0] == "d" and c[1:].isdigit()]
@@ -245,7 +256,7 @@ def linked_sets(docs: DataFrame, shingle: int = 4, percent: int = 85) -> tuple[D
     for done in measured:
         pairs = pairs.join(done.select("x", "y"), ["x", "y"], "left_anti")
     last = _verify(cut(pairs), rows, classes, shingle)
-    return members, links.union(last.filter(is_link).select("x", "y")), classes
+    return members, _joined(roots, last.filter(is_link).select("x", "y")), classes
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFrame:
@@ -260,9 +271,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 85) -> Dat
     others and is null as a component if it is alone; rows alike in doc_id are nodes of their
     own by text.  Other columns are left out.
     """
-    members, links, classes = linked_sets(docs, shingle, percent)
-    root = components(links)
-    heads = classes.join(root, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    members, roots, classes = linked_sets(docs, shingle, percent)
+    heads = classes.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = heads.groupBy("root").agg(F.min("first.o").alias("id"))
     of = heads.join(least, "root").select("c", "id")
     out = members.join(of, "c", "left").withColumn("id", F.when(F.col("n") > 0, F.col("id")).otherwise(F.col("o")))
