@@ -6,8 +6,8 @@ lies at 1 - 1/n from each shingle it has and at 1 from any other, its nearest pi
 first of its own in one global order (rare words first), and a partner within the radius r
 can miss so few of them that it shares one of the document's first floor(r n) + 1.  Those are
 the regions a document is put into, its own and, as a boundary document, the next.  Within a
-region a document is the pivot: all are measured against it, and a pair is measured only if
-the triangle inequality over that pivot leaves it open and the two are not linked already.
+region documents are the pivots: all are measured against them, and a pair is measured only if
+the triangle inequality over the first pivot of each round leaves it open and the two are not linked already.
 """
 
 from __future__ import annotations
@@ -24,11 +24,12 @@ from .textkit import Words, cut, mix, signed, tokenize, tune, windows
 
 #: Most frequent words that give the order of the pivots, and rows of a table that is broadcast.
 ORDER_WORDS, BROADCAST_ROWS = 1 << 20, 1_000_000
-#: Rounds of pivots at most, and open pairs for a member of a region below which no more are needed.
-ROUNDS, OPEN_PAIRS = 3, 8
+#: Rounds of pivots at most, pivots of a region in a round, and open pairs for a member of a
+#: region below which no more rounds are needed.
+ROUNDS, PIVOTS, OPEN_PAIRS = 3, 8, 2
 _EMPTY = 0
-#: Parities of a set's shingles over 256 buckets, in four longs.
-SIGNS = ["g0", "g1", "g2", "g3"]
+#: Parities of a set's shingles over 1024 buckets, in sixteen longs.
+SIGNS = [f"g{i}" for i in range(16)]
 
 
 def _sets(words: Words, shingle: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -62,10 +63,10 @@ def _profile(shingle: int):
         for batch in batches:
             words = tokenize(batch.column(2), lower=True)
             n, s = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.uint64)
-            signs = np.zeros((batch.num_rows, 4), np.uint64)
+            signs = np.zeros((batch.num_rows, len(SIGNS)), np.uint64)
             for i, hashes, _ in _sets(words, shingle):
                 n[i] = len(hashes)
-                odd = np.bincount((mix(hashes) >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+                odd = np.bincount((mix(hashes) >> np.uint64(54)).astype(np.int64), minlength=64 * len(SIGNS)) & 1
                 signs[i] = np.packbits(odd.astype(np.uint8)).view(np.uint64)
                 s[i] = mix(np.array([mix(hashes ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64) + np.uint64(len(hashes))]))[0] if len(hashes) else _EMPTY
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), batch.column(1), pa.array(n), pa.array(signed(s)), *[pa.array(signed(np.ascontiguousarray(g))) for g in signs.T]], names=names)
@@ -77,7 +78,7 @@ def _profile(shingle: int):
         known, counts = merge(known, counts, fresh)
         on = counts >= max(2, words_seen // 1_000_000)
         k = int(on.sum())
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(signed(known[on])), pa.array(np.zeros(k, np.int64)), pa.array(counts[on]), *[pa.array(np.zeros(k, np.int64))] * 5], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(signed(known[on])), pa.array(np.zeros(k, np.int64)), pa.array(counts[on]), *[pa.array(np.zeros(k, np.int64))] * (1 + len(SIGNS))], names=names)
 
     return run
 
@@ -212,7 +213,7 @@ def linked_sets(docs: DataFrame, shingle: int = 4, percent: int = 85) -> tuple[D
     # What two sets have in common starts at the first region they share, so in that one each must
     # have as many pivots left as a link needs; all linked pairs meet there, and the rest need not meet.
     left = lambda n, pos, m: (F.col(n) - F.col(pos)) * (100 + percent) >= (F.col(n) + F.col(m)) * percent
-    # Each bit in which the parities of two sets' counts over 256 buckets differ is a shingle that one lacks.
+    # Each bit in which the parities of two sets' counts over 1024 buckets differ is a shingle that one lacks.
     odd = lambda e, f: sum((F.bit_count(F.col(g + e).bitwiseXOR(F.col(g + f))) for g in SIGNS[1:]), F.bit_count(F.col(SIGNS[0] + e).bitwiseXOR(F.col(SIGNS[0] + f))))
     near = lambda n, m, at, to, e, f: left(n, at, m) & left(m, to, n) & (odd(e, f) * (100 + percent) <= (F.col(n) + F.col(m)) * (100 - percent))
     is_link = F.col("common") * 100 >= (F.col("nx") + F.col("ny") - F.col("common")) * percent
@@ -228,9 +229,10 @@ def linked_sets(docs: DataFrame, shingle: int = 4, percent: int = 85) -> tuple[D
             if not sums["rows"] or sums["pairs"] <= OPEN_PAIRS * sums["rows"]:
                 break
             by = F.struct(F.xxhash64("c", F.lit(turn)).alias("h"), "c", "n", "pos", "root", *SIGNS)
-            pivots = state.join(tall.select("cell"), "cell").groupBy("cell").agg(F.min(by).alias("p")).select("cell", F.col("p.c").alias(f"p{turn}"), F.col("p.n").alias("np"), F.col("p.pos").alias("pp"), F.col("p.root").alias("rp"), *[F.col(f"p.{g}").alias(f"{g}p") for g in SIGNS])
+            slot = F.pmod(F.xxhash64("c", F.lit(-turn)), F.lit(PIVOTS)).cast("int")
+            pivots = state.join(tall.select("cell"), "cell").groupBy("cell", slot.alias("slot")).agg(F.min(by).alias("p")).select("cell", "slot", F.col("p.c").alias(f"p{turn}"), F.col("p.n").alias("np"), F.col("p.pos").alias("pp"), F.col("p.root").alias("rp"), *[F.col(f"p.{g}").alias(f"{g}p") for g in SIGNS])
         else:
-            pivots = multi.filter("c = pivot").select("cell", F.col("c").alias("p0"), F.col("n").alias("np"), F.col("pos").alias("pp"), F.col("c").alias("rp"), *[F.col(g).alias(f"{g}p") for g in SIGNS])
+            pivots = multi.filter("c = pivot").select("cell", F.lit(0).alias("slot"), F.col("c").alias("p0"), F.col("n").alias("np"), F.col("pos").alias("pp"), F.col("c").alias("rp"), *[F.col(g).alias(f"{g}p") for g in SIGNS])
         pivot = f"p{turn}"
         star = state.join(pivots, "cell").filter((F.col("root") != F.col("rp")) & near("n", "np", "pos", "pp", "", "p"))
         pairs = star.select(F.least("c", pivot).alias("x"), F.greatest("c", pivot).alias("y")).distinct()
@@ -241,7 +243,7 @@ def linked_sets(docs: DataFrame, shingle: int = 4, percent: int = 85) -> tuple[D
         roots = _joined(roots, found.filter(is_link).select("x", "y"))
         both = found.select(F.col("x").alias("c"), F.col("y").alias(pivot), distance.alias(f"d{turn}"))
         both = both.union(found.select("y", "x", distance))
-        state = state.drop("root").join(pivots.select("cell", pivot), "cell", "left").join(both, ["c", pivot], "left").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
+        state = state.drop("root").join(pivots.filter("slot = 0").select("cell", pivot), "cell", "left").join(both, ["c", pivot], "left").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
         state = cut(state)
     # Then the pairs that are apart so far and that the triangle inequality over all pivots leaves open.
     turns = [c[1:] for c in state.columns if c[0] == "d" and c[1:].isdigit()]
