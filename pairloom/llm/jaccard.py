@@ -28,8 +28,8 @@ ORDER_WORDS, BROADCAST_ROWS = 1 << 20, 1_000_000
 #: region below which no more rounds are needed.
 ROUNDS, PIVOTS, OPEN_PAIRS = 3, 8, 2
 _EMPTY = 0
-#: Parities of a set's shingles over 1024 buckets, in sixteen longs.
-SIGNS = [f"g{i}" for i in range(16)]
+#: Parities of a set's shingles over 256 buckets, in four longs.
+SIGNS = ["g0", "g1", "g2", "g3"]
 
 
 def _sets(words: Words, shingle: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -66,7 +66,7 @@ def _profile(shingle: int):
             signs = np.zeros((batch.num_rows, len(SIGNS)), np.uint64)
             for i, hashes, _ in _sets(words, shingle):
                 n[i] = len(hashes)
-                odd = np.bincount((mix(hashes) >> np.uint64(54)).astype(np.int64), minlength=64 * len(SIGNS)) & 1
+                odd = np.bincount((mix(hashes) >> np.uint64(56)).astype(np.int64), minlength=64 * len(SIGNS)) & 1
                 signs[i] = np.packbits(odd.astype(np.uint8)).view(np.uint64)
                 s[i] = mix(np.array([mix(hashes ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64) + np.uint64(len(hashes))]))[0] if len(hashes) else _EMPTY
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), batch.column(1), pa.array(n), pa.array(signed(s)), *[pa.array(signed(np.ascontiguousarray(g))) for g in signs.T]], names=names)
@@ -213,7 +213,7 @@ def linked_sets(docs: DataFrame, shingle: int = 4, percent: int = 85) -> tuple[D
     # What two sets have in common starts at the first region they share, so in that one each must
     # have as many pivots left as a link needs; all linked pairs meet there, and the rest need not meet.
     left = lambda n, pos, m: (F.col(n) - F.col(pos)) * (100 + percent) >= (F.col(n) + F.col(m)) * percent
-    # Each bit in which the parities of two sets' counts over 1024 buckets differ is a shingle that one lacks.
+    # Each bit in which the parities of two sets' counts over 256 buckets differ is a shingle that one lacks.
     odd = lambda e, f: sum((F.bit_count(F.col(g + e).bitwiseXOR(F.col(g + f))) for g in SIGNS[1:]), F.bit_count(F.col(SIGNS[0] + e).bitwiseXOR(F.col(SIGNS[0] + f))))
     near = lambda n, m, at, to, e, f: left(n, at, m) & left(m, to, n) & (odd(e, f) * (100 + percent) <= (F.col(n) + F.col(m)) * (100 - percent))
     is_link = F.col("common") * 100 >= (F.col("nx") + F.col("ny") - F.col("common")) * percent
