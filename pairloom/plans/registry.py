@@ -11,7 +11,10 @@ from ..functions import text as T
 from ..operators import pairs as P
 from ..operators import review as R
 from ..sources import TABLES, table
+from .evaluating import EVALUATING
 from .portable import PORTABLE
+from .scoring import SCORING
+from .shaping import SHAPING
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -132,5 +135,5 @@ def _portable(name: str, sql: str, oracle: str | None) -> None:
     ORACLES[name] = (oracle or sql).replace("{", "").replace("}", "")
 
 
-for _name, (_sql, _oracle) in PORTABLE.items():
+for _name, (_sql, _oracle) in {**PORTABLE, **SCORING, **EVALUATING, **SHAPING}.items():
     _portable(_name, _sql, _oracle)
