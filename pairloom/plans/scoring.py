@@ -25,7 +25,7 @@ SCORING: dict[str, tuple[str, str | None]] = {
     "recipient_match_kind": (f"WITH {_PAIRS} SELECT CASE WHEN sa = sb THEN 'same_named' WHEN fa = 'A' OR fb = 'A' THEN 'generic_unresolved' WHEN sa <> sb THEN 'different' ELSE 'unknown' END AS kind, count(*) AS n FROM p GROUP BY 1", None),
     "subtype_router": (f"WITH {_PAIRS} SELECT k, i, j, CASE WHEN qa <> qb AND fa = fb THEN 'deadline' WHEN da <> db AND la = lb THEN 'threshold' WHEN sa <> sb AND fa = 'A' THEN 'competence' WHEN fa <> fb THEN 'polarity' ELSE 'duty' END AS subtype FROM p", None),
     "overlap_strength": (f"WITH {_PAIRS} SELECT k, i, j, CASE WHEN da IS NULL OR db IS NULL THEN NULL WHEN abs(da - db) < 0.011 THEN 'high' WHEN abs(da - db) < 0.041 THEN 'medium' ELSE 'low' END AS strength FROM p", None),
-    "geometric_mean_top": (f"WITH {_PAIRS}, g AS (SELECT k, i, j, pa, pb, round(power(greatest(qa / 50, 0) * greatest(qb / 50, 0) * greatest(1 - abs(da - db), 0), 1.0 / 3), 6) AS score FROM p WHERE fa <> fb) SELECT k, i, j, pa, pb, score FROM g ORDER BY score DESC, k, i, j, pa, pb LIMIT 50", None),
+    "geometric_mean_top": (f"WITH {_PAIRS}, g AS (SELECT k, i, j, pa, pb, round(power(greatest(qa / 50, 0) * greatest(qb / 50, 0) * greatest(1 - abs(da - db), 0), 1.0E0 / 3.0E0), 6) AS score FROM p WHERE fa <> fb) SELECT k, i, j, pa, pb, score FROM g ORDER BY score DESC, k, i, j, pa, pb LIMIT 50", None),
     "noisy_or": ("SELECT l_orderkey AS k, round(1 - exp(sum(ln(1 - l_discount))) + 1E-10, 6) AS belief FROM {lineitem} WHERE l_discount < 1 GROUP BY l_orderkey", None),
     "signature_compressed_pairs": ("WITH g AS (SELECT c_nationkey AS doc, c_mktsegment AS sig, count(*) AS n FROM {customer} GROUP BY c_nationkey, c_mktsegment) SELECT a.doc AS doc_a, b.doc AS doc_b, a.sig, CASE WHEN a.doc = b.doc THEN CAST(floor(a.n * (a.n - 1) / 2) AS BIGINT) ELSE a.n * b.n END AS pairs FROM g a JOIN g b ON a.sig = b.sig AND a.doc <= b.doc", None),
     "fixed_group_product": ("SELECT a.n_name AS basis, b.n_name AS safeguard FROM {nation} a CROSS JOIN {nation} b WHERE a.n_regionkey = 0 AND b.n_regionkey IN (1, 2)", None),
