@@ -23,13 +23,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents that links of Jaccard similarity 0.85 join, the one of least doc_id; texts without words stay."""
+    """Of the documents that links of Jaccard similarity 0.85 join, the one of least doc_id; all rows of texts without words stay."""
     groups = jaccard.near_duplicates(docs)
-    heads = groups.filter((F.col("n_shingles") == 0) | F.col("component_id").eqNullSafe(F.when(F.col("o") != substring.LAST, F.col("o"))))
-    heads = heads.groupBy("o", F.when(F.col("n_shingles") == 0, F.col("tag")).alias("empty")).agg(F.min("tag").alias("tag")).drop("empty")
+    heads = groups.filter("n_shingles > 0").groupBy("root").agg(F.min(F.struct("o", "tag")).alias("h")).select("h.o", "h.tag", F.lit(True).alias("one"))
+    heads = heads.union(groups.filter("n_shingles = 0").select("o", "tag", F.lit(False)).distinct())
+    # Two texts of one crc32 and o meet here only by chance; then both stay.
+    heads = heads.groupBy(F.col("o").alias("_pl_o"), F.col("tag").alias("_pl_tag")).agg(F.min("one").alias("_pl_one"))
     keyed = docs.withColumns({"_pl_o": F.coalesce(F.col("doc_id").cast("long"), F.lit(substring.LAST)), "_pl_tag": F.crc32(F.coalesce("text", F.lit("")))})
-    kept = keyed.join(heads.select(F.col("o").alias("_pl_o"), F.col("tag").alias("_pl_tag")), ["_pl_o", "_pl_tag"], "left_semi")
-    return kept.dropDuplicates(["_pl_o", "_pl_tag"]).select(*docs.columns)
+    kept = keyed.join(heads, ["_pl_o", "_pl_tag"]).withColumn("_pl_each", F.when(F.col("_pl_one"), F.xxhash64("text")).otherwise(F.monotonically_increasing_id()))
+    return kept.dropDuplicates(["_pl_o", "_pl_tag", "_pl_each"]).select(*docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

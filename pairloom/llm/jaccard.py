@@ -262,7 +262,7 @@ def linked_sets(docs: DataFrame, shingle: int = 4, percent: int = 85) -> tuple[D
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFrame:
-    """o, tag, n_shingles, component_id of all documents.
+    """o, tag, n_shingles, component_id and root of all documents.
 
     A document's set is its distinct windows of `shingle` words, A-Z lower-cased; a shorter
     text is one window.  Two link when 100 times the common are at least `percent` times all.
@@ -271,14 +271,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 85) -> Dat
     measured.  Sets and shingles are told apart by 64-bit hashes.  A text without words, or
     null, is linked with nothing and is its own component; a null doc_id comes after all
     others and is null as a component if it is alone; rows alike in doc_id are nodes of their
-    own by text.  Other columns are left out.
+    own by text.  root is the least set that links reach, one value for each linked group also
+    where ids are null or repeated; it is null for a text without words.  Other columns are left out.
     """
     members, roots, classes = linked_sets(docs, shingle, percent)
     heads = classes.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = heads.groupBy("root").agg(F.min("first.o").alias("id"))
-    of = heads.join(least, "root").select("c", "id")
+    of = heads.join(least, "root").select("c", "id", "root")
     out = members.join(of, "c", "left").withColumn("id", F.when(F.col("n") > 0, F.col("id")).otherwise(F.col("o")))
-    return out.select("o", "tag", F.col("n").alias("n_shingles"), F.when(F.col("id") != LAST, F.col("id")).alias("component_id"))
+    return out.select("o", "tag", F.col("n").alias("n_shingles"), F.when(F.col("id") != LAST, F.col("id")).alias("component_id"), F.when(F.col("n") > 0, F.col("root")).alias("root"))
 
 
 def join_documents(docs: DataFrame) -> DataFrame:

@@ -1,3 +1,6 @@
+import re
+from collections import Counter
+
 import corpus_pipeline
 
 
@@ -7,3 +10,42 @@ def test_stages(spark, tmp_path):
         before = docs.count()
         docs = stage(spark, docs, "/root/testdata/sf0.001")
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and 0 < docs.count() <= before, name
+
+
+def brute_heads(rows, shingle=4, percent=85):
+    """The (doc_id, text) that stay: the least row of each linked group, and all rows without words."""
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"\w+", (t or "").lower())
+        sets.append(frozenset(tuple(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))) if w else frozenset())
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            n = len(sets[a] & sets[b])
+            if n and 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
+                root[find(a)] = find(b)
+    groups = {}
+    for k, s in enumerate(sets):
+        groups.setdefault(find(k) if s else ("wordless", k), []).append(rows[k])
+    least = lambda r: (r[0] is None, r[0] or 0)
+    return groups.values(), [min(g, key=least) for g in groups.values()]
+
+
+def test_null_and_repeated_ids_keep_one_of_each_group(spark):
+    text = lambda k, n=60: " ".join(f"w{k}x{i}" for i in range(n))
+    near = text(3) + " more"
+    rows = [(None, text(0)), (None, text(1)), (None, text(2)), (None, text(3)), (None, near), (None, text(0))]
+    rows += [(7, text(4)), (7, text(5)), (7, text(4)), (8, text(5) + " tail"), (9, text(1)), (None, None), (None, ""), (None, ""), (7, ""), (7, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect())
+    groups, heads = brute_heads(rows)
+    assert sum(got.values()) == len(heads)
+    assert all(sum(got[r] for r in set(g)) == 1 for g in groups if (g[0][1] or "").strip())
+    assert Counter(i for i, _ in got.elements()) == Counter(i for i, _ in heads)
+    assert all(got[r] == rows.count(r) for r in rows if not (r[1] or "").strip())
