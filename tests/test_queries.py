@@ -1,6 +1,8 @@
 """Every registered query against its SQL, and properties of the pair operators."""
 
 import glob
+import itertools
+import math
 import os
 
 import duckdb
@@ -49,3 +51,18 @@ def test_budget_and_cap(spark):
     out = review.greedy_budget_cap(p, 5, 2, 0.0).toPandas()
     held = [*out.i, *out.j]
     assert len(out) <= 5 and max(map(held.count, held)) <= 2
+
+
+def test_pairs_of_common_keys(spark):
+    held = {k: {"all"} | ({"copy"} if k < 13 else set()) | {f"few{k // 2}"} for k in range(40)}
+    keys = spark.createDataFrame([(k, x) for k, xs in held.items() for x in xs], "owner long, key string")
+    df = {x: sum(x in xs for xs in held.values()) for xs in held.values() for x in xs}
+    score = lambda x: round(1 - math.log(df[x]) / math.log(40), 6)
+    for floor in (0.0, 0.2, 0.5):
+        want = {}
+        for i, j in itertools.combinations(held, 2):
+            both = [x for x in held[i] & held[j] if score(x) >= floor]
+            if both:
+                want[i, j] = (len(both), max(map(score, both)))
+        got = {(r.i, r.j): (r.shared, r.score) for r in pairs.inverted_index_pairs(keys, min_score=floor).collect()}
+        assert got == want
