@@ -6,35 +6,69 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def greedy_budget_cap(pairs: DataFrame, budget: int, cap: int, minimum: float) -> DataFrame:
+def greedy_budget_cap(pairs: DataFrame, budget: int, cap: int, minimum: float, overshoot: float = 0.1) -> DataFrame:
     """Pairs (i, j, score) taken from the best down: at most `cap` for each owner, `budget` in all.
 
-    Whether a row is taken depends on all taken before it, so the choice runs in one task, over
-    rows sorted by all tasks before; reading stops once the budget is full.
+    Then pairs equal in score to the last of them are taken too (selection `tie_extension`), with
+    the same cap, up to `overshoot` of the budget.  Whether a row is taken depends on all taken
+    before it, so the choice runs in one task, over rows sorted by all tasks before; reading
+    stops below the score of the last pair within the budget.
     """
     ranked = pairs.filter(F.col("score") >= minimum).withColumn("h", F.md5(F.concat_ws("|", F.col("i").cast("string"), F.col("j").cast("string"))))
+    limit = int(budget * overshoot)
 
     def take(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: Counter = Counter()
-        rank = 0
+        rank, cutoff, over = 0, None, False
         for frame in frames:
             out = []
             for i, j, score in zip(frame["i"], frame["j"], frame["score"], strict=True):
-                if rank < budget and held[i] < cap and held[j] < cap:
+                if rank >= budget and (rank >= budget + limit or cutoff - score >= 1e-9):
+                    over = True
+                    break
+                if held[i] < cap and held[j] < cap:
+                    out.append((i, j, score, rank + 1, "top" if rank < budget else "tie_extension"))
                     rank += 1
                     held[i] += 1
                     held[j] += 1
-                    out.append((i, j, score, rank))
-            yield pd.DataFrame(out, columns=["i", "j", "score", "rank"])
-            if rank >= budget:
+                    if rank == budget:
+                        cutoff = score
+            yield pd.DataFrame(out, columns=["i", "j", "score", "rank", "selection"])
+            if over:
                 return
 
     ordered = ranked.select("i", "j", "score", "h").orderBy(F.desc("score"), "h").coalesce(1)
-    return ordered.select("i", "j", "score").mapInPandas(take, "i long, j long, score double, rank int")
+    return ordered.select("i", "j", "score").mapInPandas(take, "i long, j long, score double, rank int, selection string")
+
+
+def sample_key(seed: str = "calibration-v1") -> Column:
+    """The key by which the pairs (i, j) are drawn, even over all longs."""
+    return F.xxhash64(F.lit(seed), "i", "j")
+
+
+def calibration_sample(rest: DataFrame, n: int, edges: list[float]) -> list[tuple]:
+    """(i, j, score, band) of n of the pairs not taken: equal shares of the bands above falling edges, what small bands leave to the others."""
+    band = F.lit(len(edges))
+    for k in reversed(range(len(edges))):
+        band = F.when(F.col("score") >= edges[k], k).otherwise(band)
+    first = F.row_number().over(Window.partitionBy("band").orderBy("key", "i", "j"))
+    drawn = rest.select("i", "j", "score", band.alias("band"), sample_key().alias("key")).withColumn("r", first).filter(F.col("r") <= n)
+    pools: dict[int, list] = {}
+    for r in drawn.orderBy("band", "r").collect():  # at most n of a band
+        pools.setdefault(r["band"], []).append((r["i"], r["j"], r["score"], r["band"]))
+    took, left, open_ = Counter(), n, sorted(pools)
+    while left > 0 and open_:
+        share = max(1, left // len(open_))
+        for k in open_:
+            more = min(share, left, len(pools[k]) - took[k])
+            took[k] += more
+            left -= more
+        open_ = [k for k in open_ if took[k] < len(pools[k])]
+    return [row for k in sorted(pools) for row in pools[k][: took[k]]]
 
 
 def stratified_sample(rows: DataFrame, stratum: str, key: str, n: int, seed: str = "s") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -105,9 +106,39 @@ def cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.cache_upsert(old, old.filter("o_orderkey % 10 = 0").withColumn("verdict", F.lit("new")), "o_orderkey")
 
 
+def review_queue(keys: DataFrame, budget: int, cap: int, minimum: float, calibration: int) -> DataFrame:
+    """i, j, score, rank, selection and band: the greedy top tier, its ties, and a sample of the pairs not taken.
+
+    All pairs that reach the minimum take part, but few are made: the top tier reads the keys of
+    the fewest owners first, and is whole once its cut-off is above the score of any key unread;
+    the sample is of the least keys, so pairs of greater ones need not be counted.
+    """
+    spark = keys.sparkSession
+    n = keys.agg(F.countDistinct("owner")).first()[0]
+    most = 12
+    while True:
+        top = R.greedy_budget_cap(P.inverted_index_pairs(keys, "lang", most=most, min_score=minimum), budget, cap, minimum).collect()  # at most 1.1 budgets
+        unread = 1 - math.log(most + 1) / math.log(n) if n > 1 else 0.0
+        if most >= n or unread < minimum - 1e-6 or (len(top) >= budget and top[budget - 1]["score"] > unread + 1e-6):
+            break
+        most *= 2
+    taken = {(r["i"], r["j"]) for r in top}
+    for bits in (50, 56, 63):
+        least = None if bits == 63 else R.sample_key() < F.lit(-(1 << 63) + (1 << bits))
+        rest = P.inverted_index_pairs(keys, "lang", min_score=minimum, only=least)
+        if taken:
+            gone = spark.createDataFrame(sorted(taken), "i long, j long")
+            rest = rest.join(F.broadcast(gone), ["i", "j"], "left_anti")  # at most 1.1 budgets
+        sample = R.calibration_sample(rest, calibration, [minimum])
+        if len(sample) == calibration:
+            break
+    rows = [(*r, None) for r in top] + [(i, j, score, None, "calibration", f">= {minimum} (not selected)") for i, j, score, _ in sample]
+    return spark.createDataFrame(rows, "i long, j long, score double, rank int, selection string, band string")
+
+
 @query()
 def greedy_budget_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.greedy_budget_cap(P.inverted_index_pairs(_keys(spark, sf_dir), "lang", most=12), 200, 3, 0.5)
+    return review_queue(_keys(spark, sf_dir), 200, 3, 0.5, 6)
 
 
 _PHRASES = ["binnen 24 uur nadat", "uiterlijk drie dagen", "onverwijld", "zo spoedig mogelijk", "binnen 72 uur en binnen 4 weken", "", "20 000 000 EUR", "20 000 000 EUR", "€ 1.000.000,-", "10,5 euro", "2 % van de totale wereldwijde jaaromzet", "betrouwbaarheidsniveau hoog"]

@@ -4,6 +4,8 @@ import glob
 import itertools
 import math
 import os
+import random
+from collections import Counter
 
 import duckdb
 import pytest
@@ -66,3 +68,37 @@ def test_pairs_of_common_keys(spark):
                 want[i, j] = (len(both), max(map(score, both)))
         got = {(r.i, r.j): (r.shared, r.score) for r in pairs.inverted_index_pairs(keys, min_score=floor).collect()}
         assert got == want
+
+
+def test_ties_at_the_cutoff(spark):
+    p = spark.createDataFrame([(2 * k, 2 * k + 1, 1.0 if k < 5 else 0.75 if k < 40 else 0.5) for k in range(60)], "i long, j long, score double")
+    out = review.greedy_budget_cap(p, 20, 1, 0.6).toPandas().sort_values("rank")
+    assert list(out.selection) == ["top"] * 20 + ["tie_extension"] * 2 and list(out["rank"]) == [*range(1, 23)]
+    assert set(out.score[out.selection == "tie_extension"]) == {0.75}
+    assert len(review.greedy_budget_cap(p, 5, 1, 0.6).toPandas()) == 5
+
+
+def test_calibration_shares(spark):
+    p = spark.createDataFrame([(k, k + 1, 0.45) for k in range(3)] + [(k, k + 1, 0.7) for k in range(100, 140)] + [(k, k + 1, 0.1) for k in range(200, 240)], "i long, j long, score double")
+    drawn = review.calibration_sample(p, 15, [0.5, 0.4, 0.25])
+    bands = [b for *_, b in drawn]
+    assert (bands.count(0), bands.count(1), bands.count(2), bands.count(3)) == (6, 3, 0, 6)
+    assert sorted(drawn) == sorted(review.calibration_sample(p.repartition(5), 15, [0.5, 0.4, 0.25]))
+
+
+def test_review_queue_of_all_keys(spark):
+    """The same as the greedy rule over all pairs; thirteen and more documents share some keys."""
+    rng = random.Random(5)
+    held = {k: {f"few{k // 2}"} | {f"mid{rng.randrange(30)}" for _ in range(2)} for k in range(400)}
+    keys = spark.createDataFrame([(k, "ab"[k % 2], x) for k, xs in held.items() for x in xs], "owner long, lang string, key string")
+    df = Counter(x for xs in held.values() for x in xs)
+    everything = [(i, j, max(round(1 - math.log(df[x]) / math.log(400), 6) for x in held[i] & held[j])) for i, j in itertools.combinations(held, 2) if i % 2 != j % 2 and held[i] & held[j]]
+    frame = spark.createDataFrame(everything, "i long, j long, score double")
+    for budget in (150, 260):
+        got = registry.review_queue(keys, budget, 3, 0.3, 6).collect()
+        want = review.greedy_budget_cap(frame, budget, 3, 0.3).collect()
+        assert sorted(r[:5] for r in got if r.selection != "calibration") == sorted(r[:5] for r in want)
+        taken = {(r.i, r.j) for r in want}
+        rest = spark.createDataFrame([e for e in everything if e[:2] not in taken and e[2] >= 0.3], "i long, j long, score double")
+        drawn = [(r.i, r.j) for r in got if r.selection == "calibration"]
+        assert sorted(drawn) == sorted(e[:2] for e in review.calibration_sample(rest, 6, [0.3])) and len(drawn) == 6
