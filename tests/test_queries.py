@@ -102,3 +102,20 @@ def test_review_queue_of_all_keys(spark):
         rest = spark.createDataFrame([e for e in everything if e[:2] not in taken and e[2] >= 0.3], "i long, j long, score double")
         drawn = [(r.i, r.j) for r in got if r.selection == "calibration"]
         assert sorted(drawn) == sorted(e[:2] for e in review.calibration_sample(rest, 6, [0.3])) and len(drawn) == 6
+
+
+def test_copies_take_one_slot(spark):
+    rng = random.Random(2)
+    some = [[rng.uniform(-1, 1) for _ in range(4)] for _ in range(14)] + [[0.0] * 3 + [1.0]]
+    data = [(k, k % 3, some[k % len(some)]) for k in range(45)] + [(100 + k, k % 2 + 1, some[0]) for k in range(12)]
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b)), 9)
+    first = {tuple(v): min(k for k, _, u in data if u == v) for _, _, v in data}
+    want = set()
+    for i, li, vi in data:
+        for same, budget in ((True, 3), (False, 8)):
+            found = sorted((-cos(vi, vj), first[tuple(vj)], j) for j, lj, vj in data if j != i and (li == lj) == same)
+            slots = sorted({f[:2] for f in found})
+            want |= {(i, j, same, slots.index((s, h)) + 1) for s, h, j in found if slots.index((s, h)) < budget and s < 0}
+    frame = spark.createDataFrame(data, "vec_id long, label int, embedding array<double>")
+    got = pairs.knn_two_budgets(frame, 3, 8).select("i", "j", "same", "rank").collect()
+    assert len(got) == len(set(got)) and {tuple(r) for r in got} == want
