@@ -23,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents that links of Jaccard similarity 0.85 join, the one of least doc_id; all rows of texts without words stay."""
-    groups = jaccard.near_duplicates(docs)
+    """Of the documents that links of Jaccard similarity 0.8 over five words join, the one of least doc_id; all rows of texts without words stay."""
+    groups = jaccard.near_duplicates(docs, shingle=5, percent=80)
     heads = groups.filter("n_shingles > 0").groupBy("root").agg(F.min(F.struct("o", "tag")).alias("h")).select("h.o", "h.tag", F.lit(True).alias("one"))
     heads = heads.union(groups.filter("n_shingles = 0").select("o", "tag", F.lit(False)).distinct())
     # Two texts of one crc32 and o meet here only by chance; then both stay.

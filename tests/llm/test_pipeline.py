@@ -12,7 +12,7 @@ def test_stages(spark, tmp_path):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and 0 < docs.count() <= before, name
 
 
-def brute_heads(rows, shingle=4, percent=85):
+def brute_heads(rows, shingle=5, percent=80):
     """The (doc_id, text) that stay: the least row of each linked group, and all rows without words."""
     sets = []
     for _, t in rows:
@@ -49,3 +49,10 @@ def test_null_and_repeated_ids_keep_one_of_each_group(spark):
     assert all(sum(got[r] for r in set(g)) == 1 for g in groups if (g[0][1] or "").strip())
     assert Counter(i for i, _ in got.elements()) == Counter(i for i, _ in heads)
     assert all(got[r] == rows.count(r) for r in rows if not (r[1] or "").strip())
+
+
+def test_one_changed_word_in_fifty_is_a_near_copy(spark):
+    words = [f"w{i}" for i in range(50)]
+    other = [*words[:25], "changed", *words[26:]]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other))], "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()] == [1]
