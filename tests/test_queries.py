@@ -5,13 +5,14 @@ import itertools
 import math
 import os
 import random
+import re
 from collections import Counter
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from pairloom.operators import pairs, review
+from pairloom.operators import containment, pairs, review
 from pairloom.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -119,3 +120,25 @@ def test_copies_take_one_slot(spark):
     frame = spark.createDataFrame(data, "vec_id long, label int, embedding array<double>")
     got = pairs.knn_two_budgets(frame, 3, 8).select("i", "j", "same", "rank").collect()
     assert len(got) == len(set(got)) and {tuple(r) for r in got} == want
+
+
+def test_whole_passages_and_ordered_pieces(spark, con):
+    def verbatim(span, text):  # as the reference says it
+        plain = lambda s: re.sub(r"\s+", " ", s).strip().lower()
+        at, text = 0, plain(text)
+        for part in [p for p in map(plain, re.split(r"\.{3,}|…", span)) if p] or [plain(span)]:
+            k = text.find(part, at)
+            if k < 0:
+                return False
+            at = k + len(part)
+        return True
+
+    passage = "Alpha beta gamma delta epsilon zeta eta theta"
+    texts = [(1, f"x {passage}  y"), (1, "other"), (None, f"pre{passage.upper()}post"), (3, "theta alpha beta gamma delta"), (4, passage[:24]), (5, None), (6, "")]
+    spans = [(1, passage), (2, "alpha beta ... eta\ntheta"), (3, "theta … alpha beta"), (4, "alpha"), (5, "..."), (6, "ALPHA beta gamma delta epsilon zeta et"), (7, passage + " iota"), (8, None)]
+    texts += [(100 + i, t) for i, t in con.sql("select doc_id, text from documents").fetchall()]
+    spans += [(100 + i, t) for i, t in con.sql("select item_id, text from benchmark").fetchall()]
+    want = {(i, k) for i, t in texts if t is not None for k, s in spans if s is not None and verbatim(s, t)}
+    got = containment.verbatim_pairs(spark.createDataFrame(spans, "span_id long, span string"), spark.createDataFrame(texts, "text_id long, text string")).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert any(i and i >= 100 and k >= 100 for i, k in want)
