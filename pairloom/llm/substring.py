@@ -7,12 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textkit import Words, _range_hash, mix, signed, tokenize, tune, windows
+from .textkit import Words, _range_hash, mix, released, signed, tokenize, tune, windows
 
-LAST = (1 << 63) - 1  # stands for a null doc_id: after all others
+#: doc_ids from here on stand for null ones, told apart by 40 bits of a hash of the text: after all others.
+NULLS = (1 << 63) - (1 << 40)
 _SECOND = 0x5851F42D4C957F2D
 
 
@@ -59,41 +60,76 @@ def _chosen(words: Words, row: np.ndarray, anchor: np.ndarray, col) -> np.ndarra
     return np.isin(row * wide + (anchor - words.of[row]), rows * wide + values)
 
 
-def _emit(name: str, names: list[str], window: int):
+#: Salts of rows that need not meet the others of their key.
+SALTS = 256
+
+
+def _spread(keys: list[np.ndarray], o: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows to go on with, their salts, and how many rows the key of each has in the batch.
+
+    Salt 0 is for the least (o, position) of a key in the batch.  The others are known to be
+    repeats, so only one row a batch has to meet those of other batches: a key of very many
+    copies does not end in one task.  Rows alike in all go on once.
+    """
+    order = np.lexsort((p, o, *keys))
+    if not len(order):
+        return order, np.zeros(0, np.int32), np.zeros(0, np.int64)
+    o, at = o[order], p[order]
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    twin = np.zeros(len(order), bool)
+    twin[1:] = ~new[1:] & (o[1:] == o[:-1]) & (at[1:] == at[:-1])
+    order, new, o, at = order[~twin], new[~twin], o[~twin], at[~twin] >> 32
+    head = np.flatnonzero(new)[np.cumsum(new) - 1]
+    least = (o == o[head]) & (at == at[head])
+    salt = np.where(least, 0, 1 + np.arange(len(order)) % SALTS).astype(np.int32)
+    return order, salt, np.diff(np.append(np.flatnonzero(new), len(order)))[np.cumsum(new) - 1]
+
+
+def _emit(name: str, window: int):
+    """Rows of `anchors` (h, w, o, p, salt), `segments` or `windows` (a, h, o, p, salt) of texts, the latter two at the anchors of `ats`."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             o, tag = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
             words = tokenize(batch.column(2))
             row, anchor, lo, hi, h = _segments(words, window)
-            if name != "anchors":
-                on = _chosen(words, row, anchor, batch.column(3))
-                row, anchor, lo, hi = row[on], anchor[on], lo[on], hi[on]
             if name == "anchors":
-                cols = [signed(h[anchor]), o[row], _place(words, row, anchor, tag)]
+                key, by, p = h[anchor], o[row], _place(words, row, anchor, tag)
+                on, salt, size = _spread([key], by, p)
+                cols = [signed(key[on]), np.minimum(size, 2).astype(np.int32), by[on], p[on], salt]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "w", "o", "p", "salt"])
+                continue
+            on = _chosen(words, row, anchor, batch.column(3))
+            row, anchor, lo, hi = row[on], anchor[on], lo[on], hi[on]
+            if name == "segments":
+                start, end, at, first = lo, hi + window, anchor, h[anchor]
             else:
-                if name == "segments":
-                    start, end = lo, hi + window
-                    at = anchor
-                else:  # windows
-                    size = hi - lo + 1
-                    start = np.repeat(lo, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                    end, row = start + window, np.repeat(row, size)
-                    at = start
-                if len(start):
-                    one = mix(_range_hash(words.hashes, start, end) + (end - start).astype(np.uint64))
-                    two = mix(_range_hash(mix(words.hashes + np.uint64(_SECOND)), start, end))
-                else:
-                    one = two = np.zeros(0, np.uint64)
-                cols = [signed(one), (two >> np.uint64(33)).astype(np.int32), o[row], _place(words, row, at, tag)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
-
-    return run
+                size = hi - lo + 1
+                start = np.repeat(lo, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                end, row, at = start + window, np.repeat(row, size), start
+                first = _range_hash(mix(words.hashes + np.uint64(_SECOND)), start, end) if len(start) else np.zeros(0, np.uint64)
+            whole = mix(_range_hash(words.hashes, start, end) + (end - start).astype(np.uint64)) if len(start) else np.zeros(0, np.uint64)
+            by, p = o[row], _place(words, row, at, tag)
+            on, salt, _ = _spread([whole, first], by, p)
+            cols = [signed(first[on]), signed(whole[on]), by[on], p[on], salt]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a", "h", "o", "p", "salt"])
+
+    return released(run)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """o (doc_id, LAST for null), tag (crc32 of the text) and text: what a document is known by."""
+    """o (doc_id, from NULLS on for null), tag (crc32 of the text) and text: what a document is known by."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("o"), F.crc32(text).alias("tag"), text.alias("text"))
+    return docs.select(order_id(F.col("doc_id"), text).alias("o"), F.crc32(text).alias("tag"), text.alias("text"))
+
+
+def order_id(doc_id: Column, text: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.lit(NULLS) + F.shiftrightunsigned(F.xxhash64(text), 24))
+
+
+def shown_id(o: Column) -> Column:
+    return F.when(o < NULLS, o)
 
 
 def _by_row(found: DataFrame, name: str) -> DataFrame:
@@ -102,27 +138,33 @@ def _by_row(found: DataFrame, name: str) -> DataFrame:
 
 
 def _repeated(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The rows of docs; anchors whose whole segment, and windows that, also start earlier."""
+    """The rows of docs; anchors whose whole segment, and windows that, also start earlier.
+
+    Each level shuffles its rows once, by key and salt, and judges them with window functions
+    over that; texts are shuffled once, by document, and each level's finds go to them.
+    """
     if window < 2 or window % 2:
         raise ValueError("window must be even")
     tune(docs.sparkSession)
     rows = _rows(docs)
+    sure = F.col("salt") > 0
     # Length window / 2: anchors that occur once alone end here.
-    anchors = rows.mapInArrow(_emit("anchors", ["h", "o", "p"], window), "h long, o long, p long")
-    again = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    alive = _by_row(anchors.join(again, "h"), "ats")
+    anchors = rows.mapInArrow(_emit("anchors", window), "h long, w int, o long, p long, salt int")
+    often = F.sum("w").over(Window.partitionBy("h", "salt"))
+    alive = _by_row(anchors.withColumn("n", often).filter(sure | (F.col("n") > 1)), "ats")
     # Length window: whole segments first, so a passage of many copies is one row for each.
     extended = rows.join(alive, ["o", "tag"]).select("o", "tag", "text", "ats")
-    segments = extended.mapInArrow(_emit("segments", ["h", "g", "o", "p"], window), "h long, g int, o long, p long")
-    firsts = segments.groupBy("h", "g").agg(F.min(F.struct("o", "p")).alias("first"))
-    held = segments.join(firsts, ["h", "g"])
-    is_first = (F.col("o") == F.col("first.o")) & (F.shiftright("p", 32) == F.shiftright(F.col("first.p"), 32))
+    segments = extended.mapInArrow(_emit("segments", window), "a long, h long, o long, p long, salt int").repartition("a", "salt")
+    kinds, kind = Window.partitionBy("a", "salt"), Window.partitionBy("a", "salt", "h")
+    place = F.struct("o", F.shiftright("p", 32))
+    held = segments.withColumns({"first": F.min(place).over(kind), "h0": F.min("h").over(kinds), "h1": F.max("h").over(kinds)})
+    is_first = ~sure & (place == F.col("first"))
     later = _by_row(held.filter(~is_first), "later")
-    # A window's earliest start lies in the first segment of some kind: those are told apart by window.
-    lone = rows.join(_by_row(held.filter(is_first), "ats"), ["o", "tag"]).select("o", "tag", "text", "ats")
-    single = lone.mapInArrow(_emit("windows", ["h", "g", "o", "p"], window), "h long, g int, o long, p long")
-    least = single.groupBy("h", "g").agg(F.min(F.struct("o", "p")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    starts = _by_row(single.join(least, ["h", "g"]).filter(~is_first), "starts")
+    # A window's earliest start lies in the first segment of some kind: where an anchor has several
+    # kinds, those are told apart by window; of one kind alone, all its windows are new.
+    lone = rows.join(_by_row(held.filter(is_first & (F.col("h0") != F.col("h1"))), "ats"), ["o", "tag"]).select("o", "tag", "text", "ats")
+    single = lone.mapInArrow(_emit("windows", window), "a long, h long, o long, p long, salt int").repartition("h", "a", "salt")
+    starts = _by_row(single.withColumn("first", F.min(place).over(Window.partitionBy("h", "a", "salt"))).filter(sure | (place != F.col("first"))), "starts")
     return rows, later, starts
 
 
@@ -138,19 +180,20 @@ def _covered(words: Words, window: int, later, starts) -> np.ndarray:
     return np.cumsum(edge)[:-1] > 0
 
 
-def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
-    """doc_id, tag, n_words, n_removed, kept_text, kept_sha256 of all documents.
+def without_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
+    """o, tag (as in _rows), n_words, n_removed, kept_text, kept_sha256 of all documents.
 
     Removed are the words covered by a window of so many words whose sequence also starts
     earlier: in a document of smaller doc_id, or before in the same.  Windows are judged on
     the input.  Found level by level: half-length windows first, one in each window (the one
     of least hash), and only where such a one repeats is it extended to the full length.
 
-    Nothing is capped or sampled: a passage of many copies is one row of hashes a copy, its
-    first place a partial minimum, and the join back can be split where it is skewed.  Words
+    Nothing is capped or sampled: of a passage of many copies all but one in a batch of texts
+    are known to be repeats at once, and only that one has to meet those of other batches.  Words
     are compared by 64-bit hashes, windows by 96 bits of them.  A null text has no words; a
-    null doc_id comes after all others; rows alike in doc_id and text are one document, and
-    rows of one doc_id and other texts tie, so that neither makes the other's words go.  Kept
+    null doc_id comes after all others, told apart by text (doc_ids of 2^63 - 2^40 and more are
+    taken for null ones); rows alike in doc_id and text are one document, and of rows of one
+    doc_id and other texts the word that stands further on is the later one.  Kept
     words are joined by one space; a text that loses nothing stays as it is in kept_text.
     """
     rows, later, starts = _repeated(docs, window)
@@ -170,8 +213,12 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], names=["o", "tag", "n_words", "n_removed", "kept_text", "kept_sha256"])
 
-    out = joined.mapInArrow(run, "o long, tag long, n_words long, n_removed long, kept_text string, kept_sha256 string")
-    return out.select(F.when(F.col("o") != LAST, F.col("o")).alias("doc_id"), "tag", "n_words", "n_removed", "kept_text", "kept_sha256")
+    return joined.mapInArrow(released(run), "o long, tag long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+
+
+def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text, kept_sha256 of all documents; without_repeats says how."""
+    return without_repeats(docs, window).select(shown_id(F.col("o")).alias("doc_id"), "n_words", "n_removed", "kept_text", "kept_sha256")
 
 
 def longest_repeats(docs: DataFrame, window: int = 20) -> list[tuple[int, int]]:

@@ -6,8 +6,13 @@ single bytes in UTF-8, so words are found on the raw bytes of an Arrow string co
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import re
 import tempfile
 import threading
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,20 +40,46 @@ def words_of(text: Column) -> Column:
 _cut_lock = threading.Lock()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; a folder of its own only where all runs in one process."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where:
+        return where
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="pairloom-")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df in reliable storage (spark.checkpoint.dir), its lineage cut."""
-    spark = df.sparkSession
     with _cut_lock:
-        sc = spark.sparkContext
+        sc = df.sparkSession.sparkContext
         if sc._jsc.sc().getCheckpointDir().isEmpty():
-            where = spark.conf.get("spark.checkpoint.dir", None)
-            sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="pairloom-checkpoint-"))
+            sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def tune(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for Python workers that share a small executor."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    """Keep Arrow batches small enough for Python workers that share a small executor (for the rest of the session)."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+
+
+def released(run):
+    """A mapInArrow function that gives what it no longer needs back to the system when its task ends.
+
+    Workers outlive their tasks; what one stage's tasks held must not stay while the next one's run.
+    """
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return inner
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
