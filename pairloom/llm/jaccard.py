@@ -19,11 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .substring import LAST, _rows
-from .textkit import Words, cut, mix, signed, tokenize, tune, windows
+from .substring import _rows, shown_id
+from .textkit import Words, cut, mix, released, signed, tokenize, tune, windows
 
 #: Most frequent words that give the order of the pivots, and rows of a table that is broadcast.
 ORDER_WORDS, BROADCAST_ROWS = 1 << 20, 1_000_000
+#: Words that a task counts at a time, and word counts that it keeps.
+FRESH_WORDS, KNOWN_WORDS = 1 << 18, 1 << 18
+#: Sets that a task remembers, so that copies go into their regions once.
+SEEN_SETS = 100_000
 #: Rounds of pivots at most, pivots of a region in a round, and open pairs for a member of a
 #: region below which no more rounds are needed.
 ROUNDS, PIVOTS, OPEN_PAIRS = 3, 8, 2
@@ -56,8 +60,9 @@ def _profile(shingle: int):
             v, c = np.unique(np.concatenate(fresh), return_counts=True) if fresh else (known[:0], counts[:0])
             both, back = np.unique(np.concatenate([known, v]), return_inverse=True)
             sums = np.bincount(back, weights=np.concatenate([counts, c]), minlength=len(both)).astype(np.int64)
-            if len(both) > ORDER_WORDS:
-                both, sums = both[sums > 1], sums[sums > 1]
+            if len(both) > KNOWN_WORDS:  # the order of the pivots is any; rare words need no count
+                on = sums > np.partition(sums, len(sums) - KNOWN_WORDS // 2)[len(sums) - KNOWN_WORDS // 2]
+                both, sums = both[on], sums[on]
             return both, sums
 
         for batch in batches:
@@ -72,7 +77,7 @@ def _profile(shingle: int):
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), batch.column(1), pa.array(n), pa.array(signed(s)), *[pa.array(signed(np.ascontiguousarray(g))) for g in signs.T]], names=names)
             fresh.append(words.hashes)
             words_seen += len(words.hashes)
-            if sum(map(len, fresh)) > 2_000_000:
+            if sum(map(len, fresh)) > FRESH_WORDS:
                 known, counts = merge(known, counts, fresh)
                 fresh = []
         known, counts = merge(known, counts, fresh)
@@ -80,7 +85,7 @@ def _profile(shingle: int):
         k = int(on.sum())
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(signed(known[on])), pa.array(np.zeros(k, np.int64)), pa.array(counts[on]), *[pa.array(np.zeros(k, np.int64))] * (1 + len(SIGNS))], names=names)
 
-    return run
+    return released(run)
 
 
 def _regions(shingle: int, percent: int, shared):
@@ -88,6 +93,7 @@ def _regions(shingle: int, percent: int, shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, level = shared.value
+        seen: set = set()
         for batch in batches:
             words = tokenize(batch.column(2), lower=True)
             grade = np.zeros(len(words.hashes), np.int64)
@@ -100,6 +106,12 @@ def _regions(shingle: int, percent: int, shared):
                 n = len(hashes)
                 if not n:
                     continue
+                c = mix(np.array([mix(hashes ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64) + np.uint64(n)]))[0]
+                if c in seen:  # a copy: its set has been put into its regions by this task
+                    continue
+                if len(seen) >= SEEN_SETS:
+                    seen.clear()
+                seen.add(c)
                 span = min(shingle, int(words.of[i + 1] - words.of[i]))
                 rare = grade[first]
                 for k in range(1, span):
@@ -107,13 +119,13 @@ def _regions(shingle: int, percent: int, shared):
                 top = n - -(-percent * n // 100) + 1
                 order = np.lexsort((hashes, rare))[:top]
                 cells.append(hashes[order])
-                own.append(np.full(len(order), mix(np.array([mix(hashes ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64) + np.uint64(n)]))[0]))
+                own.append(np.full(len(order), c))
                 size.append(np.full(len(order), n, np.int64))
                 place.append(np.arange(len(order)))
             cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(signed(cat(cells))), pa.array(signed(cat(own))), pa.array(cat(size).astype(np.int64)), pa.array(cat(place).astype(np.int64))], names=["cell", "c", "n", "pos"])
 
-    return run
+    return released(run)
 
 
 def _measure(shingle: int):
@@ -140,7 +152,7 @@ def _measure(shingle: int):
                 cols = np.array(rows, np.int64).reshape(-1, 3).T
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(c) for c in cols]], names=["x", "y", "nx", "ny", "common"])
 
-    return run
+    return released(run)
 
 
 def _is_star(stars: DataFrame) -> bool:
@@ -206,7 +218,7 @@ def linked_sets(docs: DataFrame, shingle: int = 4, percent: int = 85) -> tuple[D
     shared = spark.sparkContext.broadcast((hashes[order], level))  # at most ORDER_WORDS entries
     classes = members.filter("n > 0").groupBy("c").agg(F.min(F.struct("o", "tag")).alias("first"))
     signs = profile.filter("kind = 0 and n > 0").groupBy(F.col("s").alias("c")).agg(*[F.first(g).alias(g) for g in SIGNS])
-    regions = rows.mapInArrow(_regions(shingle, percent, shared), "cell long, c long, n long, pos long")
+    regions = rows.mapInArrow(_regions(shingle, percent, shared), "cell long, c long, n long, pos long").repartition("cell")  # one shuffle, read twice
     cells = regions.groupBy("cell").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("cell", F.col("lo").alias("pivot"))
     # Only regions of two sets and more go on; copies of a set are one member.
     multi = cut(regions.join(cells, "cell").groupBy("cell", "c").agg(F.first("n").alias("n"), F.first("pos").alias("pos"), F.first("pivot").alias("pivot")).join(signs, "c"))
@@ -279,10 +291,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 85) -> Dat
     least = heads.groupBy("root").agg(F.min("first.o").alias("id"))
     of = heads.join(least, "root").select("c", "id", "root")
     out = members.join(of, "c", "left").withColumn("id", F.when(F.col("n") > 0, F.col("id")).otherwise(F.col("o")))
-    return out.select("o", "tag", F.col("n").alias("n_shingles"), F.when(F.col("id") != LAST, F.col("id")).alias("component_id"), F.when(F.col("n") > 0, F.col("root")).alias("root"))
+    return out.select("o", "tag", F.col("n").alias("n_shingles"), shown_id(F.col("id")).alias("component_id"), F.when(F.col("n") > 0, F.col("root")).alias("root"))
 
 
 def join_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of all documents."""
     out = near_duplicates(docs)
-    return out.select(F.when(F.col("o") != LAST, F.col("o")).alias("doc_id"), "n_shingles", "component_id")
+    return out.select(shown_id(F.col("o")).alias("doc_id"), "n_shingles", "component_id")
