@@ -153,9 +153,11 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     rounds = there.withColumn("_pl_round", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.transform("picks", lambda p: p["times"])))))
     taken = F.filter("picks", lambda p: p["times"] >= F.col("_pl_round"))
     words = words_of(F.col("text"))
-    kept = F.array_join(F.flatten(F.transform(taken, lambda p: F.slice(F.col("_pl_words"), (p["start"] + 1).cast("int"), p["length"].cast("int")))), " ")
+    spans = lambda all_words: F.transform(taken, lambda p: F.slice(all_words, (p["start"] + 1).cast("int"), p["length"].cast("int")))
+    # The words stand in an array of one, so that the optimiser does not split the text again for each span.
+    kept = F.transform(F.array(words), lambda all_words: F.array_join(F.flatten(spans(all_words)), " "))[0]
     whole = F.aggregate(taken, F.lit(0).cast("long"), lambda a, p: a + p["length"]) == F.col("size")
-    out = rounds.withColumn("_pl_words", words).withColumn("text", F.when(whole, F.col("text")).otherwise(kept))
+    out = rounds.withColumn("text", F.when(whole, F.col("text")).otherwise(kept))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*[c for c in docs.columns if c != "_pl_row"])
