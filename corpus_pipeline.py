@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm import jaccard, mixing, packing, substring, toxicity
-from pairloom.llm.textkit import read
+from pairloom.llm.textkit import read, shared_folder
 
 #: No stage is expressed in SQL: models, connected components and tokenizing have no SQL form.
 ORACLE_SQL = None
@@ -29,15 +28,15 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     heads = heads.union(groups.filter("n_shingles = 0").select("o", "tag", F.lit(False)).distinct())
     # Two texts of one crc32 and o meet here only by chance; then both stay.
     heads = heads.groupBy(F.col("o").alias("_pl_o"), F.col("tag").alias("_pl_tag")).agg(F.min("one").alias("_pl_one"))
-    keyed = docs.withColumns({"_pl_o": F.coalesce(F.col("doc_id").cast("long"), F.lit(substring.LAST)), "_pl_tag": F.crc32(F.coalesce("text", F.lit("")))})
+    keyed = docs.withColumns({"_pl_o": substring.order_id(F.col("doc_id"), F.coalesce("text", F.lit(""))), "_pl_tag": F.crc32(F.coalesce("text", F.lit("")))})
     kept = keyed.join(heads, ["_pl_o", "_pl_tag"]).withColumn("_pl_each", F.when(F.col("_pl_one"), F.xxhash64("text")).otherwise(F.monotonically_increasing_id()))
     return kept.dropDuplicates(["_pl_o", "_pl_tag", "_pl_each"]).select(*docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the words of passages of 20 words or more that stand earlier."""
-    left = substring.remove_repeats(docs).select(F.coalesce("doc_id", F.lit(substring.LAST)).alias("_pl_o"), F.col("tag").alias("_pl_tag"), F.col("kept_text").alias("_pl_text"), "n_removed")
-    rest = docs.withColumns({"_pl_o": F.coalesce(F.col("doc_id").cast("long"), F.lit(substring.LAST)), "_pl_tag": F.crc32(F.coalesce("text", F.lit("")))}).drop("text")
+    left = substring.without_repeats(docs).select(F.col("o").alias("_pl_o"), F.col("tag").alias("_pl_tag"), F.col("kept_text").alias("_pl_text"))
+    rest = docs.withColumns({"_pl_o": substring.order_id(F.col("doc_id"), F.coalesce("text", F.lit(""))), "_pl_tag": F.crc32(F.coalesce("text", F.lit("")))}).drop("text")
     out = rest.join(left.dropDuplicates(["_pl_o", "_pl_tag"]), ["_pl_o", "_pl_tag"]).withColumn("text", F.col("_pl_text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
@@ -65,7 +64,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again."""
-    home = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pairloom-pipeline-")
+    home = shared_folder(spark)
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{home}/pipeline-{uuid.uuid4().hex}-{name}"
