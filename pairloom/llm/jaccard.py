@@ -16,10 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .substring import _rows, shown_id
+from .substring import _rows, _spread, shown_id
 from .textkit import Words, cut, mix, released, signed, tokenize, tune, windows
 
 #: Most frequent words that give the order of the pivots, and rows of a table that is broadcast.
@@ -28,6 +28,8 @@ ORDER_WORDS, BROADCAST_ROWS = 1 << 20, 1_000_000
 FRESH_WORDS, KNOWN_WORDS = 1 << 18, 1 << 18
 #: Sets that a task remembers, so that copies go into their regions once.
 SEEN_SETS = 100_000
+#: Sets of a region up to which its pairs meet at once.
+SMALL = 32
 #: Rounds of pivots at most, pivots of a region in a round, and open pairs for a member of a
 #: region below which no more rounds are needed.
 ROUNDS, PIVOTS, OPEN_PAIRS = 3, 8, 2
@@ -89,7 +91,7 @@ def _profile(shingle: int):
 
 
 def _regions(shingle: int, percent: int, shared):
-    """(cell, c, n, pos): each set's first pivots in the global order, floor(r n) + 1 of them, and their places."""
+    """(cell, c, n and place, w, salt): each set's first pivots in the global order, floor(r n) + 1 of them, and their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, level = shared.value
@@ -123,7 +125,9 @@ def _regions(shingle: int, percent: int, shared):
                 size.append(np.full(len(order), n, np.int64))
                 place.append(np.arange(len(order)))
             cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(cat(cells))), pa.array(signed(cat(own))), pa.array(cat(size).astype(np.int64)), pa.array(cat(place).astype(np.int64))], names=["cell", "c", "n", "pos"])
+            cell, c, at = signed(cat(cells)), signed(cat(own)), (cat(size).astype(np.int64) << 32) | cat(place).astype(np.int64)
+            on, salt, sets = _spread([cell], c, at)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cell[on], c[on], at[on], np.minimum(sets, 2).astype(np.int32), salt)], names=["cell", "c", "at", "w", "salt"])
 
     return released(run)
 
@@ -218,10 +222,12 @@ def linked_sets(docs: DataFrame, shingle: int = 4, percent: int = 85) -> tuple[D
     shared = spark.sparkContext.broadcast((hashes[order], level))  # at most ORDER_WORDS entries
     classes = members.filter("n > 0").groupBy("c").agg(F.min(F.struct("o", "tag")).alias("first"))
     signs = profile.filter("kind = 0 and n > 0").groupBy(F.col("s").alias("c")).agg(*[F.first(g).alias(g) for g in SIGNS])
-    regions = rows.mapInArrow(_regions(shingle, percent, shared), "cell long, c long, n long, pos long").repartition("cell")  # one shuffle, read twice
-    cells = regions.groupBy("cell").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("cell", F.col("lo").alias("pivot"))
+    regions = rows.mapInArrow(_regions(shingle, percent, shared), "cell long, c long, at long, w int, salt int")
     # Only regions of two sets and more go on; copies of a set are one member.
-    multi = cut(regions.join(cells, "cell").groupBy("cell", "c").agg(F.first("n").alias("n"), F.first("pos").alias("pos"), F.first("pivot").alias("pivot")).join(signs, "c"))
+    over = Window.partitionBy("cell", "salt")
+    met = regions.withColumns({"lo": F.min("c").over(over), "hi": F.max("c").over(over), "many": F.max("w").over(over)}).filter("salt > 0 or many > 1 or lo <> hi")
+    met = met.join(signs, "c").groupBy("cell", "c").agg(F.first("at").alias("at"), *[F.first(g).alias(g) for g in SIGNS])
+    multi = cut(met.select("cell", "c", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(0xFFFFFFFF).alias("pos"), *SIGNS, F.count(F.lit(1)).over(Window.partitionBy("cell")).alias("k")))
     # What two sets have in common starts at the first region they share, so in that one each must
     # have as many pivots left as a link needs; all linked pairs meet there, and the rest need not meet.
     left = lambda n, pos, m: (F.col(n) - F.col(pos)) * (100 + percent) >= (F.col(n) + F.col(m)) * percent
@@ -230,21 +236,25 @@ def linked_sets(docs: DataFrame, shingle: int = 4, percent: int = 85) -> tuple[D
     near = lambda n, m, at, to, e, f: left(n, at, m) & left(m, to, n) & (odd(e, f) * (100 + percent) <= (F.col(n) + F.col(m)) * (100 - percent))
     is_link = F.col("common") * 100 >= (F.col("nx") + F.col("ny") - F.col("common")) * percent
     distance = 1 - F.col("common") / (F.col("nx") + F.col("ny") - F.col("common"))
-    state = multi.withColumn("root", F.col("c"))
-    roots, measured = None, []
+    both_sides = lambda df, names: [df.select("cell", *[F.col(k).alias(k + e) for k in names]) for e in ("x", "y")]
+    # Regions of few sets: all their pairs that can link are measured.
+    a, b = both_sides(multi.filter(F.col("k") <= SMALL), ["c", "n", "pos", *SIGNS])
+    few = a.join(b, "cell").filter((F.col("cx") < F.col("cy")) & near("nx", "ny", "posx", "posy", "x", "y"))
+    found = _verify(cut(few.select(F.col("cx").alias("x"), F.col("cy").alias("y")).distinct()), rows, classes, shingle)
+    measured = [found]
+    roots = _joined(None, found.filter(is_link).select("x", "y"))
+    # Larger ones: rounds of pivots, all members of a region against them, where the sizes leave a link
+    # open and none is known.
+    state = cut(multi.filter(F.col("k") > SMALL).drop("k").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c")))
     for turn in range(ROUNDS):
-        # All members of a region against its pivot, where the sizes leave a link open and none is known.
-        if turn:
-            tall = state.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("cell").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("k2"))
-            tall = cut(tall.filter("k * k > k2"))
-            sums = tall.agg(F.sum("k").alias("rows"), F.sum((F.col("k") * F.col("k") - F.col("k2")) / 2).alias("pairs")).first()
-            if not sums["rows"] or sums["pairs"] <= OPEN_PAIRS * sums["rows"]:
-                break
-            by = F.struct(F.xxhash64("c", F.lit(turn)).alias("h"), "c", "n", "pos", "root", *SIGNS)
-            slot = F.pmod(F.xxhash64("c", F.lit(-turn)), F.lit(PIVOTS)).cast("int")
-            pivots = state.join(tall.select("cell"), "cell").groupBy("cell", slot.alias("slot")).agg(F.min(by).alias("p")).select("cell", "slot", F.col("p.c").alias(f"p{turn}"), F.col("p.n").alias("np"), F.col("p.pos").alias("pp"), F.col("p.root").alias("rp"), *[F.col(f"p.{g}").alias(f"{g}p") for g in SIGNS])
-        else:
-            pivots = multi.filter("c = pivot").select("cell", F.lit(0).alias("slot"), F.col("c").alias("p0"), F.col("n").alias("np"), F.col("pos").alias("pp"), F.col("c").alias("rp"), *[F.col(g).alias(f"{g}p") for g in SIGNS])
+        tall = state.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("cell").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("k2"))
+        tall = cut(tall.filter("k * k > k2"))
+        sums = tall.agg(F.sum("k").alias("rows"), F.sum((F.col("k") * F.col("k") - F.col("k2")) / 2).alias("pairs")).first()
+        if not sums["rows"] or sums["pairs"] <= OPEN_PAIRS * sums["rows"]:
+            break
+        by = F.struct(F.xxhash64("c", F.lit(turn)).alias("h"), "c", "n", "pos", "root", *SIGNS)
+        slot = F.pmod(F.xxhash64("c", F.lit(-turn - 1)), F.lit(PIVOTS)).cast("int")
+        pivots = state.join(tall.select("cell"), "cell").groupBy("cell", slot.alias("slot")).agg(F.min(by).alias("p")).select("cell", "slot", F.col("p.c").alias(f"p{turn}"), F.col("p.n").alias("np"), F.col("p.pos").alias("pp"), F.col("p.root").alias("rp"), *[F.col(f"p.{g}").alias(f"{g}p") for g in SIGNS])
         pivot = f"p{turn}"
         star = state.join(pivots, "cell").filter((F.col("root") != F.col("rp")) & near("n", "np", "pos", "pp", "", "p"))
         pairs = star.select(F.least("c", pivot).alias("x"), F.greatest("c", pivot).alias("y")).distinct()
@@ -261,7 +271,7 @@ def linked_sets(docs: DataFrame, shingle: int = 4, percent: int = 85) -> tuple[D
     turns = [c[1:] for c in state.columns if c[0] == "d" and c[1:].isdigit()]
     split = state.groupBy("cell").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("cell")
     open_ = cut(state.join(split, "cell").select("cell", "c", "n", "pos", "root", *SIGNS, *[f"d{t}" for t in turns]))
-    a, b = (open_.select("cell", *[F.col(k).alias(k + e) for k in ("c", "n", "pos", "root", *SIGNS, *[f"d{t}" for t in turns])]) for e in ("x", "y"))
+    a, b = both_sides(open_, ["c", "n", "pos", "root", *SIGNS, *[f"d{t}" for t in turns]])
     radius = 1 - percent / 100 + 1e-9
     admitted = (F.col("cx") < F.col("cy")) & (F.col("rootx") != F.col("rooty")) & near("nx", "ny", "posx", "posy", "x", "y")
     for t in turns:
