@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .substring import _rows, _spread, shown_id
-from .textkit import Words, cut, mix, released, signed, tokenize, tune, windows
+from .textkit import Words, cut, mix, released, signed, sweep, tokenize, tune, windows
 
 #: Most frequent words that give the order of the pivots, and rows of a table that is broadcast.
 ORDER_WORDS, BROADCAST_ROWS = 1 << 20, 1_000_000
@@ -32,7 +32,7 @@ SEEN_SETS = 100_000
 SMALL = 32
 #: Rounds of pivots at most, pivots of a region in a round, and open pairs for a member of a
 #: region below which no more rounds are needed.
-ROUNDS, PIVOTS, OPEN_PAIRS = 3, 8, 2
+ROUNDS, PIVOTS, OPEN_PAIRS = 3, 8, 64
 _EMPTY = 0
 #: Parities of a set's shingles over 256 buckets, in four longs.
 SIGNS = ["g0", "g1", "g2", "g3"]
@@ -212,6 +212,7 @@ def linked_sets(docs: DataFrame, shingle: int = 4, percent: int = 85) -> tuple[D
     """(documents: o, tag, n, c), (the least set that links reach, for linked sets but the least: c, root), (classes: c, first)."""
     spark = docs.sparkSession
     tune(spark)
+    sweep(spark)
     rows = _rows(docs)
     profile = cut(rows.select("o", "tag", "text").mapInArrow(_profile(shingle), "kind int, a long, b long, n long, s long, " + ", ".join(f"{g} long" for g in SIGNS)))
     members = profile.filter("kind = 0").select(F.col("a").alias("o"), F.col("b").alias("tag"), "n", F.col("s").alias("c"))
@@ -250,8 +251,9 @@ def linked_sets(docs: DataFrame, shingle: int = 4, percent: int = 85) -> tuple[D
         tall = state.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("cell").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("k2"))
         tall = cut(tall.filter("k * k > k2"))
         sums = tall.agg(F.sum("k").alias("rows"), F.sum((F.col("k") * F.col("k") - F.col("k2")) / 2).alias("pairs")).first()
-        if not sums["rows"] or sums["pairs"] <= OPEN_PAIRS * sums["rows"]:
+        if not sums["rows"] or (turn and sums["pairs"] <= OPEN_PAIRS * sums["rows"]):
             break
+        sweep(spark)
         by = F.struct(F.xxhash64("c", F.lit(turn)).alias("h"), "c", "n", "pos", "root", *SIGNS)
         slot = F.pmod(F.xxhash64("c", F.lit(-turn - 1)), F.lit(PIVOTS)).cast("int")
         pivots = state.join(tall.select("cell"), "cell").groupBy("cell", slot.alias("slot")).agg(F.min(by).alias("p")).select("cell", "slot", F.col("p.c").alias(f"p{turn}"), F.col("p.n").alias("np"), F.col("p.pos").alias("pp"), F.col("p.root").alias("rp"), *[F.col(f"p.{g}").alias(f"{g}p") for g in SIGNS])
@@ -267,6 +269,7 @@ def linked_sets(docs: DataFrame, shingle: int = 4, percent: int = 85) -> tuple[D
         both = both.union(found.select("y", "x", distance))
         state = state.drop("root").join(pivots.filter("slot = 0").select("cell", pivot), "cell", "left").join(both, ["c", pivot], "left").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
         state = cut(state)
+    sweep(spark)
     # Then the pairs that are apart so far and that the triangle inequality over all pivots leaves open.
     turns = [c[1:] for c in state.columns if c[0] == "d" and c[1:].isdigit()]
     split = state.groupBy("cell").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("cell")

@@ -64,6 +64,12 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
 
 
+def sweep(spark: SparkSession) -> None:
+    """Have the driver collect its garbage now: shuffle files, checkpoints and broadcasts of finished queries go with it."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def released(run):
     """A mapInArrow function that gives what it no longer needs back to the system when its task ends.
 
