@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Number words and units of deadlines, in natural order.
-NUMBER_WORDS = {"een": 1, "twee": 2, "drie": 3, "vier": 4, "vijf": 5, "zes": 6, "zeven": 7, "acht": 8, "negen": 9, "tien": 10}
-UNITS = {"uur": "hour", "uren": "hour", "dag": "day", "dagen": "day", "week": "week", "weken": "week", "maand": "month", "maanden": "month", "jaar": "year", "jaren": "year"}
-UNDELAYED = r"(onverwijld|zo spoedig mogelijk|without undue delay)"
+NUMBER_WORDS = {"een": 1, "één": 1, "twee": 2, "drie": 3, "vier": 4, "vijf": 5, "zes": 6, "zeven": 7, "acht": 8, "negen": 9, "tien": 10, "elf": 11, "twaalf": 12, "dertien": 13, "veertien": 14, "vijftien": 15, "zestien": 16, "zeventien": 17, "achttien": 18, "negentien": 19, "twintig": 20, "vierentwintig": 24, "achtenveertig": 48, "tweeënzeventig": 72, "tweeenzeventig": 72}
+UNITS = {"uur": "hour", "uren": "hour", "dag": "day", "dagen": "day", "werkdag": "working day", "werkdagen": "working day", "kalenderdag": "day", "kalenderdagen": "day", "week": "week", "weken": "week", "maand": "month", "maanden": "month", "jaar": "year", "jaren": "year"}
+UNDELAYED = r"(onverwijld|onmiddellijk|zo spoedig mogelijk|without undue delay)"
+#: Typographic signs and what they stand for: quotes, dashes, spaces; letters of full width and ligatures.
+_SIGNS = {"\u2018": "'", "\u2019": "'", "\u201a": "'", "\u201c": '"', "\u201d": '"', "\u201e": '"', "\u00ab": '"', "\u00bb": '"', "\u2010": "-", "\u2011": "-", "\u2012": "-", "\u2013": "-", "\u2014": "-", "\u2212": "-", "\u00a0": " ", "\u2007": " ", "\u2009": " ", "\u202f": " ", "\u3000": " "}
+_SIGNS |= {chr(0xFEE0 + c): chr(c) for c in range(0x21, 0x7F)}
+_LIGATURES = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\u2026": "..."}
+#: Letters with the marks that may follow them apart, as one: what composing does to Latin letters.
+_COMPOSED = {unicodedata.decomposition(chr(c)): chr(c) for c in range(0xC0, 0x180) if " " in unicodedata.decomposition(chr(c)) and "<" not in unicodedata.decomposition(chr(c))}
+_MARKS = sorted({d.split()[1] for d in _COMPOSED})
 
 
 def normalise(c: Column) -> Column:
@@ -24,8 +33,9 @@ def tokens(c: Column, least: int = 4) -> Column:
 def deadline(c: Column) -> Column:
     """struct<value, unit> of the first deadline in a phrase; `undelayed` for those without a number, else null."""
     t = normalise(c)
-    number = F.regexp_extract(t, r"(\d+|" + "|".join(NUMBER_WORDS) + r") (" + "|".join(sorted(UNITS, reverse=True)) + r")(?![a-z])", 1)
-    unit = F.regexp_extract(t, r"(\d+|" + "|".join(NUMBER_WORDS) + r") (" + "|".join(sorted(UNITS, reverse=True)) + r")(?![a-z])", 2)
+    longest = lambda names: "|".join(sorted(names, key=len, reverse=True))
+    pattern = rf"(?<![\p{{L}}\p{{N}}.,])(\d+|{longest(NUMBER_WORDS)}) ({longest(UNITS)})(?![\p{{L}}\p{{N}}])"
+    number, unit = F.regexp_extract(t, pattern, 1), F.regexp_extract(t, pattern, 2)
     words = F.create_map(*[F.lit(x) for kv in NUMBER_WORDS.items() for x in kv])
     units = F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv])
     value = F.coalesce(number.try_cast("int"), F.try_element_at(words, number))

@@ -13,6 +13,7 @@ from ..operators import pairs as P
 from ..operators import review as R
 from ..sources import TABLES, table
 from .evaluating import EVALUATING
+from .norms import NORM_ORACLES, NORM_QUERIES
 from .portable import PORTABLE
 from .scoring import SCORING
 from .shaping import SHAPING
@@ -39,7 +40,7 @@ def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KEYS_SQL = """
 k AS (SELECT DISTINCT doc_id AS owner, lang, key FROM (SELECT doc_id, lang, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-zà-ÿ]+')) AS key FROM documents) WHERE length(key) >= 4),
 n AS (SELECT count(DISTINCT owner) AS n FROM k),
-spec AS (SELECT key, count(*) AS df, round(1 - ln(count(*)) / ln((SELECT n FROM n)), 6) AS specificity FROM k GROUP BY key)"""
+spec AS (SELECT key, count(*) AS df, round(1 - ln(1 + count(*)) / ln(1 + (SELECT n FROM n)), 6) AS specificity FROM k GROUP BY key)"""
 
 
 @query(f"""WITH {_KEYS_SQL},
@@ -118,7 +119,7 @@ def review_queue(keys: DataFrame, budget: int, cap: int, minimum: float, calibra
     most = 12
     while True:
         top = R.greedy_budget_cap(P.inverted_index_pairs(keys, "lang", most=most, min_score=minimum), budget, cap, minimum).collect()  # at most 1.1 budgets
-        unread = 1 - math.log(most + 1) / math.log(n) if n > 1 else 0.0
+        unread = 1 - math.log(most + 2) / math.log(n + 1)
         if most >= n or unread < minimum - 1e-6 or (len(top) >= budget and top[budget - 1]["score"] > unread + 1e-6):
             break
         most *= 2
@@ -168,3 +169,6 @@ def _portable(name: str, sql: str, oracle: str | None) -> None:
 
 for _name, (_sql, _oracle) in {**PORTABLE, **SCORING, **EVALUATING, **SHAPING}.items():
     _portable(_name, _sql, _oracle)
+
+QUERIES.update(NORM_QUERIES)
+ORACLES.update(NORM_ORACLES)

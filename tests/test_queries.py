@@ -6,13 +6,16 @@ import math
 import os
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from pairloom.operators import containment, pairs, review
+from pairloom.functions import text as T
+from pairloom.operators import containment, norms, pairs, review
 from pairloom.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -60,7 +63,7 @@ def test_pairs_of_common_keys(spark):
     held = {k: {"all"} | ({"copy"} if k < 13 else set()) | {f"few{k // 2}"} for k in range(40)}
     keys = spark.createDataFrame([(k, x) for k, xs in held.items() for x in xs], "owner long, key string")
     df = {x: sum(x in xs for xs in held.values()) for xs in held.values() for x in xs}
-    score = lambda x: round(1 - math.log(df[x]) / math.log(40), 6)
+    score = lambda x: round(1 - math.log(1 + df[x]) / math.log(41), 6)
     for floor in (0.0, 0.2, 0.5):
         want = {}
         for i, j in itertools.combinations(held, 2):
@@ -93,7 +96,7 @@ def test_review_queue_of_all_keys(spark):
     held = {k: {f"few{k // 2}"} | {f"mid{rng.randrange(30)}" for _ in range(2)} for k in range(400)}
     keys = spark.createDataFrame([(k, "ab"[k % 2], x) for k, xs in held.items() for x in xs], "owner long, lang string, key string")
     df = Counter(x for xs in held.values() for x in xs)
-    everything = [(i, j, max(round(1 - math.log(df[x]) / math.log(400), 6) for x in held[i] & held[j])) for i, j in itertools.combinations(held, 2) if i % 2 != j % 2 and held[i] & held[j]]
+    everything = [(i, j, max(round(1 - math.log(1 + df[x]) / math.log(401), 6) for x in held[i] & held[j])) for i, j in itertools.combinations(held, 2) if i % 2 != j % 2 and held[i] & held[j]]
     frame = spark.createDataFrame(everything, "i long, j long, score double")
     for budget in (150, 260):
         got = registry.review_queue(keys, budget, 3, 0.3, 6).collect()
@@ -142,3 +145,36 @@ def test_whole_passages_and_ordered_pieces(spark, con):
     got = containment.verbatim_pairs(spark.createDataFrame(spans, "span_id long, span string"), spark.createDataFrame(texts, "text_id long, text string")).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
     assert any(i and i >= 100 and k >= 100 for i, k in want)
+
+
+def test_deadlines_are_whole_words(spark):
+    want = {"binnen veertien dagen": (14, "day"), "achttien maanden": (18, "month"), "binnen vierentwintig uur": (24, "hour"), "uiterlijk twee werkdagen": (2, "working day"), "binnen 72 uur": (72, "hour"), "1,5 uur": None, "zeventien": None, "drie dagenlang": None}
+    got = {r["p"]: r["d"] for r in spark.createDataFrame([(p,) for p in want], "p string").select("p", T.deadline(F.col("p")).alias("d")).collect()}
+    assert {p: d and (d["value"], d["unit"]) for p, d in got.items()} == want
+
+
+def test_normalise_is_nfkc_of_latin_text(spark):
+    texts = ["\u201cA\u0301e\u0308\u201d \u2013 o\u0302\ufb01\u00a0x", "\uff21\uff42\uff11", "e\u0301e\u0300 n\u0303", None, "", " a \t b\n"]
+    plain = {"\u201c": '"', "\u201d": '"', "\u2013": "-"}
+    want = [t and " ".join("".join(plain.get(x, x) for x in unicodedata.normalize("NFKC", t)).lower().split()) for t in texts]
+    got = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(T.normalise(F.col("t"))).collect()]
+    assert got == want
+
+
+def test_zero_vectors_have_no_cosine(spark):
+    v = spark.createDataFrame([(1, 0, [0.0, 0.0]), (2, 1, [1.0, 0.0]), (3, 0, [1.0, 0.0])], "vec_id long, label int, embedding array<float>")
+    assert [(r.i, r.j) for r in pairs.floor_pairs(v, 0.5).collect()] == [(2, 3)]
+    assert {(r.i, r.j) for r in pairs.knn_two_budgets(v, 2, 2).collect()} == {(2, 3), (3, 2)}
+
+
+def test_addressees_of_siblings(spark):
+    rows = [(1, "a", 1, 1, "X"), (2, "a", 1, 1, None), (3, "a", 1, 2, "Y"), (4, "a", 1, 3, None), (5, "a", 1, 2, "Y"), (6, "b", None, 1, "X"), (7, "b", None, 1, None), (8, "a", 1, None, None)]
+    out = norms.infer_addressee(spark.createDataFrame(rows, "norm_id long, instrument string, article int, paragraph int, addressee string"))
+    assert {r.norm_id: (r.inferred, r.inferred_by) for r in out.collect() if r.addressee is None} == {2: ("X", "paragraph"), 4: ("Y", "article"), 7: (None, None), 8: ("Y", "article")}
+
+
+def test_object_pair_of_narrower_units(spark):
+    rows = [(1, "plan", 1, "plan", None, ["plan"], []), (2, "risk plan", 1, "plan", None, ["plan", "risk"], []), (3, "plan audit", 1, "audit", "plan", ["audit"], ["c1"]), (4, "none", 1, None, None, None, ["c1"])]
+    units = spark.createDataFrame(rows, "owner long, unit string, pos int, head string, tail string, nouns array<string>, concepts array<string>")
+    got = {(r.i, r.j): (r.relation, r.direction) for r in norms.object_pair_scores(units).collect()}
+    assert got == {(1, 2): ("head", "b_narrower"), (1, 3): ("tail", "b_narrower"), (2, 3): ("tail", "b_narrower"), (3, 4): ("eurovoc", "")}
