@@ -12,6 +12,7 @@ the triangle inequality over the first pivot of each round leaves it open and th
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +31,8 @@ FRESH_WORDS, KNOWN_WORDS = 1 << 18, 1 << 18
 SEEN_SETS = 100_000
 #: Sets of a region up to which its pairs meet at once.
 SMALL = 32
-#: Rounds of pivots at most, pivots of a region in a round, and open pairs for a member of a
-#: region below which no more rounds are needed.
-ROUNDS, PIVOTS, OPEN_PAIRS = 3, 8, 64
+#: Pivots of a region in a round.
+PIVOTS = 8
 _EMPTY = 0
 #: Parities of a set's shingles over 256 buckets, in four longs.
 SIGNS = ["g0", "g1", "g2", "g3"]
@@ -245,14 +245,16 @@ def linked_sets(docs: DataFrame, shingle: int = 4, percent: int = 85) -> tuple[D
     measured = [found]
     roots = _joined(None, found.filter(is_link).select("x", "y"))
     # Larger ones: rounds of pivots, all members of a region against them, where the sizes leave a link
-    # open and none is known.
+    # open and none is known; on while a round at least halves the pairs of a region that are apart.
     state = cut(multi.filter(F.col("k") > SMALL).drop("k").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c")))
-    for turn in range(ROUNDS):
+    apart = None
+    for turn in itertools.count():
         tall = state.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("cell").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("k2"))
         tall = cut(tall.filter("k * k > k2"))
         sums = tall.agg(F.sum("k").alias("rows"), F.sum((F.col("k") * F.col("k") - F.col("k2")) / 2).alias("pairs")).first()
-        if not sums["rows"] or (turn and sums["pairs"] <= OPEN_PAIRS * sums["rows"]):
+        if not sums["rows"] or (apart is not None and 2 * sums["pairs"] > apart):
             break
+        apart = sums["pairs"]
         sweep(spark)
         by = F.struct(F.xxhash64("c", F.lit(turn)).alias("h"), "c", "n", "pos", "root", *SIGNS)
         slot = F.pmod(F.xxhash64("c", F.lit(-turn - 1)), F.lit(PIVOTS)).cast("int")
