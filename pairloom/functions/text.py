@@ -20,9 +20,24 @@ _COMPOSED = {unicodedata.decomposition(chr(c)): chr(c) for c in range(0xC0, 0x18
 _MARKS = sorted({d.split()[1] for d in _COMPOSED})
 
 
+def folded(c: Column) -> Column:
+    """Quotes, dashes and spaces in their plain form, ligatures and full width undone, Latin letters composed with their marks.
+
+    The part of NFKC that concerns Latin text, in built-in functions; other scripts stay as they are.
+    """
+    out = F.translate(c, "".join(_SIGNS), "".join(_SIGNS.values()))
+    for sign, letters in _LIGATURES.items():
+        out = F.replace(out, F.lit(sign), F.lit(letters))
+    composed = out
+    for apart, whole in _COMPOSED.items():
+        composed = F.replace(composed, F.lit("".join(chr(int(x, 16)) for x in apart.split())), F.lit(whole))
+    marked = out.rlike("[" + "".join(f"\\x{{{m}}}" for m in _MARKS) + "]")
+    return F.when(marked, composed).otherwise(out)
+
+
 def normalise(c: Column) -> Column:
-    """Lower case, no-break spaces and runs of space to one space, ends trimmed; null stays null."""
-    return F.trim(F.regexp_replace(F.lower(F.translate(c, " ", " ")), r"[ \t\r\n]+", " "))
+    """Folded, lower case, runs of space to one space, ends trimmed; null stays null."""
+    return F.trim(F.regexp_replace(F.lower(folded(c)), r"[ \t\r\n]+", " "))
 
 
 def tokens(c: Column, least: int = 4) -> Column:
