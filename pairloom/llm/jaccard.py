@@ -31,8 +31,8 @@ FRESH_WORDS, KNOWN_WORDS = 1 << 18, 1 << 18
 SEEN_SETS = 100_000
 #: Sets of a region up to which its pairs meet at once.
 SMALL = 32
-#: Pivots of a region in a round.
-PIVOTS = 8
+#: Pivots of a region in a round, and pairs apart for each member up to which a region needs no round.
+PIVOTS, WIDE = 8, 256
 _EMPTY = 0
 #: Parities of a set's shingles over 256 buckets, in four longs.
 SIGNS = ["g0", "g1", "g2", "g3"]
@@ -245,19 +245,23 @@ def linked_sets(docs: DataFrame, shingle: int = 4, percent: int = 85) -> tuple[D
     measured = [found]
     roots = _joined(None, found.filter(is_link).select("x", "y"))
     # Larger ones: rounds of pivots, all members of a region against them, where the sizes leave a link
-    # open and none is known; on while a round at least halves the pairs of a region that are apart.
-    state = cut(multi.filter(F.col("k") > SMALL).drop("k").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c")))
-    apart = None
+    # open and none is known.  Each region goes on for itself, while its pairs apart are more than WIDE for
+    # each member (fewer grow in proportion to it) and a round takes a quarter of them or more; only members count that have as many pivots
+    # left as a link to a set of their own size needs.  Half the pivots are members that were linked to most
+    # pivots of the round before: the text that many near copies stem from is found that way.
+    state = cut(multi.filter(F.col("k") > SMALL).drop("k").join(roots, "c", "left").withColumns({"root": F.coalesce("root", "c"), "hits": F.lit(0).cast("long")}))
+    before = None
     for turn in itertools.count():
-        tall = state.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("cell").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("k2"))
-        tall = cut(tall.filter("k * k > k2"))
-        sums = tall.agg(F.sum("k").alias("rows"), F.sum((F.col("k") * F.col("k") - F.col("k2")) / 2).alias("pairs")).first()
-        if not sums["rows"] or (apart is not None and 2 * sums["pairs"] > apart):
+        tall = state.filter(left("n", "pos", "n")).groupBy("cell", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("cell").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("k2"))
+        tall = tall.select("cell", ((F.col("k") * F.col("k") - F.col("k2")) / 2).alias("apart"), "k").filter(F.col("apart") > WIDE * F.col("k")).drop("k")
+        if before is not None:
+            tall = tall.join(before.withColumnRenamed("apart", "was"), "cell").filter("4 * apart <= 3 * was").drop("was")
+        tall = before = cut(tall)
+        if tall.isEmpty():
             break
-        apart = sums["pairs"]
         sweep(spark)
-        by = F.struct(F.xxhash64("c", F.lit(turn)).alias("h"), "c", "n", "pos", "root", *SIGNS)
         slot = F.pmod(F.xxhash64("c", F.lit(-turn - 1)), F.lit(PIVOTS)).cast("int")
+        by = F.struct(F.when(slot % 2 == 1, -F.col("hits")).otherwise(0).alias("m"), F.xxhash64("c", F.lit(turn)).alias("h"), "c", "n", "pos", "root", *SIGNS)
         pivots = state.join(tall.select("cell"), "cell").groupBy("cell", slot.alias("slot")).agg(F.min(by).alias("p")).select("cell", "slot", F.col("p.c").alias(f"p{turn}"), F.col("p.n").alias("np"), F.col("p.pos").alias("pp"), F.col("p.root").alias("rp"), *[F.col(f"p.{g}").alias(f"{g}p") for g in SIGNS])
         pivot = f"p{turn}"
         star = state.join(pivots, "cell").filter((F.col("root") != F.col("rp")) & near("n", "np", "pos", "pp", "", "p"))
@@ -266,11 +270,15 @@ def linked_sets(docs: DataFrame, shingle: int = 4, percent: int = 85) -> tuple[D
             pairs = pairs.join(done.select("x", "y"), ["x", "y"], "left_anti")
         found = _verify(cut(pairs), rows, classes, shingle)
         measured.append(found)
-        roots = _joined(roots, found.filter(is_link).select("x", "y"))
+        links = found.filter(is_link).select("x", "y")
+        roots = _joined(roots, links)
+        ends = pivots.select(F.col(pivot).alias("p")).distinct()
+        hits = links.select(F.col("x").alias("c"), F.col("y").alias("p")).union(links.select("y", "x")).join(ends, "p").groupBy("c").agg(F.count(F.lit(1)).alias("hits"))
+        hits = hits.join(ends.withColumnRenamed("p", "c"), "c", "left_anti")
         both = found.select(F.col("x").alias("c"), F.col("y").alias(pivot), distance.alias(f"d{turn}"))
         both = both.union(found.select("y", "x", distance))
-        state = state.drop("root").join(pivots.filter("slot = 0").select("cell", pivot), "cell", "left").join(both, ["c", pivot], "left").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
-        state = cut(state)
+        state = state.drop("root", "hits").join(pivots.filter("slot = 0").select("cell", pivot), "cell", "left").join(both, ["c", pivot], "left").join(roots, "c", "left").join(hits, "c", "left")
+        state = cut(state.withColumns({"root": F.coalesce("root", "c"), "hits": F.coalesce("hits", F.lit(0))}))
     sweep(spark)
     # Then the pairs that are apart so far and that the triangle inequality over all pivots leaves open.
     turns = [c[1:] for c in state.columns if c[0] == "d" and c[1:].isdigit()]
