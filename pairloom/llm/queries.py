@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, jaccard, langid, mixing, packing, quality, sharding, substring, toxicity
+from . import ann, bytebpe, chat, heavy, importance, jaccard, langid, mixing, packing, quality, sharding, substring, toxicity
 from .textkit import read
 
 
@@ -31,7 +31,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": _documents(sharding.shard_documents),
     "op9_langid_centroids": _documents(langid.identify_documents),
     "op10_jaccard_join": _documents(jaccard.join_documents),
+    "op11_heavy_hitters": heavy.heavy_hitters,
+    "op12_importance_resampling": lambda spark, sf_dir: importance.resample_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")),
+    "op13_byte_bpe": _documents(bytebpe.encode_documents),
     "pipeline": _pipeline,
 }
 
-ORACLES: dict[str, str] = {"op6_chat_rotation": chat.ORACLE}
+ORACLES: dict[str, str] = {"op6_chat_rotation": chat.ORACLE, "op11_heavy_hitters": heavy.ORACLE}

@@ -12,6 +12,7 @@ import gc
 import re
 import tempfile
 import threading
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -196,3 +197,10 @@ def batches(table_schema: pa.Schema, columns: list) -> pa.RecordBatch:
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of df as a Parquet table of the shared folder: lineage cut, columns packed, read as often as needed."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
