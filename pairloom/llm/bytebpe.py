@@ -13,6 +13,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .packing import Kept
 from .textkit import released, tune
@@ -214,7 +215,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*b.schema.names, "ids"])
 
-    return docs.mapInArrow(run, docs.schema.add("ids", "array<int>"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode(rows: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -230,7 +231,7 @@ def decode(rows: DataFrame, path: str, pattern: str) -> DataFrame:
             out = [None if not x.is_valid else tok.decode(x.values.to_numpy().astype("<u4").tobytes()) for x in ids]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "decoded"])
 
-    return rows.mapInArrow(run, rows.schema.add("decoded", "binary"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
 def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
