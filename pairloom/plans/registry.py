@@ -17,6 +17,7 @@ from .norms import NORM_ORACLES, NORM_QUERIES
 from .portable import PORTABLE
 from .scoring import SCORING
 from .shaping import SHAPING
+from .texts import TEXT_ORACLES, TEXT_QUERIES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -172,3 +173,5 @@ for _name, (_sql, _oracle) in {**PORTABLE, **SCORING, **EVALUATING, **SHAPING}.i
 
 QUERIES.update(NORM_QUERIES)
 ORACLES.update(NORM_ORACLES)
+QUERIES.update(TEXT_QUERIES)
+ORACLES.update(TEXT_ORACLES)
