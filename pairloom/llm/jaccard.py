@@ -24,7 +24,7 @@ from .substring import _rows, _spread, shown_id
 from .textkit import Words, cut, mix, released, signed, sweep, tokenize, tune, windows
 
 #: Most frequent words that give the order of the pivots, and rows of a table that is broadcast.
-ORDER_WORDS, BROADCAST_ROWS = 1 << 20, 1_000_000
+ORDER_WORDS, BROADCAST_ROWS = 1 << 16, 1_000_000
 #: Words that a task counts at a time, and word counts that it keeps.
 FRESH_WORDS, KNOWN_WORDS = 1 << 18, 1 << 18
 #: Sets that a task remembers, so that copies go into their regions once.
@@ -244,6 +244,7 @@ def linked_sets(docs: DataFrame, shingle: int = 4, percent: int = 85) -> tuple[D
     found = _verify(cut(few.select(F.col("cx").alias("x"), F.col("cy").alias("y")).distinct()), rows, classes, shingle)
     measured = [found]
     roots = _joined(None, found.filter(is_link).select("x", "y"))
+    shared.unpersist()  # the regions are in reliable storage
     # Larger ones: rounds of pivots, all members of a region against them, where the sizes leave a link
     # open and none is known.  Each region goes on for itself, while its pairs apart are more than WIDE for
     # each member (fewer grow in proportion to it) and a round takes a quarter of them or more; only members count that have as many pivots
