@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import agreement as A
 from ..operators import spans as S
 from ..sources import table
+from ..sources import tables as G
 
 TEXT_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TEXT_ORACLES: dict[str, str] = {}
@@ -106,3 +107,22 @@ def conservative_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = ["client_id", "hour"]
     made = A.resolve(A.align(*_two_readings(spark, sf_dir), unit), unit, actionable=("I", "U"))
     return made.select(*unit, "norm_index", "deontic", "action_lemma", "uncertain", "reason", F.col("alternative.pos").alias("alternative_pos"), "deontic_alternative")
+
+
+def _brand_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table for each brand: its parts in rows, the type stated where it changes, the name left out for every seventh size."""
+    part = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_type", "p_size", "p_name")
+    by = Window.partitionBy("p_brand").orderBy("p_partkey")
+    above = F.lag("p_type").over(by)
+    cell = lambda name, text: F.concat(F.lit(f'<entry colname="{name}"><al>'), F.replace(text.cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("</al></entry>"))
+    row = F.concat(F.lit("<row>"), F.when(above.eqNullSafe(F.col("p_type")), "").otherwise(cell("a", F.col("p_type"))), cell("b", F.col("p_size")), F.when(F.col("p_size") % 7 == 0, "").otherwise(cell("c", F.col("p_name"))), F.lit("</row>"))
+    rows = part.withColumn("row", row).groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "row"))), lambda x: x["row"]), "").alias("body"))
+    head = '<table><tgroup><colspec colname="a"/><colspec colname="b"/><colspec colname="c"/><thead><row><entry namest="a" nameend="b">Kind</entry><entry colname="c">Name</entry></row><row><entry colname="a">type</entry><entry colname="b">size</entry><entry colname="c">Name</entry></row></thead><tbody>'
+    return rows.select("p_brand", F.concat(F.lit(head), "body", F.lit("</tbody></tgroup></table>")).alias("xml"))
+
+
+@query("""WITH r AS (SELECT *, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1)::INTEGER AS row_no FROM part),
+n AS (SELECT *, coalesce(last_value(CASE WHEN p_size % 7 <> 0 THEN p_name END IGNORE NULLS) OVER (PARTITION BY p_brand ORDER BY p_partkey), '(geen)') AS name FROM r)
+SELECT p_brand, row_no, 0 AS column_no, 'Kind – type' AS header, p_type AS text FROM n UNION ALL SELECT p_brand, row_no, 1, 'Kind – size', p_size::VARCHAR FROM n UNION ALL SELECT p_brand, row_no, 2, 'Name', name FROM n""")
+def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.table_grid(_brand_tables(spark, sf_dir), "p_brand").select("p_brand", "row_no", "column_no", "header", "text")
