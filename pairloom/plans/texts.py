@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import phrases as P
 from ..operators import agreement as A
+from ..operators import inventory as I
 from ..operators import spans as S
 from ..sources import table
 from ..sources import tables as G
@@ -126,3 +128,66 @@ n AS (SELECT *, coalesce(last_value(CASE WHEN p_size % 7 <> 0 THEN p_name END IG
 SELECT p_brand, row_no, 0 AS column_no, 'Kind – type' AS header, p_type AS text FROM n UNION ALL SELECT p_brand, row_no, 1, 'Kind – size', p_size::VARCHAR FROM n UNION ALL SELECT p_brand, row_no, 2, 'Name', name FROM n""")
 def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.table_grid(_brand_tables(spark, sf_dir), "p_brand").select("p_brand", "row_no", "column_no", "header", "text")
+
+
+def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of actors as texts have them, made of clients' segments and cities in four ways."""
+    c = table(spark, sf_dir, "clients").select("client_id", F.coalesce("segment", F.lit("groep")).alias("s"), F.coalesce("city", F.lit("Stad")).alias("t"))
+    way = F.pmod("client_id", F.lit(4))
+    phrase = F.when(way == 0, F.concat(F.lit("a) de "), "s", F.lit(" als bedoeld in artikel 43, lid 2, van deze verordening"))).when(way == 1, F.concat(F.lit("door alle  "), "s", F.lit("s die wonen in "), "t")).when(way == 2, F.lit("Zij")).otherwise(F.concat(F.lit("“"), "t", F.lit("” en/of het "), "s"))
+    return c.filter("client_id IS NOT NULL").select(way.alias("way"), phrase.alias("phrase"))
+
+
+@query("""WITH c AS (SELECT client_id % 4 AS way, coalesce(segment, 'groep') AS s, coalesce(city, 'Stad') AS t FROM clients WHERE client_id IS NOT NULL)
+SELECT CASE way WHEN 0 THEN 'a) de ' || s || ' als bedoeld in artikel 43, lid 2, van deze verordening' WHEN 1 THEN 'door alle  ' || s || 's die wonen in ' || t WHEN 2 THEN 'Zij' ELSE '“' || t || '” en/of het ' || s END AS phrase,
+CASE way WHEN 0 THEN s WHEN 1 THEN s || 's' WHEN 2 THEN '' ELSE t || ' of het ' || s END AS actor,
+CASE way WHEN 0 THEN 'list mark,reference,signs at the ends,leading words' WHEN 1 THEN 'relative clause,spaces,preposition at the front,leading words' WHEN 2 THEN 'pronoun' ELSE 'quotes,and/or' END AS rules, count(*) AS n FROM c GROUP BY ALL""")
+def cleaned_actors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    phrases = _phrases(spark, sf_dir).groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))  # each phrase is cleaned once
+    return phrases.withColumn("r", P.rewritten(F.col("phrase"))).select("phrase", F.col("r.text").alias("actor"), F.array_join("r.trace", ",").alias("rules"), "n")
+
+
+@query("""WITH c AS (SELECT DISTINCT segment AS s, source AS o, city AS t FROM clients WHERE segment IS NOT NULL AND source IS NOT NULL AND city IS NOT NULL)
+SELECT s || 's en ' || o || 'en, de ' || s || ' van ' || t AS phrase, 0 AS place, s || 's van ' || t AS part, s || 's' AS head FROM c
+UNION ALL SELECT s || 's en ' || o || 'en, de ' || s || ' van ' || t, 1, o || 'en van ' || t, o || 'en' FROM c UNION ALL SELECT s || 's en ' || o || 'en, de ' || s || ' van ' || t, 2, s || ' van ' || t, s FROM c""")
+def coordinated_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "clients").filter("segment IS NOT NULL AND source IS NOT NULL AND city IS NOT NULL")
+    phrases = c.select(F.concat("segment", F.lit("s en "), "source", F.lit("en, de "), "segment", F.lit(" van "), "city").alias("phrase")).distinct()
+    parts = phrases.select("phrase", F.posexplode(P.conjuncts(F.col("phrase"))).alias("place", "part"))
+    return parts.withColumn("head", P.head_split(F.col("part"))["head"])
+
+
+@query()
+def stem_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct word of all documents and its key."""
+    words = table(spark, sf_dir, "documents").select(F.explode(P.words_of(F.coalesce("text", F.lit("")))).alias("word")).distinct()
+    return words.withColumn("key", P.word_key(F.col("word")))
+
+
+def _inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as defined terms of their brand, endings of their names as heads, items of whole tens as key entries."""
+    items = table(spark, sf_dir, "items").filter("name IS NOT NULL AND brand IS NOT NULL AND kind IS NOT NULL")
+    thing = F.substring_index("name", " ", -1)
+    definitions = items.select(F.col("brand").alias("document"), F.col("item_id").alias("position"), F.concat("name", F.lit(" voor "), "kind").alias("term"), F.col("item_id").alias("article"), F.lit(None).cast("string").alias("paragraph"), F.col("name").alias("definition"))
+    heads = items.filter("size < 30").groupBy(F.substring(thing, -4, 4).alias("ending")).agg(F.min("kind").alias("class"))
+    heads = heads.union(items.filter("item_id < 2").select(thing, F.lit("-")).distinct())
+    keyed = items.filter("item_id % 10 = 0")
+    curated = keyed.select(F.col("item_id").alias("position"), F.col("name").alias("label"), F.array(F.concat("name", F.lit(" voor "), "kind")).alias("aliases"), F.when(F.col("item_id") % 20 == 0, F.array(F.lit("eu"))).otherwise(F.array("brand")).alias("scope"), F.col("kind").alias("class"), F.concat(F.lit("large "), thing).alias("part_of"))
+    return I.actor_inventory(definitions, heads, curated)
+
+
+_ITEMS = r"""i AS (SELECT *, split_part(name, ' ', -1) AS thing, lower(strip_accents(name || ' voor ' || kind)) AS plain, regexp_replace(lower(strip_accents(name)), '[^a-z0-9]+', '_', 'g') AS slug FROM items WHERE name IS NOT NULL AND brand IS NOT NULL AND kind IS NOT NULL),
+h AS (SELECT lower(right(thing, 4)) AS ending, min(kind) AS class FROM i WHERE size < 30 GROUP BY ALL), no AS (SELECT DISTINCT lower(thing) AS w FROM i WHERE item_id < 2),
+f AS (SELECT thing, unnest([lower(thing), CASE WHEN thing LIKE '%s' AND length(thing) > 3 THEN left(lower(thing), -1) END, CASE WHEN thing LIKE '%en' AND length(thing) > 4 THEN left(lower(thing), -2) END, CASE WHEN thing LIKE '%n' AND length(thing) > 3 THEN left(lower(thing), -1) END]) AS form, unnest([1, 2, 3, 4]) AS turn FROM (SELECT DISTINCT thing FROM i WHERE lower(thing) NOT IN (FROM no))),
+c AS (SELECT thing, arg_min(class, turn * 100 - length(ending)) AS class FROM f JOIN h ON ends_with(form, ending) GROUP BY thing),
+d AS (SELECT i.*, c.class AS own, row_number() OVER (PARTITION BY brand, plain ORDER BY item_id, name || ' voor ' || i.kind) AS r FROM i JOIN c ON i.thing = c.thing),
+k AS (SELECT *, 'KEY:' || CASE WHEN item_id % 20 = 0 THEN 'EU' ELSE brand END || ':' || trim(slug, '_') AS id FROM i WHERE item_id % 10 = 0),
+t AS (SELECT lower(strip_accents(name)) AS label, arg_max(id, item_id) AS id FROM k GROUP BY ALL)"""
+
+
+@query(rf"""WITH {_ITEMS}
+SELECT brand || ':' || trim(regexp_replace(plain, '[^a-z0-9]+', '_', 'g'), '_') AS id, name || ' voor ' || kind AS label, 'defined' AS kind, brand AS scope, '' AS excluded, own AS class, NULL AS part_of, brand || ' art. ' || item_id AS source FROM d WHERE r = 1
+UNION ALL SELECT k.id, k.name, 'key', CASE WHEN item_id % 20 = 0 THEN 'eu' ELSE brand END, coalesce((SELECT string_agg(DISTINCT d.brand, ',' ORDER BY d.brand) FROM d WHERE d.plain = k.plain), ''), k.kind, t.id, 'curated' FROM k LEFT JOIN t ON t.label = lower(strip_accents('large ' || k.thing))""")
+def actor_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scope = F.array_join(F.coalesce("documents", "scope"), ",")
+    return _inventory(spark, sf_dir).select("id", "label", "kind", scope.alias("scope"), F.array_join(F.coalesce("excluded", F.array().cast("array<string>")), ",").alias("excluded"), "class", "part_of", "source")
