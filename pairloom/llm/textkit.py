@@ -61,13 +61,22 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for Python workers that share a small executor (for the rest of the session)."""
+    """Keep Arrow batches small enough for Python workers that share a small executor, and the texts of plans short that the driver keeps of each query (for the rest of the session)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.maxPlanStringLength", "4000")
+
+
+def _give_back() -> None:
+    """Return what this Python process has freed to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def sweep(spark: SparkSession) -> None:
     """Have the driver collect its garbage now: shuffle files, checkpoints and broadcasts of finished queries go with it."""
-    gc.collect()
+    _give_back()
     spark.sparkContext._jvm.System.gc()
 
 
@@ -81,10 +90,7 @@ def released(run):
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
-                ctypes.CDLL(None).malloc_trim(0)
+            _give_back()
 
     return inner
 
