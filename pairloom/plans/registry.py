@@ -13,6 +13,7 @@ from ..operators import pairs as P
 from ..operators import review as R
 from ..sources import TABLES, table
 from .evaluating import EVALUATING
+from .laws import LAW_ORACLES, LAW_QUERIES
 from .norms import NORM_ORACLES, NORM_QUERIES
 from .portable import PORTABLE
 from .scoring import SCORING
@@ -173,5 +174,7 @@ for _name, (_sql, _oracle) in {**PORTABLE, **SCORING, **EVALUATING, **SHAPING}.i
 
 QUERIES.update(NORM_QUERIES)
 ORACLES.update(NORM_ORACLES)
+QUERIES.update(LAW_QUERIES)
+ORACLES.update(LAW_ORACLES)
 QUERIES.update(TEXT_QUERIES)
 ORACLES.update(TEXT_ORACLES)
