@@ -46,10 +46,10 @@ def tokens(c: Column, least: int = 4) -> Column:
 
 
 def deadline(c: Column) -> Column:
-    """struct<value, unit> of the first deadline in a phrase; `undelayed` for those without a number, else null."""
+    """struct<value, unit> of the first deadline in a phrase, a number and unit after `binnen` or `uiterlijk`; `undelayed` for those without a number, else null."""
     t = normalise(c)
     longest = lambda names: "|".join(sorted(names, key=len, reverse=True))
-    pattern = rf"(?<![\p{{L}}\p{{N}}.,])(\d+|{longest(NUMBER_WORDS)}) ({longest(UNITS)})(?![\p{{L}}\p{{N}}])"
+    pattern = rf"(?<![\p{{L}}\p{{N}}])(?:binnen|uiterlijk) (\d+|{longest(NUMBER_WORDS)}) ({longest(UNITS)})(?![\p{{L}}\p{{N}}])"
     number, unit = F.regexp_extract(t, pattern, 1), F.regexp_extract(t, pattern, 2)
     words = F.create_map(*[F.lit(x) for kv in NUMBER_WORDS.items() for x in kv])
     units = F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv])
@@ -58,6 +58,11 @@ def deadline(c: Column) -> Column:
     return F.when(number != "", found).when(t.rlike(UNDELAYED), F.struct(F.lit(None).cast("double").alias("value"), F.lit("undelayed").alias("unit")))
 
 
+def deadline_start(c: Column) -> Column:
+    """What a deadline runs from: the words after `na` or `nadat` up to a sign or the end; empty if it names nothing."""
+    return F.regexp_extract(normalise(c), r"(?<![\p{L}\p{N}])na(?:dat)? (.+?)(?:[,.;]|$)", 1)
+
+
 def amount(c: Column) -> Column:
     """Euros of an amount such as `20 000 000 EUR` or a share such as `2 %`, as struct<value, kind>; else null."""
     t = normalise(c)

@@ -43,7 +43,7 @@ def comparable(kind: str, c: Column) -> Column:
     plain = T.normalise(F.coalesce(c, F.lit(""))) if kind in ("lemma", "deadline") else None
     if kind == "deadline":
         d = T.deadline(c)
-        return F.struct(d.isNotNull().alias("there"), d["value"].alias("value"), d["unit"].alias("unit"), plain.alias("raw"))
+        return F.struct(d.isNotNull().alias("there"), d["value"].alias("value"), d["unit"].alias("unit"), plain.alias("raw"), F.coalesce(T.deadline_start(c), F.lit("")).alias("since"))
     return {"same": lambda: c, "lemma": lambda: plain, "text": lambda: word_set(c), "list": lambda: list_words(c)}[kind]()
 
 
@@ -53,7 +53,7 @@ def agrees(kind: str, a: Column, b: Column) -> Column:
         return a.eqNullSafe(b)
     if kind == "deadline":
         bare = a["value"].isNull() & b["value"].isNull()
-        return F.when(~a["there"] | ~b["there"], a["there"] == b["there"]).when(bare, a["raw"] == b["raw"]).otherwise(a["value"].eqNullSafe(b["value"]) & (a["unit"] == b["unit"]))
+        return F.when(~a["there"] | ~b["there"], a["there"] == b["there"]).when(bare, a["raw"] == b["raw"]).otherwise(a["value"].eqNullSafe(b["value"]) & (a["unit"] == b["unit"]) & (a["since"] == b["since"]))
     return overlap(a, b) >= LEAST
 
 

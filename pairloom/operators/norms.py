@@ -140,16 +140,27 @@ def object_pair_scores(units: DataFrame, min_score: float = 0.0, weights: Mappin
     return out.select("i", "j", F.round(-F.col("low"), 4).alias("score"), F.col("unita").alias("unit_i"), F.col("unitb").alias("unit_j"), "key", "relation", F.round("specificity", 4).alias("specificity"), "weight", direction(*names).alias("direction"))
 
 
-def context_with_budget(paragraphs: DataFrame, budget: int = 6000, *, article: str = "article", at: str = "pos", label: str = "label", text: str = "text") -> DataFrame:
-    """article, pos and context: the other paragraphs of an article in order, labelled, cut to one budget of characters.
+def context_with_budget(paragraphs: DataFrame, budget: int = 6000, *, article: str = "article", at: str = "pos", label: str = "label", text: str = "text", least: int = 200) -> DataFrame:
+    """article, pos and context: the other paragraphs of an article in order, labelled, within one budget of characters.
 
-    An article's paragraphs are gathered in one row, as an article is.  Null texts count as empty.
+    A paragraph that is longer than what is left of the budget is cut to that, or to `least` if that is more, and marked ` [...]`;
+    none is dropped.  The only paragraph of an article has no context (null).  A null label is the place in the article,
+    from 1; null texts count as empty.  An article's paragraphs are gathered in one row, as an article is.
     """
-    line = F.concat(F.lit("["), F.coalesce(F.col(label).cast("string"), F.lit("")), F.lit("] "), F.coalesce(F.col(text), F.lit("")))
-    whole = paragraphs.groupBy(article).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), line.alias("line")))).alias("all"))
-    each = whole.select(article, F.explode("all.at").alias(at), "all")
-    others = F.array_join(F.transform(F.filter("all", lambda x: x["at"] != F.col(at)), lambda x: x["line"]), "\n")
-    return each.select(article, at, F.left(others, F.lit(budget)).alias("context"))
+    one = F.struct(F.col(at).alias("at"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("string").alias("label"))
+    whole = paragraphs.groupBy(article).agg(F.array_sort(F.collect_list(one)).alias("all"))
+    named = F.transform("all", lambda x, k: F.struct(x["text"].alias("text"), F.coalesce(F.nullif(x["label"], F.lit("")), (k + 1).cast("string")).alias("label"), k.alias("k")))
+
+    def add(state: Column, x: Column) -> Column:
+        cut = F.when(F.length(x["text"]) > state["left"], F.concat(F.rtrim(F.left(x["text"], F.greatest(state["left"], F.lit(least)))), F.lit(" [...]"))).otherwise(x["text"])
+        put = lambda t: F.struct(F.greatest(state["left"] - F.length(t), F.lit(0)).alias("left"), F.array_append(state["parts"], F.concat(F.lit("[lid "), x["label"], F.lit("] "), t)).alias("parts"))
+        return F.get(F.transform(F.array(cut), put), F.lit(0))
+
+    start = F.struct(F.lit(budget).alias("left"), F.array().cast("array<string>").alias("parts"))
+    each = F.transform("named", lambda x: F.array_join(F.aggregate(F.filter("named", lambda y: y["k"] != x["k"]), start, add)["parts"], "\n\n"))
+    contexts = whole.withColumn("named", named).select(article, F.arrays_zip(F.col("all.at").alias("at"), each.alias("context")).alias("c"))
+    rows = contexts.select(article, F.size("c").alias("n"), F.explode("c").alias("c"))
+    return rows.select(article, F.col("c.at").alias(at), F.when(F.col("n") > 1, F.col("c.context")).alias("context"))
 
 
 def paragraph_backfill(norms: DataFrame, paragraphs: DataFrame) -> DataFrame:
@@ -186,19 +197,62 @@ def deference_suppresses(pairs: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def relevant_definitions(norms: DataFrame, definitions: DataFrame, least: int = 4, most: int = 2) -> DataFrame:
-    """norm_id, term, rank: the longest `most` defined terms of the norm's own instrument that stand in its text as whole words.
+    """norm_id, term, rank: the longest `most` defined terms of the norm's own instrument that stand anywhere in its text, within words too.
 
-    Met by words: a term's first word is one of the text's, then the whole term is looked for.
+    Case and runs of white space aside.  Terms of one length go by name.  Met by equal keys: the first `least` characters of
+    a term are some run of so many of the text, then the whole term is looked for.
     """
-    space = lambda c: F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), " "), F.lit(" "))
-    terms = definitions.filter(F.length("term") >= least).select("instrument", "term", space(F.col("term")).alias("t")).distinct().withColumn("w", F.split(F.trim("t"), " ")[0])
-    texts = norms.select("norm_id", "instrument", space(F.col("text")).alias("x"))
-    words = texts.select("norm_id", "instrument", "x", F.explode(F.array_distinct(F.split(F.trim("x"), " "))).alias("w"))
-    hit = words.join(terms, ["instrument", "w"]).filter(F.contains("x", "t")).select("norm_id", "term").distinct()
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"(?U)\s+", " "))
+    terms = definitions.select("instrument", "term", plain(F.col("term")).alias("t")).filter(F.length("t") >= least).distinct().withColumn("w", F.left("t", F.lit(least)))
+    texts = norms.select("norm_id", "instrument", plain(F.col("text")).alias("x")).filter(F.length("x") >= least)
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("x") - least + 1), lambda k: F.substring(F.col("x"), k, F.lit(least))))
+    hit = texts.select("norm_id", "instrument", "x", F.explode(runs).alias("w")).join(terms, ["instrument", "w"]).filter(F.contains("x", "t")).select("norm_id", "term").distinct()
     order = Window.partitionBy("norm_id").orderBy(F.desc(F.length("term")), "term")
     return hit.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
 
 
+#: Ordinals that number the paragraphs of an article.
+ORDINALS = {"eerste": 1, "tweede": 2, "derde": 3, "vierde": 4, "vijfde": 5, "zesde": 6, "zevende": 7, "achtste": 8, "negende": 9, "tiende": 10, "elfde": 11, "twaalfde": 12}
+
+
+def ordinal_paragraphs(c: Column) -> Column:
+    """array<int>: the paragraphs that a text names by ordinal (`het eerste lid`), each once, in rising order."""
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(rf"(?iU)\b({'|'.join(ORDINALS)})\s+lid\b"), F.lit(1))
+    number = F.create_map(*[F.lit(x) for kv in ORDINALS.items() for x in kv])
+    return F.array_sort(F.array_distinct(F.transform(found, lambda w: F.element_at(number, F.lower(w)))))
+
+
+def paragraph_deference(pairs: DataFrame) -> DataFrame:
+    """pairs plus deferring: the deference of a side that names the other's paragraph of the same article by ordinal, a's first; else null.
+
+    Columns end in _a and _b: instrument, article, number (text), deference.  Numbers that are no whole numbers are never named.
+    """
+    one = lambda x, y: F.array_contains(ordinal_paragraphs(F.col(f"deference_{x}")), F.col(f"number_{y}").try_cast("int"))
+    same = (F.col("instrument_a") == F.col("instrument_b")) & (F.col("article_a") == F.col("article_b"))
+    return pairs.withColumn("deferring", F.when(same & one("a", "b"), F.col("deference_a")).when(same & one("b", "a"), F.col("deference_b")))
+
+
+def related_paragraphs(norms: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """norm_id, place, direction, number, texts: the paragraphs of its article that a norm refers to (`forward`), then those that refer back to it (`back`).
+
+    norms: norm_id, instrument, article, number (text), text, refs (array of paragraph numbers that its wording names).
+    paragraphs: instrument, article, number, text, refs; those whose text no norm of the article has count
+    with their own references.  Each number once, its own left out: forward by number, back by length and number.  texts holds
+    every distinct text shown under a number, sorted; numbers without any are left out.
+    """
+    at = ["instrument", "article"]
+    bare = paragraphs.filter("text IS NOT NULL").join(norms.select(*at, "text").distinct(), [*at, "text"], "left_anti")
+    index = norms.select(*at, "number", "text").unionByName(bare.select(*at, "number", "text")).filter("text IS NOT NULL").groupBy(*at, F.col("number").alias("to")).agg(F.array_sort(F.collect_set("text")).alias("texts"))
+    named = norms.select(*at, "number", "refs").unionByName(bare.select(*at, "number", "refs"))
+    named = named.select(*at, F.col("number").alias("by"), F.explode(F.col("refs").cast("array<string>")).alias("number")).filter("by <> number").distinct()
+    forward = norms.select("norm_id", *at, "number", F.explode(F.col("refs").cast("array<string>")).alias("to")).filter("number <> to").withColumn("direction", F.lit("forward"))
+    back = norms.select("norm_id", *at, "number").join(named, [*at, "number"]).select("norm_id", *at, "number", F.col("by").alias("to"), F.lit("back").alias("direction"))
+    met = forward.unionByName(back).distinct().join(index, [*at, "to"])
+    turn = F.when(F.col("direction") == "forward", 0).otherwise(1)
+    place = F.row_number().over(Window.partitionBy("norm_id").orderBy(turn, F.when(turn == 0, F.col("to").try_cast("int")), F.length("to"), "to"))
+    return met.withColumn("place", place).select("norm_id", "place", "direction", F.col("to").alias("number"), "texts")
+
+
 def paragraph_references(refs: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """ref_id, instrument, article, number, texts: all texts of the paragraphs referred to; a number that several have keeps them all, an unknown one has none."""
     index = paragraphs.groupBy("instrument", "article", "number").agg(F.array_sort(F.collect_list("text")).alias("texts"))
@@ -226,19 +280,6 @@ def compound_tails(heads: DataFrame, least: int = 4) -> DataFrame:
     return found.groupBy("head").agg(F.min_by("tail", "at").alias("tail"))
 
 
-def draw_with_uses(pool: DataFrame, stratum: str, quota: int, uses: int, a: str = "i", b: str = "j", seed: str = "draw") -> DataFrame:
-    """Rows of each stratum in hash order, at most quota, no more than `uses` rows of any a, nor of any b, in the stratum.
-
-    Of a row's places among those of its a and of its b in hash order, both must be within `uses`:
-    a bound that needs no row-by-row choice, so it runs in parallel; rows it leaves out are not made up for.
-    """
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.col(a).cast("string"), F.col(b).cast("string")))
-    rows = pool.withColumn("_pl_k", key)
-    at = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("_pl_k", a, b))
-    rows = rows.withColumn("_pl_a", at(stratum, a)).withColumn("_pl_b", at(stratum, b)).filter((F.col("_pl_a") <= uses) & (F.col("_pl_b") <= uses))
-    return rows.withColumn("draw", at(stratum)).filter(F.col("draw") <= quota).drop("_pl_k", "_pl_a", "_pl_b")
-
-
 def seeded_sample(rows: DataFrame, key: str, n: int, seed: str = "sample") -> DataFrame:
     """n rows by least hash of the key, with the probability that each had; all rows if there are no more."""
     size = rows.agg(F.count(F.lit(1)).alias("_pl_n"))  # one row

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import norms as N
+from ..operators import review as V
 from ..sources import table
 
 NORM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,11 +98,19 @@ def object_pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.object_pair_scores(_units(spark, sf_dir))
 
 
-@query("""SELECT a.article, a.pos, left(coalesce((SELECT string_agg('[' || b.p_type || '] ' || b.p_name, chr(10) ORDER BY b.p_partkey) FROM part b WHERE b.p_brand = a.p_brand AND b.p_size = a.p_size AND b.p_partkey <> a.p_partkey), ''), 60) AS context
-FROM (SELECT p_brand || '/' || p_size AS article, p_partkey AS pos, p_brand, p_size, p_partkey FROM part) a""")
+@query("""WITH RECURSIVE p AS (SELECT p_brand || '/' || p_size % 5 AS article, p_partkey AS pos, CASE WHEN p_size % 4 <> 0 THEN p_size::VARCHAR END AS label, p_name || repeat(' ' || p_type, p_size % 9) AS text FROM part),
+o AS (SELECT *, coalesce(label, (row_number() OVER (PARTITION BY article ORDER BY pos))::VARCHAR) AS name, count(*) OVER (PARTITION BY article) AS n FROM p),
+x AS (SELECT a.article, a.pos, b.name, b.text, row_number() OVER (PARTITION BY a.article, a.pos ORDER BY b.pos) AS r FROM o a JOIN o b ON a.article = b.article AND a.pos <> b.pos),
+c AS (SELECT DISTINCT article, pos, 0::BIGINT AS r, 300 AS rest, '' AS context FROM x
+UNION ALL SELECT c.article, c.pos, x.r, greatest(rest - length(t), 0)::INTEGER, context || CASE WHEN x.r > 1 THEN chr(10) || chr(10) ELSE '' END || '[lid ' || x.name || '] ' || t
+FROM c JOIN x ON x.article = c.article AND x.pos = c.pos AND x.r = c.r + 1, LATERAL (SELECT CASE WHEN length(x.text) > c.rest THEN rtrim(left(x.text, greatest(c.rest, 20))) || ' [...]' ELSE x.text END AS t))
+SELECT o.article, o.pos, CASE WHEN o.n > 1 THEN arg_max(c.context, c.r) END AS context FROM o LEFT JOIN c ON c.article = o.article AND c.pos = o.pos GROUP BY o.article, o.pos, o.n""")
 def article_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", "p_size").alias("article"), F.col("p_partkey").alias("pos"), F.col("p_type").alias("label"), F.col("p_name").alias("text"))
-    return N.context_with_budget(rows, 60)
+    """Parts of a brand and a fifth of the sizes as the paragraphs of an article, some without a number."""
+    size = F.col("p_size")
+    text = F.concat("p_name", F.repeat(F.concat(F.lit(" "), "p_type"), size % 9))
+    rows = table(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", (size % 5).cast("string")).alias("article"), F.col("p_partkey").alias("pos"), F.when(size % 4 != 0, size).alias("label"), text.alias("text"))
+    return N.context_with_budget(rows, 300, least=20)
 
 
 @query("""WITH m AS (SELECT a.p_partkey AS norm_id, b.p_partkey AS idx, contains(b.p_name, a.p_name) AS has FROM part a LEFT JOIN part b ON a.p_brand = b.p_brand AND a.p_size + 1 = b.p_size)
@@ -124,13 +133,13 @@ def deference_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.deference_suppresses(pairs, aliases).select("i", "j", "suppressed")
 
 
-@query("""WITH d AS (SELECT DISTINCT p_brand AS instrument, split_part(p_name, ' ', 1) AS term FROM part UNION SELECT p_brand, p_name FROM part),
-h AS (SELECT DISTINCT p_partkey AS norm_id, term FROM part JOIN d ON p_brand = instrument AND length(term) >= 4 AND contains(' ' || lower(p_name || ' ' || p_type) || ' ', ' ' || lower(term) || ' '))
+@query("""WITH d AS (SELECT DISTINCT p_brand AS instrument, split_part(p_name, ' ', 1) AS term FROM part UNION SELECT p_brand, p_name FROM part UNION SELECT p_brand, right(p_name, 5) FROM part),
+h AS (SELECT DISTINCT p_partkey AS norm_id, term FROM part JOIN d ON p_brand = instrument AND length(term) >= 4 AND contains(lower(p_name || ' ' || p_type), lower(term)))
 SELECT norm_id, term, row_number() OVER (PARTITION BY norm_id ORDER BY length(term) DESC, term) AS rank FROM h QUALIFY rank <= 2""")
 def relevant_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     norms = part.select(F.col("p_partkey").alias("norm_id"), F.col("p_brand").alias("instrument"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
-    terms = part.select(F.col("p_brand").alias("instrument"), F.explode(F.array(F.split("p_name", " ")[0], F.col("p_name"))).alias("term"))
+    terms = part.select(F.col("p_brand").alias("instrument"), F.explode(F.array(F.split("p_name", " ")[0], F.col("p_name"), F.right("p_name", F.lit(5)))).alias("term"))
     return N.relevant_definitions(norms, terms)
 
 
@@ -161,12 +170,41 @@ def compound_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.compound_tails(part.select(F.explode(F.array(F.replace("p_name", F.lit(" "), F.lit("")), F.split("p_name", " ")[1])).alias("head")))
 
 
-@query("""WITH k AS (SELECT l_returnflag AS stratum, l_suppkey AS i, l_partkey AS j, md5('draw|' || l_suppkey || '|' || l_partkey) AS h FROM (SELECT DISTINCT l_returnflag, l_suppkey, l_partkey FROM lineitem)),
-u AS (SELECT *, row_number() OVER (PARTITION BY stratum, i ORDER BY h, i, j) AS a, row_number() OVER (PARTITION BY stratum, j ORDER BY h, i, j) AS b FROM k)
-SELECT stratum, i, j, row_number() OVER (PARTITION BY stratum ORDER BY h, i, j) AS draw FROM u WHERE a <= 2 AND b <= 2 QUALIFY draw <= 50""")
+@query("""WITH RECURSIVE k AS (SELECT DISTINCT l_returnflag AS stratum, l_suppkey AS i, l_partkey AS j, md5('draw|' || l_suppkey || '|' || l_partkey) AS h FROM lineitem),
+s AS (SELECT stratum, row_number() OVER (ORDER BY count(*), stratum) AS turn, count(*) AS size FROM k GROUP BY stratum),
+o AS (SELECT k.*, s.turn, s.size, row_number() OVER (PARTITION BY k.stratum ORDER BY h, i, j) AS r FROM k JOIN s ON k.stratum = s.stratum),
+g AS (SELECT 1::BIGINT AS turn, 1::BIGINT AS r, []::BIGINT[] AS used, 0 AS n, NULL::VARCHAR AS stratum, NULL::BIGINT AS i, NULL::BIGINT AS j, 0 AS draw
+UNION ALL SELECT CASE WHEN done THEN o.turn + 1 ELSE o.turn END, CASE WHEN done THEN 1 ELSE o.r + 1 END, CASE WHEN ok THEN g.used || [o.i, o.j] ELSE g.used END, CASE WHEN done THEN 0 ELSE g.n + ok::INT END, CASE WHEN ok THEN o.stratum END, o.i, o.j, g.n + ok::INT
+FROM g JOIN o ON o.turn = g.turn AND o.r = g.r, LATERAL (SELECT len(list_filter(g.used, lambda x: x = o.i)) < 2 AND len(list_filter(g.used, lambda x: x = o.j)) < 2 AS ok), LATERAL (SELECT g.n + ok::INT = 50 OR o.r = o.size AS done))
+SELECT stratum, i, j, draw FROM g WHERE stratum IS NOT NULL""")
 def draw_with_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers and parts share one count of uses, as norms do that stand on either side of a pair."""
     pool = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("stratum"), F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("j")).distinct()
-    return N.draw_with_uses(pool, "stratum", 50, 2)
+    return V.draw_with_uses(pool, "stratum", 50, 2)
+
+
+@query(f"""SELECT i, j, CASE WHEN a.p_brand = b.p_brand AND a.p_size % 3 = b.p_size % 3 THEN CASE WHEN a.p_size % 12 + 1 = b.p_size AND b.p_size < 13 THEN 'a' WHEN b.p_size % 12 + 1 = a.p_size AND a.p_size < 13 THEN 'b' END END AS side FROM ({_EDGES}) e JOIN part a ON e.i = a.p_partkey JOIN part b ON e.j = b.p_partkey""")
+def paragraph_deference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part defers to the paragraph that follows its size; parts of a brand with one rest of the size are one article."""
+    part = table(spark, sf_dir, "part")
+    word = F.element_at(F.array(*[F.lit(w) for w in N.ORDINALS]), F.col("p_size") % 12 + 1)
+    of = lambda k, e: part.select(F.col("p_partkey").alias(k), F.col("p_brand").alias(f"instrument_{e}"), (F.col("p_size") % 3).alias(f"article_{e}"), F.col("p_size").cast("string").alias(f"number_{e}"), F.concat(F.lit(f"{e}: in afwijking van het "), word, F.lit(" lid")).alias(f"deference_{e}"))
+    pairs = _edges(spark, sf_dir).join(of("i", "a"), "i").join(of("j", "b"), "j")
+    return N.paragraph_deference(pairs).select("i", "j", F.left("deferring", F.lit(1)).alias("side"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, p_brand AS ins, p_type AS art, p_size::VARCHAR AS num, p_name AS text, [p_size % 9 + 1, p_size % 4 + 1, p_size] AS refs, p_partkey % 5 <> 0 AS norm FROM part),
+n AS (SELECT * FROM p WHERE norm), b AS (SELECT * FROM p WHERE NOT EXISTS (FROM n WHERE n.ins = p.ins AND n.art = p.art AND n.text = p.text)),
+ix AS (SELECT ins, art, num, string_agg(DISTINCT text, '|' ORDER BY text) AS texts FROM (SELECT ins, art, num, text FROM n UNION ALL SELECT ins, art, num, text FROM b) GROUP BY ALL),
+rf AS (SELECT DISTINCT ins, art, num AS by_, unnest(refs)::VARCHAR AS num FROM (FROM n UNION ALL FROM b)),
+m AS (SELECT DISTINCT id, ins, art, 'forward' AS direction, r AS num FROM (SELECT id, ins, art, num AS own, unnest(refs)::VARCHAR AS r FROM n) WHERE own <> r UNION SELECT n.id, n.ins, n.art, 'back', rf.by_ FROM n JOIN rf ON rf.ins = n.ins AND rf.art = n.art AND rf.num = n.num WHERE rf.by_ <> n.num)
+SELECT id AS norm_id, row_number() OVER (PARTITION BY id ORDER BY direction DESC, CASE direction WHEN 'forward' THEN m.num::INT END, length(m.num), m.num)::INTEGER AS place, direction, m.num AS number, texts FROM m JOIN ix ON ix.ins = m.ins AND ix.art = m.art AND ix.num = m.num""")
+def related_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of a brand and kind as the paragraphs of an article, sizes as numbers; every fifth holds no norm."""
+    size = F.col("p_size")
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("norm_id"), F.col("p_brand").alias("instrument"), F.col("p_type").alias("article"), size.cast("string").alias("number"), F.col("p_name").alias("text"), F.array(size % 9 + 1, size % 4 + 1, size).alias("refs"))
+    found = N.related_paragraphs(rows.filter("norm_id % 5 <> 0"), rows.drop("norm_id"))
+    return found.select("norm_id", "place", "direction", "number", F.array_join("texts", "|").alias("texts"))
 
 
 @query("SELECT o_orderkey, round(least(1.0, 100.0 / (SELECT count(*) FROM orders)), 6)::DOUBLE AS probability FROM orders ORDER BY md5('sample|' || o_orderkey), o_orderkey LIMIT 100")

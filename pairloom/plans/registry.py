@@ -144,6 +144,18 @@ def greedy_budget_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review_queue(_keys(spark, sf_dir), 200, 3, 0.5, 6)
 
 
+@query(f"""WITH RECURSIVE {_KEYS_SQL}, p AS (SELECT k.owner, k.lang, k.key, s.specificity FROM k JOIN spec s ON k.key = s.key WHERE s.df >= 2 AND s.specificity >= 0.7),
+x AS (SELECT i, j, max(specificity) AS score FROM (SELECT a.owner AS i, b.owner AS j, a.specificity FROM p a JOIN p b ON a.key = b.key AND a.owner < b.owner AND a.lang <> b.lang) GROUP BY i, j),
+o AS (SELECT *, row_number() OVER (ORDER BY score DESC, md5(i || '|' || j), i, j) AS r FROM x),
+g AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS used, 0 AS n, 0.0::DOUBLE AS cut, NULL::BIGINT AS i, NULL::BIGINT AS j, NULL::DOUBLE AS score, false AS ok
+UNION ALL SELECT o.r, CASE WHEN t.ok THEN g.used || [o.i, o.j] ELSE g.used END, g.n + t.ok::INT, CASE WHEN t.ok AND g.n < 40 THEN o.score ELSE g.cut END, o.i, o.j, o.score, t.ok
+FROM g JOIN o ON o.r = g.r + 1 AND (g.n < 40 OR (g.n < 44 AND g.cut - o.score < 1e-9)), LATERAL (SELECT len(list_filter(g.used, lambda y: y = o.i)) < 3 AND len(list_filter(g.used, lambda y: y = o.j)) < 3 AS ok) t)
+SELECT i, j, score, n AS rank, CASE WHEN n <= 40 THEN 'top' ELSE 'tie_extension' END AS selection FROM g WHERE ok""")
+def greedy_top_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 40 pairs of different languages with at most three an owner, and those tied with the last."""
+    return R.greedy_budget_cap(P.inverted_index_pairs(_keys(spark, sf_dir), "lang", min_score=0.7), 40, 3, 0.7)
+
+
 _PHRASES = ["binnen 24 uur nadat", "uiterlijk drie dagen", "onverwijld", "zo spoedig mogelijk", "binnen 72 uur en binnen 4 weken", "", "20 000 000 EUR", "20 000 000 EUR", "€ 1.000.000,-", "10,5 euro", "2 % van de totale wereldwijde jaaromzet", "betrouwbaarheidsniveau hoog"]
 
 
