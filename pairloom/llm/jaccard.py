@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .substring import _rows, _spread, shown_id
-from .textkit import Words, cut, mix, released, signed, sweep, tokenize, tune, windows
+from .textkit import Words, drop, mix, released, signed, sweep, tokenize, tune, windows, written
 
 #: Most frequent words that give the order of the pivots, and rows of a table that is broadcast.
 ORDER_WORDS, BROADCAST_ROWS = 1 << 16, 1_000_000
@@ -159,6 +159,15 @@ def _measure(shingle: int):
     return released(run)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of df as a table of the shared folder.
+
+    A checkpoint would keep the planner's guess of its size, and guesses multiply at each join: over
+    many rounds they become numbers of millions of digits, which fill the driver.  A table has the size of its files.
+    """
+    return written(df, "jaccard")
+
+
 def _is_star(stars: DataFrame) -> bool:
     """Whether each u has one v and no u is a v of another."""
     ends = stars.select(F.col("u").alias("k"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(stars.select("v", F.lit(0), F.lit(1)))
@@ -177,8 +186,11 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: a node and its lesser neighbours go to the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        stars = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
-    return stars.select(F.col("u").alias("c"), F.col("v").alias("root"))
+        old, stars = stars, cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        drop(old)
+    out = stars.select(F.col("u").alias("c"), F.col("v").alias("root"))
+    out.table_path = stars.table_path
+    return out
 
 
 def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -189,7 +201,9 @@ def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     met = links.join(of("x"), "x", "left").join(of("y"), "y", "left")
     step = components(met.select(F.coalesce("rx", "x").alias("x"), F.coalesce("ry", "y").alias("y")))
     moved = roots.join(step.select(F.col("c").alias("root"), F.col("root").alias("to")), "root", "left")
-    return cut(moved.select("c", F.coalesce("to", "root").alias("root")).union(step))
+    out = cut(moved.select("c", F.coalesce("to", "root").alias("root")).union(step))
+    drop(roots, step)
+    return out
 
 
 def _texts(rows: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
@@ -201,11 +215,15 @@ def _texts(rows: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, rows: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
+    """x, y, nx, ny, common of pairs (a table, which is deleted)."""
     nodes = pairs.select(F.col("x").alias("c")).union(pairs.select(F.col("y").alias("c"))).distinct()
-    texts = _texts(rows, cut(nodes), classes)
+    nodes = cut(nodes)
+    texts = _texts(rows, nodes, classes)
     left = pairs.join(texts.select(F.col("c").alias("x"), F.col("text").alias("tx")), "x")
     full = left.join(texts.select(F.col("c").alias("y"), F.col("text").alias("ty")), "y").select("x", "y", "tx", "ty")
-    return cut(full.mapInArrow(_measure(shingle), "x long, y long, nx long, ny long, common long"))
+    out = cut(full.mapInArrow(_measure(shingle), "x long, y long, nx long, ny long, common long"))
+    drop(pairs, nodes)
+    return out
 
 
 def linked_sets(docs: DataFrame, shingle: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -251,13 +269,16 @@ def linked_sets(docs: DataFrame, shingle: int = 4, percent: int = 85) -> tuple[D
     # left as a link to a set of their own size needs.  Half the pivots are members that were linked to most
     # pivots of the round before: the text that many near copies stem from is found that way.
     state = cut(multi.filter(F.col("k") > SMALL).drop("k").join(roots, "c", "left").withColumns({"root": F.coalesce("root", "c"), "hits": F.lit(0).cast("long")}))
+    drop(multi)
     before = None
     for turn in itertools.count():
         tall = state.filter(left("n", "pos", "n")).groupBy("cell", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("cell").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("k2"))
         tall = tall.select("cell", ((F.col("k") * F.col("k") - F.col("k2")) / 2).alias("apart"), "k").filter(F.col("apart") > WIDE * F.col("k")).drop("k")
         if before is not None:
             tall = tall.join(before.withColumnRenamed("apart", "was"), "cell").filter("4 * apart <= 3 * was").drop("was")
-        tall = before = cut(tall)
+        old, before = before, cut(tall)
+        drop(old)
+        tall = before
         if tall.isEmpty():
             break
         sweep(spark)
@@ -278,8 +299,9 @@ def linked_sets(docs: DataFrame, shingle: int = 4, percent: int = 85) -> tuple[D
         hits = hits.join(ends.withColumnRenamed("p", "c"), "c", "left_anti")
         both = found.select(F.col("x").alias("c"), F.col("y").alias(pivot), distance.alias(f"d{turn}"))
         both = both.union(found.select("y", "x", distance))
-        state = state.drop("root", "hits").join(pivots.filter("slot = 0").select("cell", pivot), "cell", "left").join(both, ["c", pivot], "left").join(roots, "c", "left").join(hits, "c", "left")
-        state = cut(state.withColumns({"root": F.coalesce("root", "c"), "hits": F.coalesce("hits", F.lit(0))}))
+        at, state = state, state.drop("root", "hits").join(pivots.filter("slot = 0").select("cell", pivot), "cell", "left").join(both, ["c", pivot], "left").join(roots, "c", "left").join(hits, "c", "left")
+        old, state = at, cut(state.withColumns({"root": F.coalesce("root", "c"), "hits": F.coalesce("hits", F.lit(0))}))
+        drop(old)
     sweep(spark)
     # Then the pairs that are apart so far and that the triangle inequality over all pivots leaves open.
     turns = [c[1:] for c in state.columns if c[0] == "d" and c[1:].isdigit()]
@@ -294,7 +316,9 @@ def linked_sets(docs: DataFrame, shingle: int = 4, percent: int = 85) -> tuple[D
     for done in measured:
         pairs = pairs.join(done.select("x", "y"), ["x", "y"], "left_anti")
     last = _verify(cut(pairs), rows, classes, shingle)
-    return members, _joined(roots, last.filter(is_link).select("x", "y")), classes
+    roots = _joined(roots, last.filter(is_link).select("x", "y"))
+    drop(before, state, open_, last, *measured)
+    return members, roots, classes
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFrame:

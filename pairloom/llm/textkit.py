@@ -206,7 +206,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df as a Parquet table of the shared folder: lineage cut, columns packed, read as often as needed."""
+    """The rows of df as a Parquet table of the shared folder: lineage cut, columns packed, read as often as needed; `drop` deletes it."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out.table_path = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete tables that `written` made and that nothing reads any more."""
+    for t in tables:
+        if t is not None and (path := t.__dict__.get("table_path")):
+            where = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
