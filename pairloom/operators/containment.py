@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Words of a window by which a span and a text meet.
 WINDOW = 4
+#: Most spans that are broadcast at once.
+MOST = 20_000
 
 
 def plain(text: Column) -> Column:
@@ -40,16 +42,21 @@ def verbatim_pairs(spans: DataFrame, texts: DataFrame) -> DataFrame:
 
     A piece may begin and end within a word, but the words inside it are words of the text, so a
     span with a piece of WINDOW + 2 words is tried only where a window of them stands; shorter
-    spans are tried on all texts.  Spans and texts that are null are left out.
+    spans are tried on all texts, a block of them at a time.  More spans than MOST are not broadcast.  Spans and texts that are null are left out.
     """
-    quoted = spans.filter("span is not null").select("span_id", pieces(F.col("span")).alias("parts"))
+    quoted = spans.filter("span is not null").select("span_id", pieces(F.col("span")).alias("parts")).distinct()
     inner = F.transform("parts", lambda p: F.slice(F.split(p, " "), 2, F.greatest(F.size(F.split(p, " ")) - 2, F.lit(0))))
     found = F.flatten(F.filter(F.transform(inner, _windows), lambda w: w.isNotNull()))
     quoted = quoted.withColumn("h", F.get(found, F.lit(0)))
-    whole = texts.filter("text is not null").select("text_id", plain(F.col("text")).alias("text")).withColumn("k", F.xxhash64("text"))
+    whole = texts.filter("text is not null").select("text_id", plain(F.col("text")).alias("text")).withColumn("k", F.xxhash64("text")).dropDuplicates(["text_id", "k"])
+    sizes = quoted.agg(F.count("h").alias("long"), F.count_if(F.col("h").isNull()).alias("short")).first()
+    wide = quoted.filter("h is not null")
     met = whole.select("text_id", "k", F.explode(F.array_distinct(_windows(F.split("text", " ")))).alias("h"))
-    met = met.join(F.broadcast(quoted.filter("h is not null")), "h").select("text_id", "k", "span_id", "parts").distinct()
+    met = met.join(F.broadcast(wide) if sizes["long"] <= MOST else wide.hint("shuffle_hash"), "h").select("text_id", "k", "span_id", "parts").distinct()
     same = F.col("w.text_id").eqNullSafe(F.col("m.text_id")) & (F.col("w.k") == F.col("m.k"))
-    near = met.alias("m").join(whole.dropDuplicates(["text_id", "k"]).alias("w"), same).select("w.text_id", "m.span_id", "m.parts", "w.text")
-    rest = whole.crossJoin(F.broadcast(quoted.filter("h is null"))).select("text_id", "span_id", "parts", "text")
-    return near.union(rest).filter(in_order(F.col("parts"), F.col("text"))).select("text_id", "span_id").distinct()
+    near = met.alias("m").join(whole.alias("w"), same).select("w.text_id", "m.span_id", "m.parts", "w.text")
+    blocks = -(-sizes["short"] // MOST)
+    for k in range(blocks):  # a block of the short spans, held against all texts
+        some = quoted.filter("h is null").filter(F.pmod(F.xxhash64("parts"), F.lit(blocks)) == k)
+        near = near.union(whole.crossJoin(F.broadcast(some)).select("text_id", "span_id", "parts", "text"))
+    return near.filter(in_order(F.col("parts"), F.col("text"))).select("text_id", "span_id").distinct()

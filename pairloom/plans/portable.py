@@ -34,7 +34,6 @@ PORTABLE: dict[str, tuple[str, str | None]] = {
     "left_default_join": ("SELECT d.doc_id, coalesce(l.quality, -1) AS quality FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id", None),
     "suffix_head_join": ("SELECT p.p_partkey, h.class FROM {part} p JOIN (SELECT 'TIN' AS ending, 'metal' AS class UNION ALL SELECT 'STEEL', 'metal' UNION ALL SELECT 'COPPER', 'metal') h ON upper(p.p_type) LIKE concat('%', h.ending)", None),
     "relation_closure": ("SELECT a.n_nationkey AS a, b.n_nationkey AS b, CASE WHEN a.n_nationkey = b.n_nationkey THEN 'same' ELSE 'sibling' END AS relation FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey", None),
-    "adjacency_common_successor": ("WITH e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM {lineitem}), f AS (SELECT dst FROM e GROUP BY dst HAVING count(*) BETWEEN 2 AND 40) SELECT a.src AS i, b.src AS j, count(*) AS common FROM e a JOIN f ON a.dst = f.dst JOIN e b ON a.dst = b.dst AND a.src < b.src GROUP BY a.src, b.src", None),
     "scope_overlap": ("SELECT a.c_custkey AS i, b.c_custkey AS j FROM {customer} a JOIN {customer} b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey < b.c_custkey WHERE abs(a.c_acctbal - b.c_acctbal) < 50", None),
     # Scores
     "deontic_table": ("WITH d AS (SELECT 'duty' AS a, 'ban' AS b, 1.0D AS s UNION ALL SELECT 'duty', 'right', 0.6D UNION ALL SELECT 'ban', 'right', 0.8D) SELECT a, b, s FROM d UNION ALL SELECT b, a, s FROM d", "WITH d AS (SELECT 'duty' AS a, 'ban' AS b, 1.0::DOUBLE AS s UNION ALL SELECT 'duty', 'right', 0.6 UNION ALL SELECT 'ban', 'right', 0.8) SELECT a, b, s FROM d UNION ALL SELECT b, a, s FROM d"),

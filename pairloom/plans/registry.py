@@ -46,12 +46,12 @@ spec AS (SELECT key, count(*) AS df, round(1 - ln(1 + count(*)) / ln(1 + (SELECT
 
 
 @query(f"""WITH {_KEYS_SQL},
-p AS (SELECT k.owner, k.lang, k.key, s.specificity FROM k JOIN spec s ON k.key = s.key WHERE s.df BETWEEN 2 AND 30)
+p AS (SELECT k.owner, k.lang, k.key, s.specificity FROM k JOIN spec s ON k.key = s.key WHERE s.df >= 2)
 SELECT i, j, count(*) AS shared, max(specificity) AS score, substr(md5(i || '|' || j), 1, 16) AS pair
 FROM (SELECT a.owner AS i, b.owner AS j, a.specificity FROM p a JOIN p b ON a.key = b.key AND a.owner < b.owner AND a.lang <> b.lang)
 GROUP BY i, j ORDER BY score DESC, pair LIMIT 20""")
 def related_pairs_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.top_pairs(P.inverted_index_pairs(_keys(spark, sf_dir), "lang", most=30), 20)
+    return P.most_related(_keys(spark, sf_dir), 20, "lang")
 
 
 @query(f"WITH {_KEYS_SQL} SELECT key, df, specificity FROM spec")
@@ -59,10 +59,11 @@ def key_specificity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.key_specificity(_keys(spark, sf_dir))
 
 
-@query(f"""WITH {_KEYS_SQL}, p AS (SELECT k.owner, k.key, s.specificity FROM k JOIN spec s ON k.key = s.key WHERE s.df BETWEEN 2 AND 12)
+@query(f"""WITH {_KEYS_SQL}, p AS (SELECT k.owner, k.key, s.specificity FROM k JOIN spec s ON k.key = s.key WHERE s.df >= 2 AND s.specificity >= 0.7)
 SELECT a.owner AS i, b.owner AS j, count(*) AS shared, max(a.specificity) AS score FROM p a JOIN p b ON a.key = b.key AND a.owner < b.owner GROUP BY a.owner, b.owner""")
 def inverted_index_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.inverted_index_pairs(_keys(spark, sf_dir), most=12)
+    """All pairs of a score of at least 0.7; shared counts the keys that reach it."""
+    return P.inverted_index_pairs(_keys(spark, sf_dir), min_score=0.7)
 
 
 _COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))"
@@ -80,15 +81,28 @@ def knn_two_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.knn_two_budgets(table(spark, sf_dir, "embeddings"), 3, 8).select("i", "j", "same", "rank")
 
 
-@query(f"""WITH {_KEYS_SQL}, u AS (SELECT k.owner, k.key, s.specificity AS weight FROM k JOIN spec s ON k.key = s.key WHERE s.df BETWEEN 2 AND 8),
+@query(f"""WITH {_KEYS_SQL}, u AS (SELECT k.owner, k.key, s.specificity AS weight FROM k JOIN spec s ON k.key = s.key WHERE s.df >= 2 AND s.specificity >= 0.7),
 b AS (SELECT a.owner AS i, b.owner AS j, a.key AS unit, least(a.weight, b.weight) AS w FROM u a JOIN u b ON a.key = b.key AND a.owner < b.owner)
 SELECT i, j, unit, w FROM (SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY w DESC, unit) AS r FROM b) WHERE r = 1""")
 def best_unit_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = _keys(spark, sf_dir)
-    spec = P.key_specificity(keys).filter("df between 2 and 8")
+    spec = P.key_specificity(keys).filter("df >= 2 AND specificity >= 0.7").drop("df")
     return P.best_unit_pair(keys.select("owner", "key").join(spec, "key").withColumn("weight", F.col("specificity")))
 
 
+@query("""WITH e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem),
+p AS (SELECT a.s_suppkey AS i, b.s_suppkey AS j FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey),
+c AS (SELECT i, j, count(*) AS common FROM p JOIN e a ON a.src = i JOIN e b ON b.src = j AND b.dst = a.dst GROUP BY ALL),
+d AS (SELECT p.i, p.j, count(e.src) > 0 AS direct FROM p LEFT JOIN e ON (src = p.i AND dst = p.j) OR (src = p.j AND dst = p.i) GROUP BY ALL)
+SELECT d.i, d.j, direct, coalesce(common, 0) AS common, direct OR coalesce(common, 0) > 0 AS linked FROM d LEFT JOIN c ON c.i = d.i AND c.j = d.j""")
+def adjacency_common_successor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers of one nation as candidates: who delivers the same parts."""
+    s = table(spark, sf_dir, "supplier")
+    of = lambda k: s.select("s_nationkey", F.col("s_suppkey").alias(k))
+    pairs = of("i").join(of("j"), "s_nationkey").filter("i < j").select("i", "j")
+    return P.connected(pairs, table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")))
+
+
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events)
 SELECT user_id, event_id, event_type FROM r WHERE r = 1 AND event_type <> 'error'""")
 def latest_decision_state(spark: SparkSession, sf_dir: str) -> DataFrame:

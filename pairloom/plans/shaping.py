@@ -47,7 +47,6 @@ _SQL: dict[str, str] = {
     "instrument_typing": "SELECT doc_id, CASE WHEN source LIKE 'src%' THEN 'EU' ELSE 'NL' END AS jurisdiction, regexp_extract(source, '[0-9]+', 0) AS number FROM {documents}",
     "language_check": "SELECT doc_id, " + ", ".join(f"CAST(SIZE(regexp_extract_all(' ' || lower(coalesce(text, '')), ' ({w})', 0)) AS BIGINT) AS {k}" for k, w in _FUNCTION_WORDS.items()) + " FROM {documents}",
     "length_check": "SELECT doc_id, CAST(SIZE(regexp_extract_all(coalesce(text, ''), '[^ ]+', 0)) AS BIGINT) AS words, SIZE(regexp_extract_all(coalesce(text, ''), '[^ ]+', 0)) > 1.1 * 120 AS too_long, CAST(round(least(50, greatest(10, 50 - 20 * (log10(greatest(SIZE(regexp_extract_all(coalesce(text, ''), '[^ ]+', 0)), 1)) - 1))), 4) AS DOUBLE) AS target FROM {documents}",
-    "verbatim_containment": "SELECT d.doc_id, instr(regexp_replace(lower(d.text), '[ ]+', ' ' GLOBAL), lower(substr(CASE WHEN d.doc_id % 2 = 0 THEN d.text ELSE n.text END, 1, 24))) > 0 AS contained FROM {documents} d JOIN {documents} n ON n.doc_id = d.doc_id + 1 WHERE d.text IS NOT NULL AND n.text IS NOT NULL",
     "mechanical_line_checks": "WITH r AS (SELECT DISTINCT doc_id, ref FROM (SELECT doc_id, EACH(regexp_extract_all(coalesce(text, ''), '[0-9]+', 0)) AS ref FROM {documents}) x) SELECT r.doc_id, r.ref FROM r WHERE NOT EXISTS (SELECT 1 FROM {documents} d WHERE d.doc_id = r.doc_id + 1 AND instr(d.text, r.ref) > 0)",
     "input_gates": "SELECT count(*) AS n, count(DISTINCT doc_id) AS ids, count(CASE WHEN text IS NULL OR trim(text) = '' THEN 1 END) AS blank, count(*) = count(DISTINCT doc_id) AS unique_ids FROM {documents}",
     "verdict_checks": "SELECT doc_id, coalesce(CASE WHEN quality IS NULL THEN 'no quality' END, CASE WHEN toxic = 1 AND quality > 1 THEN 'good but toxic' END, CASE WHEN toxic NOT IN (0, 1) THEN 'label' END, 'consistent') AS reason FROM {labels}",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import phrases as P
 from ..operators import agreement as A
+from ..operators import containment as C
 from ..operators import inventory as I
 from ..operators import spans as S
 from ..sources import table
@@ -191,3 +192,18 @@ UNION ALL SELECT k.id, k.name, 'key', CASE WHEN item_id % 20 = 0 THEN 'eu' ELSE
 def actor_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     scope = F.array_join(F.coalesce("documents", "scope"), ",")
     return _inventory(spark, sf_dir).select("id", "label", "kind", scope.alias("scope"), F.array_join(F.coalesce("excluded", F.array().cast("array<string>")), ",").alias("excluded"), "class", "part_of", "source")
+
+
+@query(r"""WITH n AS (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL),
+b AS (SELECT item_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS whole, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS w FROM benchmark WHERE text IS NOT NULL),
+s AS (SELECT item_id, 'whole' AS kind, [whole] AS parts FROM b UNION ALL SELECT item_id, 'shortened', [lower(array_to_string(w[1:9], ' ')), lower(array_to_string(w[-7:], ' '))] FROM b WHERE len(w) > 20 UNION ALL SELECT item_id, 'short', [lower(array_to_string(w[1:3], ' '))] FROM b WHERE item_id % 4 = 0)
+SELECT DISTINCT doc_id, item_id, kind FROM n JOIN s ON contains(t, parts[1]) AND (len(parts) = 1 OR contains(substr(t, instr(t, parts[1]) + length(parts[1])), parts[2]))""")
+def verbatim_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages in whole texts: whole, shortened to their first nine and last seven words, and the first three words of some."""
+    b = table(spark, sf_dir, "benchmark").filter("text IS NOT NULL").withColumn("w", F.split(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")), " "))
+    join = lambda *x: F.array_join(F.slice("w", *x), " ")
+    spans = b.select("item_id", F.lit("whole").alias("kind"), F.col("text").alias("span"))
+    spans = spans.union(b.filter("size(w) > 20").select("item_id", F.lit("shortened"), F.concat(join(1, 9), F.lit(" ... "), join(-7, 7)))).union(b.filter("item_id % 4 = 0").select("item_id", F.lit("short"), join(1, 3)))
+    spans = spans.select(F.struct("item_id", "kind").alias("span_id"), "span")
+    found = C.verbatim_pairs(spans, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text"))
+    return found.select(F.col("text_id").alias("doc_id"), "span_id.item_id", "span_id.kind")
