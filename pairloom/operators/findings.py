@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .steady import steady
+from .ranks import placed
 
 #: The labels of the confidence tiers.
 TIERS = {1: "High", 2: "Medium", 3: "Low"}
@@ -57,17 +57,11 @@ def ranked(findings: DataFrame, producers: Sequence[str]) -> DataFrame:
     """
     turn = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(p) for p in producers]), F.col("producer")), F.lit(0)), F.lit(len(producers) + 1))
     open_ = F.when(F.try_variant_get("body", "$.status", "string") == "candidate", 0).otherwise(1)
-    order = ["_pl_open", F.desc_nulls_last("rank_score"), "_pl_turn", "producer", "subtype", "finding_id"]
-    parts = max(1, int(findings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    order = [F.col("_pl_open"), F.desc_nulls_last("rank_score"), *map(F.col, ("_pl_turn", "producer", "subtype", "finding_id"))]
     rows = findings.withColumns({"_pl_open": open_, "_pl_turn": turn})
     # Variants cannot be sorted or compared; the order is made on the other columns and meets them by key.
-    keys = rows.drop("body").dropDuplicates(["producer", "subtype", "finding_id"]).repartitionByRange(parts, *order).withColumn("_pl_part", F.spark_partition_id())
-    keys = steady(keys)  # ranges are drawn anew by every run of the plan
-    keys = keys.withColumn("_pl_row", F.row_number().over(Window.partitionBy("_pl_part").orderBy(*order)))
-    sizes = keys.groupBy("_pl_part").agg(F.count(F.lit(1)).alias("n"))  # a row for each partition
-    base = sizes.select("_pl_part", F.coalesce(F.sum("n").over(Window.orderBy("_pl_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_pl_base"))
-    placed = keys.join(F.broadcast(base), "_pl_part").select("producer", "subtype", "finding_id", (F.col("_pl_base") + F.col("_pl_row")).alias("place"))
-    return findings.join(placed, ["producer", "subtype", "finding_id"])
+    keys = placed(rows.drop("body").dropDuplicates(["producer", "subtype", "finding_id"]), order)
+    return findings.join(keys.select("producer", "subtype", "finding_id", "place"), ["producer", "subtype", "finding_id"])
 
 
 def write_own(findings: DataFrame, path: str) -> None:

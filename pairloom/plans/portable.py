@@ -20,15 +20,11 @@ PORTABLE: dict[str, tuple[str, str | None]] = {
     "importance_points": ("SELECT p_partkey, CASE WHEN p_size >= 40 THEN 3 WHEN p_size >= 20 THEN 2 ELSE 1 END + CASE WHEN p_retailprice >= 1500 THEN 2 ELSE 0 END AS points FROM {part}", None),
     "chapter_rollup": ("SELECT r.r_name AS chapter, n.n_name AS section, count(*) AS n FROM {customer} c JOIN {nation} n ON c.c_nationkey = n.n_nationkey JOIN {region} r ON n.n_regionkey = r.r_regionkey GROUP BY ROLLUP (r.r_name, n.n_name)", None),
     "concentration_topk": ("SELECT o_custkey, n, round(n / t, 6) AS share FROM (SELECT o_custkey, n, sum(n) OVER () AS t FROM (SELECT o_custkey, CAST(count(*) AS DOUBLE) AS n FROM {orders} GROUP BY o_custkey) a) b ORDER BY n DESC, o_custkey LIMIT 20", None),
-    "distribution_summary": ("SELECT l_returnflag, count(*) AS n, min(l_quantity) AS least, max(l_quantity) AS most, round(avg(l_quantity), 6) AS mean FROM {lineitem} GROUP BY l_returnflag", None),
     "bands": ("SELECT CASE WHEN p_retailprice < 1000 THEN 'low' WHEN p_retailprice < 1500 THEN 'middle' ELSE 'high' END AS band, count(*) AS n FROM {part} GROUP BY 1", None),
     # Windows and top-k
-    "percentile_rank_le": ("SELECT p_partkey, round(CAST(count(*) OVER (ORDER BY p_retailprice RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) / count(*) OVER (), 6) AS rank_le FROM {part}", None),
-    "interp_percentile": ("SELECT o_orderpriority, round(percentile(o_totalprice, 0.9), 4) AS p90 FROM {orders} GROUP BY o_orderpriority", "SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.9), 4) AS p90 FROM orders GROUP BY o_orderpriority"),
     "occurrence_number": ("SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) AS INT) AS occurrence FROM {lineitem}", None),
     "topk_per_group": ("SELECT c_nationkey, c_custkey, c_acctbal FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r FROM {customer}) t WHERE r <= 3", None),
     "share_of_total": ("SELECT p_brand, n, round(CAST(n AS DOUBLE) / sum(n) OVER (), 6) AS share FROM (SELECT p_brand, count(*) AS n FROM {part} GROUP BY p_brand) t", None),
-    "global_sort_tiebreak": ("SELECT s_suppkey, CAST(row_number() OVER (ORDER BY s_acctbal DESC, md5(CAST(s_suppkey AS STRING))) AS INT) AS place FROM {supplier}", None),
     "dhondt_allocation": ("SELECT c_mktsegment, count(*) AS seats FROM (SELECT c_mktsegment, row_number() OVER (ORDER BY q DESC, c_mktsegment, k) AS r FROM (SELECT c_mktsegment, k, CAST(n AS DOUBLE) / k AS q FROM (SELECT c_mktsegment, count(*) AS n FROM {customer} GROUP BY c_mktsegment) v CROSS JOIN (SELECT explode(sequence(1, 25)) AS k) s) t) u WHERE r <= 25 GROUP BY c_mktsegment", "SELECT c_mktsegment, count(*) AS seats FROM (SELECT c_mktsegment, row_number() OVER (ORDER BY q DESC, c_mktsegment, k) AS r FROM (SELECT c_mktsegment, k, CAST(n AS DOUBLE) / k AS q FROM (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment) v CROSS JOIN (SELECT unnest(range(1, 26)) AS k) s) t) u WHERE r <= 25 GROUP BY c_mktsegment"),
     # Joins
     "left_default_join": ("SELECT d.doc_id, coalesce(l.quality, -1) AS quality FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id", None),

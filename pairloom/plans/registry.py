@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import pairs as P
+from ..operators import ranks as K
 from ..operators import review as R
 from ..sources import TABLES, table
 from .evaluating import EVALUATING
@@ -103,6 +104,28 @@ def adjacency_common_successor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.connected(pairs, table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")))
 
 
+@query("SELECT p_partkey, round(count(*) OVER (ORDER BY p_retailprice RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::DOUBLE / count(*) OVER (), 6) AS rank_le FROM part")
+def percentile_rank_le(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.share_up_to(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), "p_retailprice").select("p_partkey", F.round("rank_le", 6).alias("rank_le"))
+
+
+@query("SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.9), 4) AS p90 FROM orders GROUP BY o_orderpriority")
+def interp_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.quantiles(table(spark, sf_dir, "orders"), "o_totalprice", [0.9], "o_orderpriority").select("o_orderpriority", F.round("quantile", 4).alias("p90"))
+
+
+@query("SELECT s_suppkey, CAST(row_number() OVER (ORDER BY s_acctbal DESC, md5(CAST(s_suppkey AS VARCHAR))) AS INT) AS place FROM supplier")
+def global_sort_tiebreak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
+    return K.placed(rows, [F.desc("s_acctbal"), F.md5(F.col("s_suppkey").cast("string"))]).select("s_suppkey", F.col("place").cast("int").alias("place"))
+
+
+@query("""SELECT l_returnflag, count(*) AS n, round(avg(l_quantity::DOUBLE), 6) AS mean, round(stddev_pop(l_quantity::DOUBLE), 6) AS std, min(l_quantity::DOUBLE) AS least, max(l_quantity::DOUBLE) AS most, round(quantile_cont(l_quantity::DOUBLE, 0.01), 6) AS p1, round(quantile_cont(l_quantity::DOUBLE, 0.05), 6) AS p5, round(quantile_cont(l_quantity::DOUBLE, 0.1), 6) AS p10, round(quantile_cont(l_quantity::DOUBLE, 0.2), 6) AS p20, round(quantile_cont(l_quantity::DOUBLE, 0.25), 6) AS p25, round(quantile_cont(l_quantity::DOUBLE, 0.3), 6) AS p30, round(quantile_cont(l_quantity::DOUBLE, 0.4), 6) AS p40, round(quantile_cont(l_quantity::DOUBLE, 0.5), 6) AS p50, round(quantile_cont(l_quantity::DOUBLE, 0.6), 6) AS p60, round(quantile_cont(l_quantity::DOUBLE, 0.7), 6) AS p70, round(quantile_cont(l_quantity::DOUBLE, 0.75), 6) AS p75, round(quantile_cont(l_quantity::DOUBLE, 0.8), 6) AS p80, round(quantile_cont(l_quantity::DOUBLE, 0.9), 6) AS p90, round(quantile_cont(l_quantity::DOUBLE, 0.95), 6) AS p95 FROM lineitem GROUP BY l_returnflag""")
+def distribution_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = K.described(table(spark, sf_dir, "lineitem"), "l_quantity", "l_returnflag")
+    return out.select("l_returnflag", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "least", "most", *[F.round(f"p{p}", 6).alias(f"p{p}") for p in K.PERCENTILES])
+
+
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events)
 SELECT user_id, event_id, event_type FROM r WHERE r = 1 AND event_type <> 'error'""")
 def latest_decision_state(spark: SparkSession, sf_dir: str) -> DataFrame:
