@@ -69,12 +69,19 @@ def _matrix(col) -> np.ndarray:
     return flat.reshape(len(col), -1) if len(col) else np.zeros((0, 1), np.float32)
 
 
+def small(x: np.ndarray) -> np.ndarray:
+    """Vectors as the quantizer takes them: single precision, out of reach of its overflow; scores never come from these."""
+    return np.clip(x, -1e15, 1e15).astype(np.float32)
+
+
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """id and v of the rows that take part: not null, not zero, all components finite, of the common length."""
+    """id and v of the rows that take part: not null, not zero, all components finite, of the common length; v in single precision if it came so, else in double."""
     v = F.col(vec_col)
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    own = vectors.schema[vec_col].dataType.elementType.simpleString()
+    kind = "float" if own == "float" else "double"
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x) < float("inf")))
     rows = vectors.filter(F.col(id_col).isNotNull() & v.isNotNull()).filter((F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0))
-    rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: x.cast("float")).alias("v"))
+    rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: x.cast(kind)).alias("v"))
     size = rows.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "n").first()
     return rows.filter(F.size("v") == (size["n"] if size else 0))
 
@@ -100,17 +107,19 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_c
     out = "query_id long, rank int, vec_id long, score double"
     if not total:
         return spark.createDataFrame([], out)
-    model = Quantizer(_matrix(sample.column(0).combine_chunks()).astype(np.float32), max(1, min(4096, int(total**0.5))))
+    model = Quantizer(small(_matrix(sample.column(0).combine_chunks())), max(1, min(4096, int(total**0.5))))
     shared = spark.sparkContext.broadcast(model)  # bounded by 4096 lists and the codebooks
+    asked = usable(queries, id_col, vec_col).filter(F.size("v") == model.coarse.shape[1])
+    kinds = [x.schema["v"].dataType.simpleString() for x in (rows, asked)]
     copies = Window.partitionBy("v").orderBy("vec_id")
     distinct = rows.withColumn("r", F.row_number().over(copies)).filter(F.col("r") <= k + 1).drop("r")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, codes = shared.value.encode(_matrix(batch.column(1)).astype(np.float32))
+            own, codes = shared.value.encode(small(_matrix(batch.column(1))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "v", "list", "codes"])
 
-    index = cut(distinct.mapInArrow(encode, "vec_id long, v array<float>, list int, codes binary"))
+    index = cut(distinct.mapInArrow(encode, f"vec_id long, v {kinds[0]}, list int, codes binary"))
     sizes = np.zeros(len(model.coarse), np.int64)
     for r in index.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():  # a row for each list
         sizes[r["list"]] = r["n"]
@@ -127,7 +136,7 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_c
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            q = _matrix(batch.column(1)).astype(np.float32)
+            q = small(_matrix(batch.column(1)))
             lists: list[np.ndarray] = []
             order = np.argsort(-(q @ model.coarse.T), axis=1, kind="stable")
             held = np.cumsum(sizes[order], axis=1)
@@ -144,8 +153,7 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_c
                     probe.append(xs)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who, pa.int64())), batch.column(1).take(pa.array(who, pa.int64())), pa.array(part, pa.int64()), pa.array(probe, pa.list_(pa.int32()))], names=["query_id", "q", "part", "lists"])
 
-    asked = usable(queries, id_col, vec_col).filter(F.size("v") == model.coarse.shape[1])
-    routed = asked.select("vec_id", "v").mapInArrow(route, "query_id long, q array<float>, part long, lists array<int>")
+    routed = asked.select("vec_id", "v").mapInArrow(route, f"query_id long, q {kinds[1]}, part long, lists array<int>")
     routed = cut(routed)
     loads = routed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("groups", F.ceil(F.col("n") / QUERY_ROWS).cast("long")).drop("n")
     table = spark.createDataFrame([(i, int(part_of[i]), int(splits[i])) for i in range(len(sizes))], "list int, part0 long, splits long")
@@ -164,11 +172,11 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_c
             v = _matrix(ours.column("v").combine_chunks())[order]
             codes = np.ascontiguousarray(np.frombuffer(b"".join(ours.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)[order].T)
             qs, qid = _matrix(theirs.column("q").combine_chunks()), theirs.column("query_id").to_numpy()
-            lists, near = theirs.column("lists").to_pylist(), qs.astype(np.float32) @ model.coarse.T
+            lists, near = theirs.column("lists").to_pylist(), small(qs) @ model.coarse.T
             wide = v.astype(np.float64)
             again = max(RERANK, int(RERANK_SHARE * len(ids)))
             for a in range(0, len(qid), 512):
-                tables = model.tables(qs[a : a + 512].astype(np.float32))
+                tables = model.tables(small(qs[a : a + 512]))
                 for i in range(a, min(a + 512, len(qid))):
                     asked = np.zeros(len(model.coarse), bool)
                     asked[lists[i]] = True
