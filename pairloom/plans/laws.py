@@ -75,14 +75,14 @@ def law_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH c AS (SELECT client_id, seq, change_id, op, coalesce(city, '') AS text FROM client_changes WHERE client_id IS NOT NULL AND seq IS NOT NULL),
 l AS (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY seq DESC, (op = 'D')::INT, CASE op WHEN 'I' THEN 'add' WHEN 'D' THEN 'repeal' ELSE 'replace' END, text) AS r FROM c),
 b AS (SELECT client_id, min(coalesce(city, '')) AS text, min(segment) AS chapter FROM clients WHERE client_id IS NOT NULL GROUP BY ALL)
-SELECT coalesce(b.client_id, l.client_id) AS article, CASE WHEN l.r IS NOT NULL THEN l.text ELSE b.text END AS text, b.chapter, l.seq AS version, CASE WHEN l.r IS NULL THEN 'kept' WHEN b.client_id IS NOT NULL THEN 'replaced' ELSE 'added' END AS origin
+SELECT coalesce(b.client_id, l.client_id) AS article, CASE WHEN l.r IS NOT NULL THEN l.text ELSE b.text END AS text, b.chapter, coalesce(l.seq, -1) AS version, CASE WHEN l.r IS NULL THEN 'kept' WHEN b.client_id IS NOT NULL THEN 'replaced' ELSE 'added' END AS origin
 FROM b FULL JOIN (FROM l WHERE r = 1) l ON l.client_id = b.client_id WHERE l.op IS DISTINCT FROM 'D'""")
 def law_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clients as articles, the log of their changes as later versions."""
     base = table(spark, sf_dir, "clients").filter("client_id IS NOT NULL").groupBy(F.col("client_id").alias("article")).agg(F.min(F.coalesce("city", F.lit(""))).alias("text"), F.min("segment").alias("chapter"))
     change = F.when(F.col("op") == "I", "add").when(F.col("op") == "D", "repeal").otherwise("replace")
     changes = table(spark, sf_dir, "client_changes").filter("client_id IS NOT NULL").select(F.col("client_id").alias("article"), F.coalesce("city", F.lit("")).alias("text"), F.col("seq").alias("version"), change.alias("change"))
-    return V.overlay(base, changes, ["article"])
+    return V.overlay(base, changes, ["article"]).withColumn("version", F.coalesce("version", F.lit(-1)))
 
 
 _VECTORS = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL), w AS (SELECT * FROM v WHERE list_dot_product(e, e) > 0)"
@@ -114,7 +114,7 @@ h AS (SELECT *, 'F-C1-' || left(sha256(least(u, v) || '::' || greatest(u, v)), 1
 
 
 @query(f"""WITH {_FOUND} SELECT row_number() OVER (ORDER BY (status <> 'candidate')::INT, score DESC, producer = 'basis', finding_id) AS place, producer, finding_id, score AS rank_score, status, CASE tier WHEN 1 THEN 'High' WHEN 2 THEN 'Medium' ELSE 'Low' END AS confidence,
-CASE WHEN inner_ THEN 'internal_coherence' ELSE 'cross_law' END AS scope, CASE WHEN status = 'candidate' THEN same END AS incompatible, concat_ws(',', CASE WHEN sa > sb THEN 'graph_adjacency' END, CASE WHEN same THEN 'semantic_similarity' END) AS criteria FROM h""")
+CASE WHEN inner_ THEN 'internal_coherence' ELSE 'cross_law' END AS scope, CASE WHEN status = 'candidate' THEN same::VARCHAR ELSE 'open' END AS incompatible, concat_ws(',', CASE WHEN sa > sb THEN 'graph_adjacency' END, CASE WHEN same THEN 'semantic_similarity' END) AS criteria FROM h""")
 def findings_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two producers' findings; the second replaces its own by those of the larger parts, and all are put in order."""
     how = {"category": "C1", "signals": {"linked": "graph_adjacency", "near": "semantic_similarity"}}
@@ -122,7 +122,7 @@ def findings_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = R.assemble(_pairs(spark, sf_dir, 2).filter("left_size > 20"), producer="basis", subtype="b", **how)
     rows = R.ranked(R.replace_own(old, new, ["basis"]), ["tension", "basis"])
     of = lambda path, kind="string": F.try_variant_get("body", path, kind)
-    return rows.select(F.col("place").cast("long").alias("place"), "producer", "finding_id", "rank_score", of("$.status").alias("status"), of("$.confidence_label").alias("confidence"), of("$.scope").alias("scope"), of("$.incompatibility_established", "boolean").alias("incompatible"), F.array_join(of("$.criteria_fired", "array<string>"), ",").alias("criteria"))
+    return rows.select(F.col("place").cast("long").alias("place"), "producer", "finding_id", "rank_score", of("$.status").alias("status"), of("$.confidence_label").alias("confidence"), of("$.scope").alias("scope"), F.coalesce(of("$.incompatibility_established", "boolean").cast("string"), F.lit("open")).alias("incompatible"), F.array_join(of("$.criteria_fired", "array<string>"), ",").alias("criteria"))
 
 
 @query("""WITH p AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_size % 7 ORDER BY p_partkey) - 1 AS k, count(*) OVER (PARTITION BY p_brand, p_size % 7) AS n, first_value(p_name) OVER (PARTITION BY p_brand, p_size % 7, p_size ORDER BY p_partkey) AS same FROM part),

@@ -97,19 +97,19 @@ o AS (SELECT f.*, (row_number() OVER (PARTITION BY f.client_id, f.hour ORDER BY
  FROM f LEFT JOIN n a ON a.one AND a.client_id = f.client_id AND a.hour = f.hour AND a.pos = f.i LEFT JOIN n b ON NOT b.one AND b.client_id = f.client_id AND b.hour = f.hour AND b.pos = f.j)"""
 
 
-@query(f"WITH RECURSIVE {_READ} SELECT client_id, hour, norm_index, i, j, round(score, 9) AS score, array_to_string(diffs, ',') AS diffs FROM o")
+@query(f"WITH RECURSIVE {_READ} SELECT client_id, hour, norm_index, coalesce(i, -1) AS i, coalesce(j, -1) AS j, round(score, 9) AS score, array_to_string(diffs, ',') AS diffs FROM o")
 def aligned_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = A.align(*_two_readings(spark, sf_dir), ["client_id", "hour"])
-    return made.select("client_id", "hour", "norm_index", F.col("one.pos").alias("i"), F.col("two.pos").alias("j"), F.round("score", 9).alias("score"), F.array_join("diffs", ",").alias("diffs"))
+    return made.select("client_id", "hour", "norm_index", F.coalesce("one.pos", F.lit(-1)).alias("i"), F.coalesce("two.pos", F.lit(-1)).alias("j"), F.round("score", 9).alias("score"), F.array_join("diffs", ",").alias("diffs"))
 
 
 @query(f"""WITH RECURSIVE {_READ}, q AS (SELECT *, i IS NULL OR (paired AND op2 IN ('I', 'U') AND NOT coalesce(op1 IN ('I', 'U'), false)) AS second FROM o)
 SELECT client_id, hour, norm_index, CASE WHEN second THEN op2 ELSE op1 END AS deontic, CASE WHEN second THEN s2 ELSE s1 END AS action_lemma, NOT paired OR len(diffs) > 0 AS uncertain, CASE WHEN NOT paired THEN 'found by one of two passes' WHEN len(diffs) > 0 THEN 'passes disagreed' ELSE 'agreed' END AS reason,
-CASE WHEN paired AND len(diffs) > 0 THEN CASE WHEN second THEN i ELSE j END END AS alternative_pos, CASE WHEN paired AND op1 IS DISTINCT FROM op2 THEN CASE WHEN second THEN op1 ELSE op2 END END AS deontic_alternative FROM q""")
+CASE WHEN paired AND len(diffs) > 0 THEN CASE WHEN second THEN i ELSE j END ELSE -1 END AS alternative_pos, CASE WHEN paired AND op1 IS DISTINCT FROM op2 THEN CASE WHEN second THEN op1 ELSE op2 END END AS deontic_alternative FROM q""")
 def conservative_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = ["client_id", "hour"]
     made = A.resolve(A.align(*_two_readings(spark, sf_dir), unit), unit, actionable=("I", "U"))
-    return made.select(*unit, "norm_index", "deontic", "action_lemma", "uncertain", "reason", F.col("alternative.pos").alias("alternative_pos"), "deontic_alternative")
+    return made.select(*unit, "norm_index", "deontic", "action_lemma", "uncertain", "reason", F.coalesce("alternative.pos", F.lit(-1)).alias("alternative_pos"), "deontic_alternative")
 
 
 def _brand_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
