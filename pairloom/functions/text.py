@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,7 +48,15 @@ def tokens(c: Column, least: int = 4) -> Column:
 
 def deadline(c: Column) -> Column:
     """struct<value, unit> of the first deadline in a phrase, a number and unit after `binnen` or `uiterlijk`; `undelayed` for those without a number, else null."""
-    t = normalise(c)
+    return _once(normalise(c), _deadline)
+
+
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), x worked out once: normalising is a long expression."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _deadline(t: Column) -> Column:
     longest = lambda names: "|".join(sorted(names, key=len, reverse=True))
     pattern = rf"(?<![\p{{L}}\p{{N}}])(?:binnen|uiterlijk) (\d+|{longest(NUMBER_WORDS)}) ({longest(UNITS)})(?![\p{{L}}\p{{N}}])"
     number, unit = F.regexp_extract(t, pattern, 1), F.regexp_extract(t, pattern, 2)
@@ -65,7 +74,10 @@ def deadline_start(c: Column) -> Column:
 
 def amount(c: Column) -> Column:
     """Euros of an amount such as `20 000 000 EUR` or a share such as `2 %`, as struct<value, kind>; else null."""
-    t = normalise(c)
+    return _once(normalise(c), _amount)
+
+
+def _amount(t: Column) -> Column:
     share = F.regexp_extract(t, r"(\d+(?:,\d+)?) ?%", 1)
     money = F.coalesce(F.nullif(F.regexp_extract(t, r"€ ?(\d[\d .]*(?:,\d+)?)", 1), F.lit("")), F.nullif(F.regexp_extract(t, r"(\d[\d .]*(?:,\d+)?) ?(?:eur|euro)(?![a-z])", 1), F.lit("")))
     number = lambda x: F.replace(F.regexp_replace(x, r"[ .]", ""), F.lit(","), F.lit(".")).try_cast("double")

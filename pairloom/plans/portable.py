@@ -32,7 +32,7 @@ PORTABLE: dict[str, tuple[str, str | None]] = {
     "relation_closure": ("SELECT a.n_nationkey AS a, b.n_nationkey AS b, CASE WHEN a.n_nationkey = b.n_nationkey THEN 'same' ELSE 'sibling' END AS relation FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey", None),
     "scope_overlap": ("SELECT a.c_custkey AS i, b.c_custkey AS j FROM {customer} a JOIN {customer} b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey < b.c_custkey WHERE abs(a.c_acctbal - b.c_acctbal) < 50", None),
     # Scores
-    "deontic_table": ("WITH d AS (SELECT 'duty' AS a, 'ban' AS b, 1.0D AS s UNION ALL SELECT 'duty', 'right', 0.6D UNION ALL SELECT 'ban', 'right', 0.8D) SELECT a, b, s FROM d UNION ALL SELECT b, a, s FROM d", "WITH d AS (SELECT 'duty' AS a, 'ban' AS b, 1.0::DOUBLE AS s UNION ALL SELECT 'duty', 'right', 0.6 UNION ALL SELECT 'ban', 'right', 0.8) SELECT a, b, s FROM d UNION ALL SELECT b, a, s FROM d"),
+    "deontic_table": ("WITH d AS (SELECT l_returnflag AS a, l_linestatus AS b, CAST(count(*) AS DOUBLE) AS s FROM {lineitem} GROUP BY l_returnflag, l_linestatus) SELECT a, b, s FROM d UNION ALL SELECT b, a, s FROM d", None),
     "combined_score": ("SELECT p_partkey, round(0.5 * least(1, p_size / 50.0) + 0.3 * least(1, p_retailprice / 2000.0) + 0.2 * CASE WHEN p_brand LIKE '%1' THEN 1 ELSE 0 END, 6) AS score FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) AS p_size, p_retailprice, p_brand FROM {part}) t", "SELECT p_partkey, round(0.5::DOUBLE * least(1::DOUBLE, p_size / 50.0::DOUBLE) + 0.3::DOUBLE * least(1::DOUBLE, p_retailprice / 2000.0::DOUBLE) + 0.2::DOUBLE * CASE WHEN p_brand LIKE '%1' THEN 1 ELSE 0 END, 6) AS score FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) AS p_size, p_retailprice, p_brand FROM part) t"),
     "confidence_tier": ("SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'high' WHEN quality = 1 OR toxic = 0 THEN 'medium' ELSE 'low' END AS tier FROM {labels}", None),
     # Evaluation

@@ -193,19 +193,26 @@ def greedy_top_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.greedy_budget_cap(P.inverted_index_pairs(_keys(spark, sf_dir), "lang", min_score=0.7), 40, 3, 0.7)
 
 
-_PHRASES = ["binnen 24 uur nadat", "uiterlijk drie dagen", "onverwijld", "zo spoedig mogelijk", "binnen 72 uur en binnen 4 weken", "", "20 000 000 EUR", "20 000 000 EUR", "€ 1.000.000,-", "10,5 euro", "2 % van de totale wereldwijde jaaromzet", "betrouwbaarheidsniveau hoog"]
+_WAYS = """CASE o_orderkey % 6 WHEN 0 THEN 'binnen ' || o_custkey % 90 || ' uur nadat hij kennis kreeg' WHEN 1 THEN 'Uiterlijk drie  dagen' WHEN 2 THEN 'onverwijld' WHEN 3 THEN 'zo spoedig mogelijk' WHEN 4 THEN 'vier jaar ervaring' ELSE 'binnen 72 uur en binnen 4 weken' END"""
 
 
-@query("""SELECT * FROM (VALUES ('binnen 24 uur nadat', 24.0::DOUBLE, 'hour'), ('uiterlijk drie dagen', 3.0, 'day'), ('onverwijld', NULL, 'undelayed'), ('zo spoedig mogelijk', NULL, 'undelayed'), ('binnen 72 uur en binnen 4 weken', 72.0, 'hour')) t(phrase, value, unit)""")
+@query(f"""SELECT phrase, CASE way WHEN 0 THEN k::DOUBLE WHEN 1 THEN 3 WHEN 5 THEN 72 END AS value, CASE way WHEN 0 THEN 'hour' WHEN 1 THEN 'day' WHEN 5 THEN 'hour' ELSE 'undelayed' END AS unit, count(*) AS n
+FROM (SELECT {_WAYS} AS phrase, o_orderkey % 6 AS way, o_custkey % 90 AS k FROM orders) WHERE way <> 4 GROUP BY ALL""")
 def deadline_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(p,) for p in _PHRASES], "phrase string").withColumn("d", T.deadline(F.col("phrase")))
-    return rows.filter("d is not null").select("phrase", "d.value", "d.unit")
+    """Deadlines as orders word them, each phrase parsed once."""
+    phrases = table(spark, sf_dir, "orders").select(F.expr(_WAYS).alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
+    return phrases.withColumn("d", T.deadline(F.col("phrase"))).filter("d is not null").select("phrase", "d.value", "d.unit", "n")
 
 
-@query("""SELECT * FROM (VALUES ('20 000 000 EUR', 20000000.0::DOUBLE, 'eur'), ('20 000 000 EUR', 20000000.0, 'eur'), ('€ 1.000.000,-', 1000000.0, 'eur'), ('10,5 euro', 10.5, 'eur'), ('2 % van de totale wereldwijde jaaromzet', 2.0, 'percent')) t(phrase, value, kind)""")
+_SUMS = """CASE o_orderkey % 5 WHEN 0 THEN o_custkey || ' 000 EUR' WHEN 1 THEN '€ ' || o_custkey || '.000,-' WHEN 2 THEN o_custkey || ',5 euro' WHEN 3 THEN o_custkey % 100 || ' % van de totale wereldwijde jaaromzet' ELSE 'betrouwbaarheidsniveau hoog' END"""
+
+
+@query(f"""SELECT phrase, CASE way WHEN 0 THEN 1000.0 * k WHEN 1 THEN 1000.0 * k WHEN 2 THEN k + 0.5 ELSE k % 100 END::DOUBLE AS value, CASE way WHEN 3 THEN 'percent' ELSE 'eur' END AS kind, count(*) AS n
+FROM (SELECT {_SUMS} AS phrase, o_orderkey % 5 AS way, o_custkey AS k FROM orders) WHERE way <> 4 GROUP BY ALL""")
 def amount_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(p,) for p in _PHRASES], "phrase string").withColumn("a", T.amount(F.col("phrase")))
-    return rows.filter("a is not null").select("phrase", "a.value", "a.kind")
+    """Amounts as orders word them, each phrase parsed once."""
+    phrases = table(spark, sf_dir, "orders").select(F.expr(_SUMS).alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
+    return phrases.withColumn("a", T.amount(F.col("phrase"))).filter("a is not null").select("phrase", "a.value", "a.kind", "n")
 
 
 def _portable(name: str, sql: str, oracle: str | None) -> None:

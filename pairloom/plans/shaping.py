@@ -24,7 +24,7 @@ _WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[a-zà-ÿ]+', 0)"
 _SQL: dict[str, str] = {
     # Projections
     "flatten_with_ordinal": "WITH n AS (SELECT l_orderkey, l_returnflag, l_partkey, l_suppkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS ordinal FROM {lineitem}) SELECT l_orderkey, ordinal, l_returnflag FROM n WHERE l_returnflag IN ('R', 'A')",
-    "paragraph_resolution": "SELECT doc_id, CASE WHEN n_chars > 600 THEN 'index' WHEN lang = 'en' THEN 'number' WHEN text IS NOT NULL THEN 'joined' ELSE 'none' END AS resolution, substr(coalesce(nullif(trim(text), ''), lang), 1, 40) AS paragraph FROM {documents}",
+    "paragraph_resolution": "SELECT doc_id, CASE WHEN n_chars > 600 THEN 'index' WHEN lang = 'en' THEN 'number' WHEN text IS NOT NULL THEN 'joined' ELSE 'none' END AS resolution, coalesce(nullif(trim(text), ''), lang) AS paragraph FROM {documents}",
     "graph_uid": "SELECT doc_id, coalesce(source, 'unknown') || ':' || coalesce(lang, '?') || ':' || CAST(doc_id AS VARCHAR(20)) AS uid FROM {documents}",
     "addressee_cascade": "SELECT p_partkey, CASE WHEN RLIKE(p_type, 'BRASS$') THEN 'AUTHORITY' WHEN RLIKE(p_type, '^(PROMO|ECONOMY)') THEN 'REGULATED_ENTITY' WHEN p_size > 40 THEN 'MEMBER_STATE' WHEN p_brand LIKE '%1' THEN 'PERSON' END AS addressee FROM {part}",
     "sibling_inference": "WITH s AS (SELECT o_custkey, o_orderpriority AS kind, count(*) AS n FROM {orders} WHERE o_orderstatus <> 'P' GROUP BY o_custkey, o_orderpriority), t AS (SELECT *, sum(n) OVER (PARTITION BY o_custkey) AS total FROM s) SELECT o_custkey, kind, CASE WHEN n = total THEN 'unanimous' ELSE 'majority' END AS rule FROM t WHERE 2 * n > total",
@@ -41,8 +41,8 @@ _SQL: dict[str, str] = {
     "reference_counts": "SELECT doc_id, CAST(SIZE(regexp_extract_all(coalesce(text, ''), '[0-9]+', 0)) AS BIGINT) AS figures, CAST(SIZE(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+@[a-z]+', 0)) AS BIGINT) AS mails FROM {documents}",
     "extracted_references": "SELECT DISTINCT doc_id, ref FROM (SELECT doc_id, EACH(regexp_extract_all(coalesce(text, ''), '[0-9][0-9]+', 0)) AS ref FROM {documents}) x",
     "excerpt": "SELECT doc_id, CASE WHEN instr(text, 'e') > 20 THEN '…' ELSE '' END || substr(text, greatest(1, instr(text, 'e') - 20), 40) || '…' AS excerpt FROM {documents} WHERE instr(text, 'e') > 0",
-    "condition_cleanup": "SELECT doc_id, regexp_replace(lower(substr(coalesce(text, ''), 1, 60)), '^(if|when|als|indien) ', '' GLOBAL) AS condition FROM {documents}",
-    "deadline_hours": "WITH d(phrase, v, unit) AS (VALUES ('a', 24.0E0, 'hour'), ('b', 3.0E0, 'day'), ('c', 2.0E0, 'week'), ('d', 6.0E0, 'month'), ('e', 1.0E0, 'year')), u(unit, hours) AS (VALUES ('hour', 1.0E0), ('day', 24.0E0), ('week', 168.0E0), ('month', 720.0E0)) SELECT d.phrase, d.v * u.hours AS hours FROM d LEFT JOIN u ON d.unit = u.unit",
+    "condition_cleanup": "SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '^(if|when|als|indien) ', '' GLOBAL) AS condition FROM {documents}",
+    "deadline_hours": "WITH d AS (SELECT o_orderkey, CAST(o_custkey % 50 AS DOUBLE) AS v, CASE o_orderkey % 5 WHEN 0 THEN 'hour' WHEN 1 THEN 'day' WHEN 2 THEN 'week' WHEN 3 THEN 'month' ELSE 'year' END AS unit FROM {orders}), u(unit, hours) AS (VALUES ('hour', 1.0E0), ('day', 24.0E0), ('week', 168.0E0), ('month', 720.0E0)) SELECT d.o_orderkey, d.v * u.hours AS hours FROM d LEFT JOIN u ON d.unit = u.unit",
     "deadline_agreement": "WITH o AS (SELECT l_orderkey, min(l_quantity) AS lo, max(l_quantity) AS hi, min(l_linestatus) AS raw_a, max(l_linestatus) AS raw_b FROM {lineitem} GROUP BY l_orderkey) SELECT l_orderkey, CASE WHEN lo < 5 THEN raw_a = raw_b ELSE lo = hi END AS agrees FROM o",
     "instrument_typing": "SELECT doc_id, CASE WHEN source LIKE 'src%' THEN 'EU' ELSE 'NL' END AS jurisdiction, regexp_extract(source, '[0-9]+', 0) AS number FROM {documents}",
     "language_check": "SELECT doc_id, " + ", ".join(f"CAST(SIZE(regexp_extract_all(' ' || lower(coalesce(text, '')), ' ({w})', 0)) AS BIGINT) AS {k}" for k, w in _FUNCTION_WORDS.items()) + " FROM {documents}",
