@@ -56,3 +56,61 @@ def test_one_changed_word_in_fifty_is_a_near_copy(spark):
     other = [*words[:25], "changed", *words[26:]]
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other))], "doc_id long, text string")
     assert [r["doc_id"] for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()] == [1]
+
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def kept_texts(rows, window=20):
+    """What is left of each text without the words of windows that stand earlier."""
+    first, out = {}, {}
+    for i, t in rows:
+        w = WORD.findall(t or "")
+        for k in range(len(w) - window + 1):
+            first.setdefault(tuple(w[k : k + window]), (i, k))
+    for i, t in rows:
+        w = WORD.findall(t or "")
+        gone = {j for k in range(len(w) - window + 1) if first[tuple(w[k : k + window])] != (i, k) for j in range(k, k + window)}
+        out[i] = " ".join(x for k, x in enumerate(w) if k not in gone)
+    return out
+
+
+def test_the_last_three_stages(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(10 + 7 * i)) + (f" {passage} end{i}" if i % 3 == 0 else ""), "en", f"s{i % 4}" if i % 5 else None, 0) for i in range(24)] + [(30, None, None, "s1", 0), (31, "", "en", "s1", 0), (32, passage, "en", "s2", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.drop_repeats(spark, docs, "")
+    want = kept_texts([r[:2] for r in rows])
+    got = {r.doc_id: r for r in left.collect()}
+    assert left.columns == docs.columns and set(got) == set(want)
+    for i, r in got.items():
+        assert " ".join(WORD.findall(r.text or "")) == want[i] and r.n_chars == len(r.text or "")
+
+    mixed = corpus_pipeline.mix_sources(spark, left, "")
+    assert mixed.columns == docs.columns
+    taken, full = Counter(), {i: Counter(WORD.findall(t)) for i, t in want.items()}
+    for r in mixed.collect():
+        words = WORD.findall(r.text or "")
+        taken[r.source] += len(words)
+        rest = iter(WORD.findall(want[r.doc_id]))
+        assert all(w in rest for w in words) and not Counter(words) - full[r.doc_id]  # some of the document's words, in their order
+    sizes = Counter()
+    for r in rows:
+        sizes[r[3]] += sum(full[r[0]].values())
+    assert sum(taken.values()) <= 1.6 * sum(sizes.values()) and all(taken[s] <= 2 * n + max(sizes.values()) * 0.05 + 1 for s, n in sizes.items())
+    assert sum(taken.values()) >= 1.3 * sum(sizes.values())
+
+    pieces = corpus_pipeline.pack_sequences(spark, mixed, "").toPandas()
+    assert len(pieces[pieces.start == 0]) == mixed.count()
+    for _, g in pieces.sort_values("offset").groupby("sequence_id"):
+        assert list(g.offset) == [0, *g.length.cumsum()[:-1]] and g.length.sum() <= 4096
+
+
+def test_empty_tables_and_clashing_names(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, o long, tag string, root long, score double")
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, none, "")
+        assert out.columns == none.columns and out.count() == 0, name
+    one = spark.createDataFrame([(1, "a b c", "en", "s", 5, 9, "t", 7, 0.5)], none.schema)
+    for name, stage in corpus_pipeline.STAGES[1:3]:
+        assert [tuple(r) for r in stage(spark, one, "").collect()] == [(1, "a b c", "en", "s", 5, 9, "t", 7, 0.5)], name
