@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .substring import _rows, _spread, shown_id
-from .textkit import Words, drop, mix, released, signed, sweep, tokenize, tune, windows, written
+from .textkit import Words, alike_at_every_size, drop, mix, released, signed, sweep, tokenize, tune, windows, written
 
 #: Most frequent words that give the order of the pivots, and rows of a table that is broadcast.
 ORDER_WORDS, BROADCAST_ROWS = 1 << 16, 1_000_000
@@ -228,6 +228,11 @@ def _verify(pairs: DataFrame, rows: DataFrame, classes: DataFrame, shingle: int)
 
 def linked_sets(docs: DataFrame, shingle: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents: o, tag, n, c), (the least set that links reach, for linked sets but the least: c, root), (classes: c, first)."""
+    with alike_at_every_size(docs.sparkSession):
+        return _linked_sets(docs, shingle, percent)
+
+
+def _linked_sets(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     spark = docs.sparkSession
     tune(spark)
     sweep(spark)

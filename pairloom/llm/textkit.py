@@ -74,6 +74,18 @@ def _give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+@contextlib.contextmanager
+def alike_at_every_size(spark: SparkSession) -> Iterator[None]:
+    """No join is broadcast for being small here; those that are said to be still are."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def sweep(spark: SparkSession) -> None:
     """Have the driver collect its garbage now: shuffle files, checkpoints and broadcasts of finished queries go with it."""
     _give_back()
@@ -209,7 +221,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df as a Parquet table of the shared folder: lineage cut, columns packed, read as often as needed; `drop` deletes it."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)  # no job to find it out
     out.table_path = path
     return out
 
