@@ -131,15 +131,15 @@ SELECT p.p_brand || ':' || (p_size % 7) || ':' || CASE WHEN p_size % 3 = 2 THEN
 CASE WHEN p_size % 3 = 0 THEN p_name WHEN p_size % 3 = 1 THEN same ELSE whole END AS paragraph, CASE p_size % 3 WHEN 0 THEN 'paragraph_index' WHEN 1 THEN 'paragraph_number' ELSE 'all_paragraphs' END AS resolution,
 (p_size % 7 + 1)::VARCHAR AS chapter_number, CASE WHEN p_size % 3 <> 2 THEN p_size::VARCHAR END AS paragraph_number FROM p JOIN j ON p.p_brand = j.p_brand AND p_size % 7 = j.a WHERE p_size % 4 <> 3""")
 def flattened_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A JSON text for each brand: its sizes modulo seven as articles, parts as paragraphs and norms, which name their paragraph in three ways."""
+    """A JSON text for each article: the sizes of a brand modulo seven as articles, parts as paragraphs and norms, which name their paragraph in three ways."""
     size = F.col("p_size")
     part = table(spark, sf_dir, "part").select("p_brand", (size % 7).alias("a"), "p_partkey", "p_name", "p_size")
     place = F.row_number().over(Window.partitionBy("p_brand", "a").orderBy("p_partkey")) - 1
     deontic = F.element_at(F.array(*[F.lit(x) for x in ("OBLIGATION", "PROHIBITION", "COMPETENCE", "RIGHT")]), size % 4 + 1)
     norm = F.struct(deontic.alias("deontic"), F.when(size % 3 == 0, F.col("k")).alias("paragraph_index"), F.when(size % 3 != 2, size).alias("number"))
     both = F.struct("p_partkey", F.struct(size.alias("number"), F.col("p_name").alias("text")).alias("p"), norm.alias("n"))
-    articles = part.withColumn("k", place).groupBy("p_brand", "a").agg(F.array_sort(F.collect_list(both), lambda x, y: F.when(x["p_partkey"] < y["p_partkey"], -1).otherwise(1)).alias("b"))
+    articles = part.withColumn("k", place).groupBy("p_brand", "a").agg(F.array_sort(F.collect_list(both)).alias("b"))
     records = articles.select("p_brand", F.struct(F.col("p_brand").alias("instrument_id"), F.col("a").cast("string").alias("article"), F.concat(F.lit("Hoofdstuk "), F.col("a") + 1, F.lit(". Delen")).alias("chapter"), F.transform("b", lambda x: x["p"]).alias("paragraphs"), F.transform("b", lambda x: x["n"]).alias("norms")).alias("r"))
-    files = records.groupBy(F.col("p_brand").alias("source")).agg(F.to_json(F.collect_list("r")).alias("value"))
+    files = records.select(F.concat_ws("/", "p_brand", "r.article").alias("source"), F.to_json(F.array("r")).alias("value"))
     made = Q.norm_records(Q.provisions(files))
     return made.select("norm_id", "ordinal", "deontic", "paragraph", "resolution", "hierarchy.chapter_number", "hierarchy.paragraph_number")

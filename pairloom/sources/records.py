@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 ANNEX, ANNEX_INSTRUMENT = "$.bijlage_35.substantive_text.provisions", "BWBR0049497"
 UIDS = {"BWBR0051796": "nl:BWBR0051796:art{number}@2025-11-21", "BWBR0049497": "nl:BWBR0049497:bijlage35-p{number}@2026-08-15"}
 ELIGIBLE = ("OBLIGATION", "PROHIBITION", "COMPETENCE")
+#: Norms that one copy of a provision's whole text serves.
+TURN = 4_096
 _CHAPTER = r"^\s*(?i:hoofdstuk|chapter)\s+([IVXLCDM]+|\d+[A-Za-z]?)(?=[\s.:\-–—]|$)"
 
 
@@ -48,27 +50,36 @@ def norm_records(found: DataFrame, *, source: str = "source", eligible: Sequence
     """
     get = lambda path, kind="string": F.try_variant_get("provision", path, kind)
     of = lambda path, kind="string": F.try_variant_get("norm", path, kind)
-    rows = found.filter("instrument_id IS NOT NULL").select(source, "place", "instrument_id", "provision", F.posexplode(get("$.norms", "array<variant>")).alias("k", "norm"))
+    rows = found.filter("instrument_id IS NOT NULL").withColumn("key", F.md5(F.to_json("provision")))
     paragraphs = F.coalesce(get("$.paragraphs", "array<struct<number: string, text: string>>"), F.array().cast("array<struct<number: string, text: string>>"))
     article = F.coalesce(F.nullif(get("$.article"), F.lit("")), get("$.number"), F.lit("None"))
-    rows = rows.withColumns({"ps": paragraphs, "article": article, "idx": of("$.paragraph_index", "int"), "shown": F.coalesce(of("$.paragraph_number"), of("$.number")), "deontic": of("$.deontic")})
-    by_index = F.when(F.col("idx").between(0, F.size("ps") - 1), F.get("ps", F.col("idx")))
-    by_number = F.get(F.filter("ps", lambda p: p["number"] == F.col("shown")), F.lit(0))
-    rows = rows.withColumns({"p1": by_index, "p2": by_number})
-    joined = F.array_join(F.filter(F.transform("ps", lambda p: F.coalesce(p["text"], F.lit(""))), lambda t: t != ""), "\n\n")
-    # A paragraph without text is a paragraph all the same.
-    text = F.when(F.col("p1").isNotNull(), F.coalesce("p1.text", F.lit(""))).when(F.col("p2").isNotNull(), F.coalesce("p2.text", F.lit(""))).when(joined != "", joined).otherwise(F.coalesce(get("$.text"), F.lit("")))
-    how = F.when(F.col("p1").isNotNull(), "paragraph_index").when(F.col("p2").isNotNull(), "paragraph_number").when(joined != "", "all_paragraphs").otherwise("provision_text")
     template = F.try_element_at(F.create_map(*[F.lit(x) for kv in uids.items() for x in kv]), F.col("instrument_id")) if uids else F.lit(None).cast("string")
     uid = F.coalesce(get("$.uid"), F.replace(template, F.lit("{number}"), F.coalesce(get("$.number"), F.lit("None"))))
-    number = F.when(F.col("p1").isNotNull(), F.col("p1.number")).when(F.col("p2").isNotNull(), F.col("p2.number")).otherwise(F.col("shown"))
-    heading = F.coalesce(F.nullif(get("$.heading"), F.lit("")), F.concat(F.lit("Article "), "article"))
-    hierarchy = F.struct("instrument_id", get("$.jurisdiction").alias("jurisdiction"), uid.alias("graph_uid"), get("$.chapter").alias("chapter"), chapter_number(get("$.chapter")).alias("chapter_number"), get("$.section").alias("section"), "article", heading.alias("article_heading"), number.alias("paragraph_number"))
-    ordinal = (F.col("k") + 1).alias("ordinal")
-    norm_id = F.concat_ws(":", "instrument_id", "article", F.coalesce("shown", F.lit("whole")), (F.col("k") + 1).cast("string"))
+    heading = F.coalesce(F.nullif(get("$.heading"), F.lit("")), F.concat(F.lit("Article "), article))
+    listed = get("$.norms", "array<variant>")
+    # A norm's row has short fields only: paragraphs and whole texts are met by key, so that none is copied to every norm.
+    norms = rows.select(source, "instrument_id", "key", get("$.jurisdiction").alias("jurisdiction"), uid.alias("uid"), get("$.chapter").alias("chapter"), get("$.section").alias("section"), article.alias("article"), heading.alias("heading"), F.posexplode(listed).alias("k", "norm"))
+    norms = norms.withColumns({"idx": of("$.paragraph_index", "int"), "shown": F.coalesce(of("$.paragraph_number"), of("$.number")), "deontic": of("$.deontic")})
     if eligible is not None:
-        rows = rows.filter(F.col("deontic").isin(*eligible))
-    return rows.select(norm_id.alias("norm_id"), source, ordinal, "deontic", "norm", text.alias("paragraph"), how.alias("resolution"), hierarchy.alias("hierarchy"))
+        norms = norms.filter(F.col("deontic").isin(*eligible))
+    each = rows.select("key", F.posexplode(paragraphs).alias("j", "p")).filter("p IS NOT NULL").dropDuplicates(["key", "j"])
+    by_number = each.filter("p.number IS NOT NULL").groupBy("key", F.col("p.number").alias("shown")).agg(F.min_by("p", "j").alias("p2"))
+    met = norms.join(each.select("key", F.col("j").alias("idx"), F.col("p").alias("p1")), ["key", "idx"], "left").join(by_number, ["key", "shown"], "left")
+    met = met.withColumn("p", F.coalesce("p1", "p2"))
+    joined = F.array_join(F.filter(F.transform(paragraphs, lambda p: F.coalesce(p["text"], F.lit(""))), lambda t: t != ""), "\n\n")
+    # A whole text stands once for TURN norms of its provision; norms with a paragraph look for none (a turn below 0).
+    turns = F.sequence(F.lit(0), F.floor((F.size(listed) - 1) / TURN).cast("int"))
+    whole = rows.filter(F.size(listed) > 0).select("key", joined.alias("joined"), F.coalesce(get("$.text"), F.lit("")).alias("text"), turns.alias("turns")).dropDuplicates(["key"]).select("key", "joined", "text", F.explode("turns").alias("turn"))
+    turn = F.floor(F.col("k") / TURN).cast("int")
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # fixed, as the texts that come out may be far more than what goes in
+    met = met.withColumn("turn", F.when(F.col("p").isNull(), turn).otherwise(-1 - turn)).repartition(parts, "key", "turn").join(whole.hint("merge"), ["key", "turn"], "left")
+    # A paragraph without text is a paragraph all the same.
+    text = F.when(F.col("p").isNotNull(), F.coalesce("p.text", F.lit(""))).when(F.col("joined") != "", F.col("joined")).otherwise(F.col("text"))
+    how = F.when(F.col("p1").isNotNull(), "paragraph_index").when(F.col("p2").isNotNull(), "paragraph_number").when(F.col("joined") != "", "all_paragraphs").otherwise("provision_text")
+    number = F.when(F.col("p").isNotNull(), F.col("p.number")).otherwise(F.col("shown"))
+    hierarchy = F.struct("instrument_id", "jurisdiction", F.col("uid").alias("graph_uid"), "chapter", chapter_number(F.col("chapter")).alias("chapter_number"), "section", "article", F.col("heading").alias("article_heading"), number.alias("paragraph_number"))
+    norm_id = F.concat_ws(":", "instrument_id", "article", F.coalesce("shown", F.lit("whole")), (F.col("k") + 1).cast("string"))
+    return met.select(norm_id.alias("norm_id"), source, (F.col("k") + 1).alias("ordinal"), "deontic", "norm", text.alias("paragraph"), how.alias("resolution"), hierarchy.alias("hierarchy"))
 
 
 def without_instrument(found: DataFrame) -> DataFrame:

@@ -32,3 +32,13 @@ def test_slim(spark):
     norms = R.slim(R.norm_records(R.provisions(files)), ["action", "paragraph_index"]).orderBy("ordinal").select(R.F.to_json("norm").alias("n")).collect()
     assert [json.loads(r.n) for r in norms][:2] == [{"deontic": "OBLIGATION", "number": "1"}, {"deontic": "PROHIBITION", "number": 1}]
     assert R.norm_records(R.provisions(files.limit(0))).count() == 0
+
+
+def test_paragraphs_are_met_by_key_and_whole_texts_stand_once_for_many_norms(spark, monkeypatch):
+    monkeypatch.setattr(R, "TURN", 2)
+    norms = [{"deontic": "OBLIGATION", **({"paragraph_index": k} if k % 3 == 0 else {"number": "b"} if k % 3 == 1 else {})} for k in range(9)]
+    law = {"instrument_id": "W", "article": "1", "paragraphs": [{"number": "a", "text": "een"}, {"number": "b", "text": "twee"}, {"number": "b", "text": "drie"}], "norms": norms}
+    files = spark.createDataFrame([("x", json.dumps([law])), ("y", json.dumps(law))], "source string, value string")
+    got = sorted((r.source, r.ordinal, r.paragraph, r.resolution) for r in R.norm_records(R.provisions(files)).collect())
+    one = [(k + 1, *(("een", "paragraph_index") if k == 0 else ("twee", "paragraph_number") if k % 3 == 1 else ("een\n\ntwee\n\ndrie", "all_paragraphs"))) for k in range(9)]
+    assert got == [(s, *r) for s in ("x", "y") for r in one]
