@@ -22,3 +22,11 @@ def test_connected_groups_equals_all_pairs(spark, monkeypatch):
             want[i, j] = (direct, common, direct or common > 0)
     got = P.connected_groups(spark.createDataFrame(nodes, "node long, group int"), spark.createDataFrame(edges, "src long, dst long")).collect()
     assert len(got) == len(want) and {(r.i, r.j): (r.direct, r.common, r.linked) for r in got} == want
+
+
+def test_near_pairs_meet_in_neighbouring_ranges(spark):
+    rng = random.Random(2)
+    rows = [(k, k % 2, rng.choice([rng.uniform(-200, 200), 0.0, 50.0, 64.0, 14.0, -36.0])) for k in range(150)] + [(900, 0, None), (901, None, 0.0), (902, 0, float("nan"))]
+    want = {(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if None not in a + b and a[1] == b[1] and abs(a[2] - b[2]) < 50}
+    got = P.near_pairs(spark.createDataFrame(rows, "id long, g int, v double"), ["g"], "id", "v", 50).collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want
