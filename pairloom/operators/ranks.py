@@ -35,6 +35,20 @@ def running(rows: DataFrame, order: Sequence[Column], weight: Column, name: str,
     return met.select(*rows.columns, (F.col("_pl_base") + F.col("_pl_here")).alias(name))
 
 
+def distinct_counts(rows: DataFrame, key: str, columns: dict[str, str], least: int = 1) -> DataFrame:
+    """key and, by name, how many distinct values that are not null each column has; keys of fewer than `least` rows go, a null key is one.
+
+    Rows are shuffled once, by key: a value's first row is marked by a local sort for each column.
+    """
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.select(key, *dict.fromkeys(columns.values())).repartition(parts, key)
+    for name, c in columns.items():
+        first = F.row_number().over(Window.partitionBy(key, c).orderBy(c)) == 1
+        dealt = dealt.withColumn(f"_pl_{name}", (first & F.col(c).isNotNull()).cast("long"))
+    out = dealt.groupBy(key).agg(F.count(F.lit(1)).alias("_pl_n"), *[F.sum(f"_pl_{name}").alias(name) for name in columns])
+    return out.filter(F.col("_pl_n") >= least).drop("_pl_n")
+
+
 def placed(rows: DataFrame, order: Sequence[Column], name: str = "place") -> DataFrame:
     """rows plus their place from 1 in an order; rows alike in it take the places among themselves in any order."""
     return running(rows, order, F.lit(1), name)

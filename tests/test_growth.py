@@ -30,3 +30,10 @@ def test_near_pairs_meet_in_neighbouring_ranges(spark):
     want = {(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if None not in a + b and a[1] == b[1] and abs(a[2] - b[2]) < 50}
     got = P.near_pairs(spark.createDataFrame(rows, "id long, g int, v double"), ["g"], "id", "v", 50).collect()
     assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
+def test_distinct_counts_take_one_shuffle(spark):
+    rows = spark.createDataFrame([(1, 1, 0.0), (1, 1, -0.0), (1, None, 2.0), (2, 5, 1.0), (None, 1, None), (None, 2, None)], "k int, a int, b double")
+    out = K.distinct_counts(rows, "k", {"x": "a", "y": "b"}, 2)
+    assert {tuple(r) for r in out.collect()} == {(1, 1, 2), (None, 2, 0)}
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
