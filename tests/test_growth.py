@@ -3,6 +3,7 @@
 import itertools
 import random
 
+from pairloom.operators import blocks as B
 from pairloom.operators import pairs as P
 from pairloom.operators import ranks as K
 
@@ -37,3 +38,21 @@ def test_distinct_counts_take_one_shuffle(spark):
     out = K.distinct_counts(rows, "k", {"x": "a", "y": "b"}, 2)
     assert {tuple(r) for r in out.collect()} == {(1, 1, 2), (None, 2, 0)}
     assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+
+
+def test_vectors_in_blocks_equal_plain_pairs(spark, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK", 20)
+    monkeypatch.setattr(B, "ROWS", 7)
+    rng = random.Random(3)
+    base = [[rng.gauss(0, 1) for _ in range(4)] for _ in range(30)] + [[0.0] * 4]
+    rows = [(k, rng.choice([0, 1, None]), rng.choice(base)) for k in range(70)] + [(200, 1, None), (201, 1, [1.0, None, 2.0, 3.0]), (202, 0, [1.0])]
+    dot = lambda a, b: sum(p * q for p, q in zip(a, b))
+    good = [r for r in rows if r[2] and None not in r[2] and dot(r[2], r[2]) > 0]
+    want = {}
+    for a, b in itertools.combinations(good, 2):
+        if len(a[2]) == len(b[2]) and None not in (a[1], b[1]) and a[1] != b[1]:
+            sim = round(dot(a[2], b[2]) / (dot(a[2], a[2]) * dot(b[2], b[2])) ** 0.5, 6)
+            if sim >= 0.3:
+                want[a[0], b[0]] = sim
+    got = P.floor_pairs(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>"), 0.3).collect()
+    assert len(got) == len(want) and {(r.i, r.j): r.sim for r in got} == want
