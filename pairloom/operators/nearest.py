@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 #: Centres: a fixed number, so that what every task holds is bounded.
 CENTRES = 64
 #: Units of a task, and labels that a cluster is cut to, so that no cluster is one task.
-BLOCK, PIECE = 2_000, 20_000
+BLOCK, PIECE = 2_000, 5_000
+#: Units of a block that are multiplied with a piece at once, and rows that a task sends at once.
+ROWS, SENT = 128, 5_000
 #: Angles are compared with this much room for rounding.
 ROOM = 1e-7
 
@@ -61,10 +63,14 @@ def _met(units: DataFrame, labels: DataFrame, kinds: tuple[str, str]) -> DataFra
         if left.empty or right.empty:
             return pd.DataFrame({"id": [], "label": [], "cosine": [], "compared": []})
         right = right.sort_values("id", kind="stable")
-        sims = np.array(list(left["v"])) @ np.array(list(right["v"])).T
-        # Equal but for rounding counts as equal: the least label of the nearest.
-        near = (np.round(sims, 12) == np.round(sims.max(axis=1), 12)[:, None]).argmax(axis=1)
-        return pd.DataFrame({"id": left["id"].to_numpy(), "label": right["id"].to_numpy()[near], "cosine": sims.max(axis=1), "compared": len(right)})
+        units, others = np.array(list(left["v"])), np.array(list(right["v"])).T
+        near, top = np.zeros(len(left), int), np.zeros(len(left))
+        for k in range(0, len(left), ROWS):  # so that few products stand at once
+            sims = units[k : k + ROWS] @ others
+            top[k : k + ROWS] = sims.max(axis=1)
+            # Equal but for rounding counts as equal: the least label of the nearest.
+            near[k : k + ROWS] = (np.round(sims, 12) == np.round(top[k : k + ROWS], 12)[:, None]).argmax(axis=1)
+        return pd.DataFrame({"id": left["id"].to_numpy(), "label": right["id"].to_numpy()[near], "cosine": top, "compared": len(right)})
 
     where = ["cluster", "piece", "block"]
     return units.groupBy(*where).cogroup(labels.groupBy(*where)).applyInPandas(best, f"id {kinds[0]}, label {kinds[1]}, cosine double, compared long")
@@ -119,7 +125,9 @@ def nearest_labels(units: DataFrame, labels: DataFrame, *, id: str = "id", label
                 open_ = angles - radius <= _angle(f["cosine"].to_numpy())[:, None] + ROOM
                 open_[np.arange(len(f)), f["cluster"].to_numpy()] = False
                 i, c = np.nonzero(open_)
-                yield pd.DataFrame({"id": f["id"].to_numpy()[i], "v": f["v"].to_numpy()[i], "cluster": c})
+                for k in range(0, len(i), SENT):  # a unit goes to up to all clusters
+                    some = slice(k, k + SENT)
+                    yield pd.DataFrame({"id": f["id"].to_numpy()[i[some]], "v": f["v"].to_numpy()[i[some]], "cluster": c[some]})
 
     shape = f"id {kinds[0]}, v array<double>, cluster int"
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
