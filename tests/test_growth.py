@@ -89,3 +89,22 @@ def test_definitions_are_not_broadcast(spark):
     out = N.relevant_definitions(norms, terms)
     assert {tuple(r) for r in out.collect()} == {(k, *r) for k in (1, 2) for r in (("de groep", 1), ("groepen", 2))}
     assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_contexts_in_blocks_equal_one_by_one(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = [rng.choice(["", "kort", "een twee drie " * 3, "x" + " " * 40, "lang " * 9]) for _ in range(30)]
+    monkeypatch.setattr(N, "CONTEXTS", 30)
+
+    def plain(i):
+        left, parts = 90, []
+        for k, t in enumerate(texts):
+            if k != i:
+                t = t if len(t) <= left else t[: max(left, 5)].rstrip(" ") + " [...]"
+                left = max(left - len(t), 0)
+                parts.append(f"[lid {k + 1}] {t}")
+        return "\n\n".join(parts)
+
+    rows = [("a", k, None, t) for k, t in enumerate(texts)] + [("b", 0, "1", "alleen")]
+    got = N.context_with_budget(spark.createDataFrame(rows, "article string, pos int, label string, text string"), 90, least=5).collect()
+    assert {(r.article, r.pos): r.context for r in got} == {("b", 0): None, **{("a", k): plain(k) for k in range(30)}}
