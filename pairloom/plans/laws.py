@@ -67,7 +67,8 @@ def law_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.array_join(F.collect_list(F.when(F.col("p_size") % 3 == 0, block)), "")
     each = F.concat(F.lit('<regelingelement groep="artikel" label-id="'), "p_size", F.lit('">'), block, F.lit("</regelingelement>"))
     parts = F.array_join(F.collect_list(F.when(F.col("p_size") % 3 != 0, each)), "")
-    docs = part.groupBy(F.col("p_brand").alias("instrument")).agg(F.concat(F.lit("<wetstechnische-informatie><gerelateerde-regelgeving><regeling>"), whole, F.lit("</regeling><regelingelementen>"), parts, F.lit("</regelingelementen></gerelateerde-regelgeving></wetstechnische-informatie>")).alias("xml"))
+    # A law's relations in descriptions of 20,000 keys each, so that none grows with the table.
+    docs = part.groupBy(F.col("p_brand").alias("instrument"), F.floor(F.col("p_partkey") / 20_000)).agg(F.concat(F.lit("<wetstechnische-informatie><gerelateerde-regelgeving><regeling>"), whole, F.lit("</regeling><regelingelementen>"), parts, F.lit("</regelingelementen></gerelateerde-regelgeving></wetstechnische-informatie>")).alias("xml"))
     found = S.relations(docs)
     return found.groupBy("instrument", "level", "label_id", "kind", "bwb_id", "unit_kind", "unit_value", "label", "text", "valid_from").agg(F.count(F.lit(1)).alias("n"))
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,16 +31,19 @@ def relations(docs: DataFrame, key: str = "instrument", xml: str = "xml") -> Dat
     empty descriptions have no relations.  The result serves as an edge list, from the reference to the key.
     """
     parsed = docs.filter(F.col(xml).isNotNull()).select(key, F.from_xml(F.col(xml), SCHEMA, {"mode": "PERMISSIVE", "attributePrefix": "_", "valueTag": "_VALUE", "ignoreSurroundingSpaces": "true", "inferSchema": "false"})["gerelateerde-regelgeving"].alias("g"))
-    whole = parsed.select(key, F.lit("instrument").alias("level"), F.lit(None).cast("string").alias("label_id"), F.col("g.regeling").alias("r"))
-    each = parsed.select(key, F.explode("g.regelingelementen.regelingelement").alias("r")).filter("r._groep = 'artikel'").select(key, F.lit("article").alias("level"), F.col("r.`_label-id`").alias("label_id"), "r")
-    rows = []
-    for side in (whole, each):
-        for kind in KINDS:
-            blocks = side.select(key, "level", "label_id", F.explode(f"r.`{kind}`").alias("b"))
-            for group in GROUPS:
-                found = blocks.select(key, "level", "label_id", F.explode(f"b.`{group}`").alias("g")).select("*", F.explode("g.extref").alias("e"))
-                rows.append(found.select(key, "level", "label_id", F.lit(kind).alias("kind"), F.col("e.`_bwb-id`").alias("bwb_id"), F.col("e._doc").alias("doc"), F.col("e._label").alias("label"), F.coalesce(F.trim("e._VALUE"), F.lit("")).alias("text"), F.col("g.`_geldig-van`").alias("valid_from"), F.col("g.`_geldig-tot`").alias("valid_until")))
-    out = reduce(DataFrame.unionByName, rows)
+    # One pass over what is parsed once: the law and its articles, their blocks by kind, the groups of those, and references.
+    held = lambda r: F.struct(*[r[k].alias(k) for k in KINDS])
+    text = F.lit(None).cast("string")
+    whole = F.array(F.struct(F.lit("instrument").alias("level"), text.alias("label_id"), held(F.col("g.regeling")).alias("r")))
+    articles = F.transform(F.filter("g.regelingelementen.regelingelement", lambda x: x["_groep"] == "artikel"), lambda x: F.struct(F.lit("article").alias("level"), x["_label-id"].alias("label_id"), held(x).alias("r")))
+    units = parsed.select(key, F.explode(F.concat(whole, F.coalesce(articles, F.slice(whole, 1, 0)))).alias("u")).select(key, "u.*")
+    none = F.array().cast(T.ArrayType(_BLOCK))
+    named = lambda kind: lambda b: F.struct(F.lit(kind).alias("kind"), b.alias("b"))
+    each = [F.transform(F.coalesce(F.col(f"r.`{k}`"), none), named(k)) for k in KINDS]
+    blocks = units.select(key, "level", "label_id", F.explode(F.concat(*each)).alias("k")).select(key, "level", "label_id", "k.*")
+    some = F.concat(*[F.coalesce(F.col(f"b.`{g}`"), F.array().cast(T.ArrayType(_GROUP))) for g in GROUPS])
+    found = blocks.select(key, "level", "label_id", "kind", F.explode(some).alias("g")).select("*", F.explode("g.extref").alias("e"))
+    out = found.select(key, "level", "label_id", "kind", F.col("e.`_bwb-id`").alias("bwb_id"), F.col("e._doc").alias("doc"), F.col("e._label").alias("label"), F.coalesce(F.trim("e._VALUE"), F.lit("")).alias("text"), F.col("g.`_geldig-van`").alias("valid_from"), F.col("g.`_geldig-tot`").alias("valid_until"))
     unit = r"&(\w+)=([^&]+)"
     return out.withColumns({f"unit_{name}": F.nullif(F.regexp_extract("doc", unit, k), F.lit("")) for k, name in ((1, "kind"), (2, "value"))})
 

@@ -4,9 +4,11 @@ import itertools
 import random
 
 from pairloom.operators import blocks as B
+from pairloom.operators import definitions as D
 from pairloom.operators import norms as N
 from pairloom.operators import pairs as P
 from pairloom.operators import ranks as K
+from pairloom.sources import relations as S
 
 
 def test_connected_groups_equals_all_pairs(spark, monkeypatch):
@@ -108,3 +110,16 @@ def test_contexts_in_blocks_equal_one_by_one(spark, monkeypatch):
     rows = [("a", k, None, t) for k, t in enumerate(texts)] + [("b", 0, "1", "alleen")]
     got = N.context_with_budget(spark.createDataFrame(rows, "article string, pos int, label string, text string"), 90, least=5).collect()
     assert {(r.article, r.pos): r.context for r in got} == {("b", 0): None, **{("a", k): plain(k) for k in range(30)}}
+
+
+def test_relations_parse_once(spark):
+    xml = '<w><gerelateerde-regelgeving><regeling><verwijzing-door><gerelateerde-regeling><extref bwb-id="B1" doc="x&amp;artikel=1" label="l">t</extref></gerelateerde-regeling></verwijzing-door></regeling></gerelateerde-regelgeving></w>'
+    found = S.relations(spark.createDataFrame([("a", xml), ("b", "<w/>"), ("c", None)], "instrument string, xml string"))
+    assert [tuple(r)[:5] for r in found.collect()] == [("a", "instrument", None, "verwijzing-door", "B1")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Union") == 0
+
+
+def test_patterns_are_tried_only_where_their_words_stand(spark):
+    assert set(D.GATES) == {*D.SENTENCES, *D.LABELS, "onder_verstaan"}
+    units = spark.createDataFrame([(1, "De (soort) groep. De instantie (Hierna te noemen: dienst) doet dit.")], "id int, text string")
+    assert [r.term for r in D.definitions(units, ["id"]).collect()] == ["dienst"]
