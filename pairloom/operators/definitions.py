@@ -35,6 +35,16 @@ LABELS = {
     "tussen_haakjes": r"(?U)([^;:\n]{0,500})\(\s*[„“\"]\s*([^”“\"\n)]{2,80}?)\s*[”“\"]\s*\)",
 }
 
+#: What a text must hold for a pattern to be tried; the patterns look far ahead from every place, these do not.
+GATES = {
+    "verstaan_onder": r"(?iU)\bverstaan\s+onder\s",
+    "is_sprake": r"(?U)\sis\s+sprake\s",
+    "hieronder_verstaan": r"(?iU)\bverwezen\s+naar\s",
+    "onder_verstaan": r"(?iU)\s(?:verstaan|begrepen)\b",
+    "hierna": r"(?iU)\(\s*hierna",
+    "tussen_haakjes": r"(?U)\(\s*[„“\"]",
+}
+
 
 def _spaced(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), "^ | $", "")
@@ -99,17 +109,17 @@ def sentence_definitions(units: DataFrame, key: Sequence[str], text: str = "text
     clause before it: up to 500 characters, back to a sign that ends a clause, a sentence or a bracket that is a label itself.
     """
     rows = _texts(units, key, text)
-    every = lambda pattern, k: F.regexp_extract_all("text", F.lit(pattern), F.lit(k))
+    every = lambda name, pattern, k: F.when(F.col("text").rlike(GATES[name]), F.regexp_extract_all("text", F.lit(pattern), F.lit(k)))
     found = []
     for turn, (name, pattern) in enumerate(SENTENCES.items(), 1):
         tailed = pattern + _TAIL
-        zipped = F.arrays_zip(every(tailed, 1).alias("term"), every(tailed, 2).alias("line"), every(tailed, 3).alias("tail"))
+        zipped = F.arrays_zip(every(name, tailed, 1).alias("term"), every(name, tailed, 2).alias("line"), every(name, tailed, 3).alias("tail"))
         got = rows.select(*key, "h", F.posexplode(zipped).alias("k", "m"))
         line = F.trim("m.line")
         full = F.when((line == "") | line.endswith(":"), F.concat_ws(" ", line, "m.tail")).otherwise(line)
         found.append(got.select(*key, "h", F.struct(F.lit(turn).alias("a"), F.col("k").alias("b"), F.lit(0).alias("c")).alias("at"), clean_term(F.col("m.term")).alias("term"), full.alias("definition"), F.lit(name).alias("pattern")))
     onder = _ONDER + _TAIL
-    zipped = F.arrays_zip(every(onder, 1).alias("before"), every(onder, 2).alias("span"), every(onder, 3).alias("line"), every(onder, 4).alias("tail"))
+    zipped = F.arrays_zip(every("onder_verstaan", onder, 1).alias("before"), every("onder_verstaan", onder, 2).alias("span"), every("onder_verstaan", onder, 3).alias("line"), every("onder_verstaan", onder, 4).alias("tail"))
     got = rows.select(*key, "h", F.posexplode(zipped).alias("k", "m")).filter((F.col("m.before") != "") | F.col("m.span").rlike(r"(?iU)\b(?:wordt|worden)\b"))
     span, line = F.trim("m.span"), F.trim("m.line")
     quoted = F.regexp_extract(span, f"^[{OPEN}]([^{CLOSE}]*)[{CLOSE}]", 1)
@@ -117,7 +127,7 @@ def sentence_definitions(units: DataFrame, key: Sequence[str], text: str = "text
     full = F.when((line == "") | line.endswith(":"), F.concat_ws(" ", line, "m.tail")).otherwise(line)
     found.append(got.select(*key, "h", F.struct(F.lit(4).alias("a"), F.col("k").alias("b"), F.lit(0).alias("c")).alias("at"), clean_term(F.when(quoted != "", quoted).otherwise(bare)).alias("term"), full.alias("definition"), F.lit("onder_verstaan").alias("pattern")))
     for turn, (name, pattern) in enumerate(LABELS.items(), 5):
-        zipped = F.arrays_zip(every(pattern, 1).alias("clause"), every(pattern, 2).alias("term"))
+        zipped = F.arrays_zip(every(name, pattern, 1).alias("clause"), every(name, pattern, 2).alias("term"))
         got = rows.select(*key, "h", F.posexplode(zipped).alias("k", "m"))
         clause = F.regexp_replace(F.regexp_replace("m.clause", r"^[\s\S]*[a-z)]\.\s", ""), r"^\s*(?:[a-z]{1,3}|\d{1,3})[.°)]+\s+", "")
         found.append(got.select(*key, "h", F.struct(F.lit(turn).alias("a"), F.col("k").alias("b"), F.lit(0).alias("c")).alias("at"), clean_term(F.col("m.term")).alias("term"), clause.alias("definition"), F.lit(name).alias("pattern")))
