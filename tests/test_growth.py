@@ -4,6 +4,7 @@ import itertools
 import random
 
 from pairloom.operators import blocks as B
+from pairloom.operators import containment as C
 from pairloom.operators import definitions as D
 from pairloom.operators import norms as N
 from pairloom.operators import pairs as P
@@ -123,3 +124,14 @@ def test_patterns_are_tried_only_where_their_words_stand(spark):
     assert set(D.GATES) == {*D.SENTENCES, *D.LABELS, "onder_verstaan"}
     units = spark.createDataFrame([(1, "De (soort) groep. De instantie (Hierna te noemen: dienst) doet dit.")], "id int, text string")
     assert [r.term for r in D.definitions(units, ["id"]).collect()] == ["dienst"]
+
+
+def test_spans_are_looked_for_in_one_reading(spark, monkeypatch):
+    spans = [(1, "b een c"), (2, "b een c twee d"), (3, "een"), (4, "n c"), (5, "b een ... twee d"), (6, "c twee drie vier vijf zes"), (7, ""), (8, "b een ... b een c"), (9, "c twee drie vier vijf zesd")]
+    texts = [(1, "ab een cd"), (2, "B  een c twee drie vier vijf zesde"), (3, "b een c"), (4, "geen"), (5, None), (6, "b een c twee d")]
+    want = {(1, 1), (1, 3), (1, 4), (1, 7), (2, 1), (2, 2), (2, 3), (2, 4), (2, 5), (2, 6), (2, 7), (2, 9), (3, 1), (3, 3), (3, 4), (3, 7), (4, 3), (4, 7), (6, 1), (6, 2), (6, 3), (6, 4), (6, 5), (6, 7)}
+    for most in (20_000, 2, 1):
+        monkeypatch.setattr(C, "MOST", most)
+        out = C.verbatim_pairs(spark.createDataFrame(spans, "span_id long, span string"), spark.createDataFrame(texts, "text_id long, text string"))
+        assert sorted(map(tuple, out.collect())) == sorted(want)
+        assert "NestedLoopJoin" not in out._jdf.queryExecution().executedPlan().toString()
