@@ -16,34 +16,84 @@ from pyspark.sql import functions as F
 
 #: What stands for a cell that no row above fills, and what joins the rows of a header.
 NOTHING, JOINED = "(geen)", " – "
+#: Characters that a parser is fed with at once, and rows that a task sends on at once.
+FED, MARKS = 1 << 16, 10_000
 _CELL = "table_no int, parent int, part string, row_no int, first int, last int, text string, columns array<string>"
 _GAPS = re.compile(r"\s+")
 
 
+class _Reader:
+    """What a parser is fed with: tables are numbered as they open; the rows and entries of those that `known` (those of a first reading) says have a grid go to `made`."""
+
+    def __init__(self, known: list[dict] | None = None):
+        self.known, self.tables, self.made = known, [], []
+        self.around, self.texts = [(None, None, None)], []  # of each open element its role, its table and its row; the texts of open entries
+
+    def start(self, tag: str, attrib: dict) -> None:
+        up, table, row = self.around[-1]
+        role = None
+        if tag == "table":
+            table, role = {"number": len(self.tables) + 1, "inside": table and table["number"], "names": [], "grid": False, "group": False, "thead": 0, "tbody": 0}, "table"
+            self.tables.append(table)
+            self._make(table, "grid", 0)
+        elif up == "table" and tag == "tgroup" and not table["group"]:
+            table["group"], role = True, "group"
+        elif up == "group" and tag == "colspec":
+            table["names"].append(attrib.get("colname"))
+        elif up == "group" and tag in ("thead", "tbody"):
+            role = tag
+            table["grid"] |= tag == "tbody"
+        elif up in ("thead", "tbody") and tag == "row":
+            role, row = "row", (up, table[up])
+            table[up] += 1
+            self._make(table, *row)  # rows without cells count too
+        elif up == "row" and tag == "entry":
+            role = "entry"
+            self.texts.append((attrib, []))
+        self.around.append((role, table, row))
+
+    def data(self, text: str) -> None:
+        if self.known is not None:
+            for _, parts in self.texts:
+                parts.append(text)
+
+    def end(self, tag: str) -> None:
+        role, table, row = self.around.pop()
+        if role == "entry":
+            attrib, parts = self.texts.pop()
+            self._make(table, *row, attrib, "".join(parts))
+
+    def _make(self, table: dict, part: str, n: int, attrib: dict | None = None, text: str = "") -> None:
+        of = self.known and self.known[table["number"] - 1]
+        if not of or not of["grid"]:
+            return
+        names = of["names"]
+        if attrib is None:
+            self.made.append((table["number"], table["inside"], part, n, -1, -1, None, names))
+            return
+        ends = [attrib.get(k) or attrib.get("colname") for k in ("namest", "nameend")]
+        if not all(e in names for e in ends):
+            ends = [attrib.get("colname")] * 2
+        if ends[0] in names:
+            self.made.append((table["number"], table["inside"], part, n, names.index(ends[0]), names.index(ends[1]), _GAPS.sub(" ", text).strip(), names))
+
+
 def _cells(xml: str) -> Iterator[tuple]:
-    """A row for each entry of each table, nested tables too, in document order; (None, ...) parts where a table has no grid."""
-    todo = [(ElementTree.fromstring(xml), None)]
-    number = 0
-    while todo:
-        node, inside = todo.pop()
-        if node.tag == "table":
-            number += 1
-            group = node.find("tgroup")
-            names = [c.get("colname") for c in group.findall("colspec")] if group is not None else []
-            if group is not None and group.find("tbody") is not None:
-                yield number, inside, "grid", 0, -1, -1, None, names
-                for part in ("thead", "tbody"):
-                    for n, row in enumerate(group.findall(f"{part}/row")):
-                        yield number, inside, part, n, -1, -1, None, names  # rows without cells count too
-                        for entry in row.findall("entry"):
-                            ends = [entry.get(k) or entry.get("colname") for k in ("namest", "nameend")]
-                            if not all(e in names for e in ends):
-                                ends = [entry.get("colname")] * 2
-                            if ends[0] in names:
-                                text = _GAPS.sub(" ", "".join(entry.itertext())).strip()
-                                yield number, inside, part, n, names.index(ends[0]), names.index(ends[1]), text, names
-            inside = number
-        todo += [(child, inside) for child in reversed(node)]
+    """A row for each row and entry of each table, nested tables too; read twice, FED characters at a time, so that no tree is held.
+
+    The first reading tells the columns of each table and whether it has a grid, and that all is well formed.
+    """
+    known = None
+    for _ in range(2):
+        reader = _Reader(known)
+        parser = ElementTree.XMLParser(target=reader)
+        for k in range(0, len(xml), FED):
+            parser.feed(xml[k : k + FED])
+            yield from reader.made
+            reader.made.clear()
+        parser.close()
+        yield from reader.made
+        known = reader.tables
 
 
 def table_marks(docs: DataFrame, key: str, xml: str) -> DataFrame:
@@ -52,16 +102,22 @@ def table_marks(docs: DataFrame, key: str, xml: str) -> DataFrame:
     Null, empty and broken mark-up has no tables; neither has a table without a group of columns or a body.
     """
 
+    def made(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[key, "table_no", "parent", "part", "row_no", "first", "last", "text", "columns"]).astype({"parent": "Int32"})
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for k, text in zip(frame["k"], frame["x"], strict=True):
                 try:
-                    rows += [(k, *cell) for cell in _cells(text)] if text else []
-                except ElementTree.ParseError:
+                    for cell in _cells(text) if text else ():
+                        rows.append((k, *cell))
+                        if len(rows) == MARKS:
+                            yield made(rows)
+                            rows = []
+                except ElementTree.ParseError:  # in the first reading, before any row
                     continue
-            out = pd.DataFrame(rows, columns=[key, "table_no", "parent", "part", "row_no", "first", "last", "text", "columns"])
-            yield out.astype({"parent": "Int32"})
+            yield made(rows)
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("k"), F.col(xml).alias("x")).mapInPandas(run, f"{key} {kind}, {_CELL}")

@@ -30,3 +30,18 @@ def test_columns_of_one_header(spark):
     xml = '<table><tgroup><colspec colname="a"/><colspec colname="b"/><colspec colname="c"/><thead><row><entry colname="a">H</entry><entry colname="b">K</entry><entry colname="c">H</entry></row></thead><tbody><row><entry colname="a">1</entry><entry colname="b">2</entry><entry colname="c">3</entry></row></tbody></tgroup></table>'
     docs = spark.createDataFrame([(1, xml)], "doc_id long, xml string")
     assert G.table_lines(G.table_grid(docs)).first().line == "H: 3 | K: 2"
+
+
+def test_marks_of_a_large_table_come_in_pieces(monkeypatch):
+    import tracemalloc
+
+    rows = "".join(f'<row><entry colname="a">x{n}</entry><entry colname="b">y &amp; <b>z</b></entry></row>' for n in range(20_000))
+    xml = f'<d><table><tgroup><colspec colname="a"/><colspec colname="b"/><tbody>{rows}</tbody></tgroup></table></d>'
+    tracemalloc.start()
+    last = None
+    for k, cell in enumerate(G._cells(xml), 1):
+        last = cell
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert k == 60_001 and last == (1, None, "tbody", 19_999, 1, 1, "y & z", ["a", "b"])
+    assert most < 3 * len(xml)
