@@ -8,6 +8,8 @@ import pytest
 
 from pairloom.functions.text import pair_hash
 from pairloom.operators import pairs as P
+from pairloom.operators import review
+from pairloom.plans import registry
 
 
 def made(seed):
@@ -68,3 +70,22 @@ def test_connected_candidates(spark):
     for r in got:
         direct, common = r.j in after[r.i] or r.i in after[r.j], len(after[r.i] & after[r.j])
         assert (r.direct, r.common, r.linked, r.kind) == (direct, common, direct or common > 0, "c")
+
+
+def test_top_tier_reads_the_rarest_keys_first(spark, monkeypatch):
+    rows = [(o, "xy"[o % 2], f"k{o // 2 if o < 40 else 'all'}") for o in range(60)] + [(o, "xy"[o % 2], "kall") for o in range(40)]
+    keys = spark.createDataFrame(rows, "owner long, lang string, key string")
+    want = list(map(tuple, review.greedy_budget_cap(P.inverted_index_pairs(keys, "lang", min_score=0.0), 6, 3, 0.0).collect()))
+    seen, real = [], P.posting_pairs
+    monkeypatch.setattr(P, "posting_pairs", lambda posted, *more: seen.append(posted.agg({"df": "max"}).first()[0]) or real(posted, *more))
+    assert list(map(tuple, registry._top_tier(P.postings(keys, "lang", once=True), 6, 3, 0.0).collect())) == want
+    assert seen == [2]
+    every = list(map(tuple, review.greedy_budget_cap(P.inverted_index_pairs(keys, "lang", min_score=0.0), 30, 40, 0.0).collect()))
+    assert list(map(tuple, registry._top_tier(P.postings(keys, "lang"), 30, 40, 0.0).collect())) == every and len(every) == 33
+
+
+def test_keys_are_made_once_for_both_sides(spark):
+    keys = spark.range(20).selectExpr("id AS owner", "explode(array(id % 3, 5 + id % 7)) AS key")
+    out = P.inverted_index_pairs(keys)
+    assert "Range" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in out.collect()} == {tuple(r) for r in P.inverted_index_pairs(keys.union(keys)).collect()} == {tuple(r) for r in P.inverted_index_pairs(keys, once=True).collect()}
