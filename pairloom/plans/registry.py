@@ -218,6 +218,19 @@ def burden_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.distinct_counts(lines, "l_orderkey", {"recipients": "l_suppkey", "deadlines": "l_quantity", "instruments": "l_partkey"}, 2)
 
 
+@query(_checking(*SCORING["best_actor_pair"]))
+def best_actor_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of an order are met once, as its array, and of their pairs only the best so far is kept."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_suppkey").alias("s_suppkey")).filter("k IS NOT NULL AND n IS NOT NULL")
+    known = lines.join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), "s_suppkey")
+    orders = known.groupBy("k").agg(F.collect_list(F.struct("n", F.col("s_suppkey").alias("s"), F.col("s_nationkey").alias("nk"))).alias("of"))
+    strength = "CASE WHEN x.s = y.s THEN 3 WHEN x.nk = y.nk THEN 2 ELSE 1 END"
+    pair = f"named_struct('less', -({strength}), 'sa', x.s, 'sb', y.s)"
+    none = "CAST(NULL AS STRUCT<less: INT, sa: BIGINT, sb: BIGINT>)"
+    best = F.expr(f"aggregate(of, {none}, (b, x) -> aggregate(filter(of, y -> y.n > x.n), b, (c, y) -> CASE WHEN c IS NULL OR {pair} < c THEN {pair} ELSE c END))")
+    return orders.withColumn("b", best).filter("b IS NOT NULL").select("k", "b.sa", "b.sb", (-F.col("b.less")).alias("strength"))
+
+
 _WAYS = """CASE o_orderkey % 6 WHEN 0 THEN 'binnen ' || o_custkey % 90 || ' uur nadat hij kennis kreeg' WHEN 1 THEN 'Uiterlijk drie  dagen' WHEN 2 THEN 'onverwijld' WHEN 3 THEN 'zo spoedig mogelijk' WHEN 4 THEN 'vier jaar ervaring' ELSE 'binnen 72 uur en binnen 4 weken' END"""
 
 

@@ -89,3 +89,12 @@ def test_keys_are_made_once_for_both_sides(spark):
     out = P.inverted_index_pairs(keys)
     assert "Range" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert {tuple(r) for r in out.collect()} == {tuple(r) for r in P.inverted_index_pairs(keys.union(keys)).collect()} == {tuple(r) for r in P.inverted_index_pairs(keys, once=True).collect()}
+
+
+def test_best_actor_pair_of_lines_met_once(spark, tmp_path):
+    lines = [(1, 1, 5), (1, 2, 5), (1, 2, 6), (1, 3, 7), (2, 1, 6), (2, 1, 5), (3, 1, 9), (3, 2, 6), (4, 2, 7), (4, 1, 6), (5, 1, 7), (5, 2, None), (5, 3, 8), (None, 1, 5), (None, 2, 5), (6, None, 5), (6, 1, 5)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(5, 1), (6, 1), (7, 2), (8, None)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    out = registry.best_actor_pair(spark, str(tmp_path))
+    assert sorted(map(tuple, out.collect())) == [(1, 5, 5, 3), (4, 6, 7, 1), (5, 7, 8, 1)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
