@@ -12,12 +12,13 @@ the triangle inequality over the first pivot of each round leaves it open and th
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .substring import _rows, _spread, shown_id
@@ -31,11 +32,15 @@ FRESH_WORDS, KNOWN_WORDS = 1 << 18, 1 << 18
 SEEN_SETS = 100_000
 #: Sets of a region up to which its pairs meet at once.
 SMALL = 32
+#: Rows of a working table that one partition holds, and pairs of texts that one task measures.
+PART_ROWS, PART_PAIRS = 1 << 17, 1024
 #: Pivots of a region in a round, and pairs apart for each member up to which a region needs no round.
 PIVOTS, WIDE = 8, 256
 _EMPTY = 0
 #: Parities of a set's shingles over 256 buckets, in four longs.
 SIGNS = ["g0", "g1", "g2", "g3"]
+#: Sets of more shingles have parities over as many buckets as they have shingles too, up to so many (powers of two).
+NARROW, MOST_BUCKETS = 256, 1 << 16
 
 
 def _sets(words: Words, shingle: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -51,12 +56,42 @@ def _sets(words: Words, shingle: int) -> Iterator[tuple[int, np.ndarray, np.ndar
             yield i, np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
 
+def _wide(hashes: np.ndarray) -> bytes | None:
+    """Parities of a large set's shingles over as many buckets as it has shingles, at least."""
+    if len(hashes) <= NARROW:
+        return None
+    buckets = min(MOST_BUCKETS, 1 << (len(hashes) - 1).bit_length())
+    odd = np.bincount((mix(hashes) & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _screen(percent: int):
+    """The pairs (x, y) of (x, y, nx, ny, wx, wy) that parities of many buckets leave open: each that differs is a shingle that one set lacks."""
+
+    def folded(bits: np.ndarray, size: int) -> np.ndarray:
+        while len(bits) > size:  # a bucket of half as many is two of these
+            bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+        return bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            on = np.ones(batch.num_rows, bool)
+            for i, (n, m, a, b) in enumerate(zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True)):
+                if a is not None and b is not None:
+                    u, v = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+                    size = min(len(u), len(v))
+                    on[i] = int(np.bitwise_count(folded(u, size) ^ folded(v, size)).sum()) * (100 + percent) <= (n + m) * (100 - percent)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(on)) for k in (0, 1)], names=["x", "y"])
+
+    return released(run)
+
+
 def _profile(shingle: int):
     """Rows of documents (kind 0: o, tag, n, hash of the set) and, at the end, of frequent words (kind 1: hash, count)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_seen, known, counts, fresh = 0, np.zeros(0, np.uint64), np.zeros(0, np.int64), []
-        names = ["kind", "a", "b", "n", "s", *SIGNS]
+        names = ["kind", "a", "b", "n", "s", *SIGNS, "wide"]
 
         def merge(known, counts, fresh):
             v, c = np.unique(np.concatenate(fresh), return_counts=True) if fresh else (known[:0], counts[:0])
@@ -70,13 +105,14 @@ def _profile(shingle: int):
         for batch in batches:
             words = tokenize(batch.column(2), lower=True)
             n, s = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.uint64)
-            signs = np.zeros((batch.num_rows, len(SIGNS)), np.uint64)
+            signs, wide = np.zeros((batch.num_rows, len(SIGNS)), np.uint64), [None] * batch.num_rows
             for i, hashes, _ in _sets(words, shingle):
                 n[i] = len(hashes)
                 odd = np.bincount((mix(hashes) >> np.uint64(56)).astype(np.int64), minlength=64 * len(SIGNS)) & 1
                 signs[i] = np.packbits(odd.astype(np.uint8)).view(np.uint64)
+                wide[i] = _wide(hashes)
                 s[i] = mix(np.array([mix(hashes ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64) + np.uint64(len(hashes))]))[0] if len(hashes) else _EMPTY
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), batch.column(1), pa.array(n), pa.array(signed(s)), *[pa.array(signed(np.ascontiguousarray(g))) for g in signs.T]], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), batch.column(1), pa.array(n), pa.array(signed(s)), *[pa.array(signed(np.ascontiguousarray(g))) for g in signs.T], pa.array(wide, pa.binary())], names=names)
             fresh.append(words.hashes)
             words_seen += len(words.hashes)
             if sum(map(len, fresh)) > FRESH_WORDS:
@@ -85,7 +121,7 @@ def _profile(shingle: int):
         known, counts = merge(known, counts, fresh)
         on = counts >= max(2, words_seen // 1_000_000)
         k = int(on.sum())
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(signed(known[on])), pa.array(np.zeros(k, np.int64)), pa.array(counts[on]), *[pa.array(np.zeros(k, np.int64))] * (1 + len(SIGNS))], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(signed(known[on])), pa.array(np.zeros(k, np.int64)), pa.array(counts[on]), *[pa.array(np.zeros(k, np.int64))] * (1 + len(SIGNS)), pa.nulls(k, pa.binary())], names=names)
 
     return released(run)
 
@@ -168,25 +204,41 @@ def cut(df: DataFrame) -> DataFrame:
     return written(df, "jaccard")
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """The rows of df as a table, read in as few partitions as its rows need: what one partition holds is not shuffled again."""
+    table = cut(df)
+    n = table.count()
+    out = table.coalesce(max(1, -(-n // PART_ROWS)))
+    out.table_path, out.n_rows = table.table_path, n
+    return out
+
+
+def _either(df: DataFrame, *rows: list[Column]) -> DataFrame:
+    """Each row of df as several; no union, which would part what lies together."""
+    return df.select(F.inline(F.array(*[F.struct(*r) for r in rows])))
+
+
 def _is_star(stars: DataFrame) -> bool:
     """Whether each u has one v and no u is a v of another."""
-    ends = stars.select(F.col("u").alias("k"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(stars.select("v", F.lit(0), F.lit(1)))
+    end = lambda k, below: [F.col(k).alias("k"), F.lit(below).alias("below"), F.lit(1 - below).alias("above")]
+    ends = _either(stars, end("u", 1), end("v", 0))
     sums = ends.groupBy("k").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
     return sums.agg(F.count(F.when(F.col("below") + F.col("above") > 1, 1))).first()[0] == 0
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(c, root): the least node that links reach, for all nodes of edges (x, y) but the least; large-star, small-star."""
-    stars = cut(edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).filter("u <> v").distinct())
+    stars = packed(edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).filter("u <> v").distinct())
     while not _is_star(stars):
         # Large star: the greater neighbours of a node go to the least of its neighbourhood.
-        both = stars.union(stars.select("v", "u"))
+        both = _either(stars, [F.col("u"), F.col("v")], [F.col("v").alias("u"), F.col("u").alias("v")])
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # Small star: a node and its lesser neighbours go to the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        old, stars = stars, cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        pulled = _either(small, [F.col("v").alias("u"), F.col("m").alias("v")], [F.col("u"), F.col("m").alias("v")])
+        old, stars = stars, packed(pulled.filter("u <> v").distinct())
         drop(old)
     out = stars.select(F.col("u").alias("c"), F.col("v").alias("root"))
     out.table_path = stars.table_path
@@ -201,31 +253,43 @@ def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     met = links.join(of("x"), "x", "left").join(of("y"), "y", "left")
     step = components(met.select(F.coalesce("rx", "x").alias("x"), F.coalesce("ry", "y").alias("y")))
     moved = roots.join(step.select(F.col("c").alias("root"), F.col("root").alias("to")), "root", "left")
-    out = cut(moved.select("c", F.coalesce("to", "root").alias("root")).union(step))
+    out = packed(moved.select("c", F.coalesce("to", "root").alias("root")).union(step))
     drop(roots, step)
     return out
 
 
-def _texts(rows: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
-    """(c, text) of the first document of each class among nodes."""
-    first = classes.join(nodes, "c").select("c", F.col("first.o").alias("o"), F.col("first.tag").alias("tag"))
-    n = nodes.count()
+def _texts(rows: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(c, text) of the first document of each set among nodes."""
+    first = sets.join(nodes, "c").select("c", F.col("first.o").alias("o"), F.col("first.tag").alias("tag"))
+    n = nodes.n_rows
     first = F.broadcast(first) if n <= BROADCAST_ROWS else first
     return rows.join(first, ["o", "tag"]).select("c", "text").dropDuplicates(["c"]) if n > BROADCAST_ROWS else rows.join(first, ["o", "tag"]).select("c", "text")
 
 
-def _verify(pairs: DataFrame, rows: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
-    """x, y, nx, ny, common of pairs (a table, which is deleted)."""
-    nodes = pairs.select(F.col("x").alias("c")).union(pairs.select(F.col("y").alias("c"))).distinct()
-    nodes = cut(nodes)
-    texts = _texts(rows, nodes, classes)
+def _verify(pairs: DataFrame, rows: DataFrame, sets: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """x, y, nx, ny, common of the pairs (x, y) that may link; only their texts are moved."""
+    side = lambda k: sets.filter("wide is not null").select(F.col("c").alias(k), F.col("n").alias(f"n{k}"), F.col("wide").alias(f"w{k}"))
+    pairs = packed(pairs)
+    both = pairs.join(side("x"), "x", "left").join(side("y"), "y", "left").select("x", "y", "nx", "ny", "wx", "wy")
+    old, pairs = pairs, packed(both.mapInArrow(_screen(percent), "x long, y long"))
+    drop(old)
+    nodes = packed(_either(pairs, [F.col("x").alias("c")], [F.col("y").alias("c")]).distinct())
+    texts = _texts(rows, nodes, sets)
     left = pairs.join(texts.select(F.col("c").alias("x"), F.col("text").alias("tx")), "x")
     full = left.join(texts.select(F.col("c").alias("y"), F.col("text").alias("ty")), "y").select("x", "y", "tx", "ty")
-    out = cut(full.mapInArrow(_measure(shingle), "x long, y long, nx long, ny long, common long"))
+    full = full.coalesce(max(1, -(-pairs.n_rows // PART_PAIRS)))
+    out = packed(full.mapInArrow(_measure(shingle), "x long, y long, nx long, ny long, common long"))
     drop(pairs, nodes)
     return out
 
 
+def _unmeasured(pairs: DataFrame, measured: list[DataFrame]) -> DataFrame:
+    """The pairs (x, y) that no table of measured ones has."""
+    done = functools.reduce(DataFrame.union, [m.select("x", "y") for m in measured])
+    done = done.coalesce(max(1, -(-sum(m.n_rows for m in measured) // PART_ROWS)))
+    return pairs.join(done, ["x", "y"], "left_anti")
+
+
 def linked_sets(docs: DataFrame, shingle: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents: o, tag, n, c), (the least set that links reach, for linked sets but the least: c, root), (classes: c, first)."""
     with alike_at_every_size(docs.sparkSession):
@@ -237,21 +301,20 @@ def _linked_sets(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame
     tune(spark)
     sweep(spark)
     rows = _rows(docs)
-    profile = cut(rows.select("o", "tag", "text").mapInArrow(_profile(shingle), "kind int, a long, b long, n long, s long, " + ", ".join(f"{g} long" for g in SIGNS)))
+    profile = cut(rows.select("o", "tag", "text").mapInArrow(_profile(shingle), "kind int, a long, b long, n long, s long, " + ", ".join(f"{g} long" for g in SIGNS) + ", wide binary"))
     members = profile.filter("kind = 0").select(F.col("a").alias("o"), F.col("b").alias("tag"), "n", F.col("s").alias("c"))
     table = profile.filter("kind = 1").groupBy(F.col("a").alias("h")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(ORDER_WORDS).toArrow()
     hashes = table.column("h").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
     level = (np.log2(np.maximum(table.column("n").to_numpy(), 1)) * 2).astype(np.int64)[order] + 1
     shared = spark.sparkContext.broadcast((hashes[order], level))  # at most ORDER_WORDS entries
-    classes = members.filter("n > 0").groupBy("c").agg(F.min(F.struct("o", "tag")).alias("first"))
-    signs = profile.filter("kind = 0 and n > 0").groupBy(F.col("s").alias("c")).agg(*[F.first(g).alias(g) for g in SIGNS])
+    sets = profile.filter("kind = 0 and n > 0").groupBy(F.col("s").alias("c"))
+    sets = packed(sets.agg(F.min(F.struct(F.col("a").alias("o"), F.col("b").alias("tag"))).alias("first"), *[F.first(k).alias(k) for k in ["n", *SIGNS, "wide"]]))
     regions = rows.mapInArrow(_regions(shingle, percent, shared), "cell long, c long, at long, w int, salt int")
     # Only regions of two sets and more go on; copies of a set are one member.
     over = Window.partitionBy("cell", "salt")
     met = regions.withColumns({"lo": F.min("c").over(over), "hi": F.max("c").over(over), "many": F.max("w").over(over)}).filter("salt > 0 or many > 1 or lo <> hi")
-    met = met.join(signs, "c").groupBy("cell", "c").agg(F.first("at").alias("at"), *[F.first(g).alias(g) for g in SIGNS])
-    multi = cut(met.select("cell", "c", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(0xFFFFFFFF).alias("pos"), *SIGNS, F.count(F.lit(1)).over(Window.partitionBy("cell")).alias("k")))
+    met = met.join(sets.select("c", *SIGNS), "c").groupBy("cell", "c").agg(F.first("at").alias("at"), *[F.first(g).alias(g) for g in SIGNS])
     # What two sets have in common starts at the first region they share, so in that one each must
     # have as many pivots left as a link needs; all linked pairs meet there, and the rest need not meet.
     left = lambda n, pos, m: (F.col(n) - F.col(pos)) * (100 + percent) >= (F.col(n) + F.col(m)) * percent
@@ -261,30 +324,44 @@ def _linked_sets(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame
     is_link = F.col("common") * 100 >= (F.col("nx") + F.col("ny") - F.col("common")) * percent
     distance = 1 - F.col("common") / (F.col("nx") + F.col("ny") - F.col("common"))
     both_sides = lambda df, names: [df.select("cell", *[F.col(k).alias(k + e) for k in names]) for e in ("x", "y")]
-    # Regions of few sets: all their pairs that can link are measured.
-    a, b = both_sides(multi.filter(F.col("k") <= SMALL), ["c", "n", "pos", *SIGNS])
-    few = a.join(b, "cell").filter((F.col("cx") < F.col("cy")) & near("nx", "ny", "posx", "posy", "x", "y"))
-    found = _verify(cut(few.select(F.col("cx").alias("x"), F.col("cy").alias("y")).distinct()), rows, classes, shingle)
+    # Copies and near copies meet in many regions.  First all members of a region are measured against one pivot,
+    # its least set, which is the same one wherever a group meets: a link each joins most groups.
+    whole = Window.partitionBy("cell")
+    met = met.select("cell", "c", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(0xFFFFFFFF).alias("pos"), *SIGNS)
+    met = met.withColumns({"k": F.count(F.lit(1)).over(whole), "p": F.min(F.struct("c", "n", "pos", *SIGNS)).over(whole)})
+    met = met.withColumns({"p0": F.col("p.c"), **{f"{k}p": F.col(f"p.{k}") for k in ["n", "pos", *SIGNS]}})
+    multi = cut(met.select("cell", "c", "n", "pos", *SIGNS, "k", "p0", ((F.col("c") != F.col("p0")) & near("n", "np", "pos", "posp", "", "p")).alias("open")))
+    found = _verify(multi.filter("open").select(F.col("p0").alias("x"), F.col("c").alias("y")).distinct(), rows, sets, shingle, percent)
     measured = [found]
-    roots = _joined(None, found.filter(is_link).select("x", "y"))
+    links = found.filter(is_link).select("x", "y")
+    roots = _joined(None, links)
     shared.unpersist()  # the regions are in reliable storage
-    # Larger ones: rounds of pivots, all members of a region against them, where the sizes leave a link
+    # Regions of more sets: rounds of pivots, all members of a region against them, where the sizes leave a link
     # open and none is known.  Each region goes on for itself, while its pairs apart are more than WIDE for
     # each member (fewer grow in proportion to it) and a round takes a quarter of them or more; only members count that have as many pivots
     # left as a link to a set of their own size needs.  Half the pivots are members that were linked to most
     # pivots of the round before: the text that many near copies stem from is found that way.
-    state = cut(multi.filter(F.col("k") > SMALL).drop("k").join(roots, "c", "left").withColumns({"root": F.coalesce("root", "c"), "hits": F.lit(0).cast("long")}))
-    drop(multi)
+    apart = lambda pivot, d: _either(found, [F.col("x").alias("c"), F.col("y").alias(pivot), distance.alias(d)], [F.col("y").alias("c"), F.col("x").alias(pivot), distance.alias(d)])
+    fresh = {"root": F.coalesce("root", "c"), "hits": F.coalesce("hits", F.lit(0).cast("long"))}
+
+    def hits_of(ends: DataFrame) -> DataFrame:
+        met = _either(links, [F.col("x").alias("c"), F.col("y").alias("p")], [F.col("y").alias("c"), F.col("x").alias("p")])
+        return met.join(ends, "p").groupBy("c").agg(F.count(F.lit(1)).alias("hits")).join(ends.withColumnRenamed("p", "c"), "c", "left_anti")
+
+    large = packed(multi.filter(F.col("k") > SMALL).drop("k", "open"))
+    state = large.join(apart("p0", "d0"), ["c", "p0"], "left").join(roots, "c", "left").join(hits_of(large.select(F.col("p0").alias("p")).distinct()), "c", "left")
+    state = packed(state.withColumns(fresh))
+    drop(large)
     before = None
-    for turn in itertools.count():
+    for turn in itertools.count(1):
         tall = state.filter(left("n", "pos", "n")).groupBy("cell", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("cell").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("k2"))
         tall = tall.select("cell", ((F.col("k") * F.col("k") - F.col("k2")) / 2).alias("apart"), "k").filter(F.col("apart") > WIDE * F.col("k")).drop("k")
         if before is not None:
             tall = tall.join(before.withColumnRenamed("apart", "was"), "cell").filter("4 * apart <= 3 * was").drop("was")
-        old, before = before, cut(tall)
+        old, before = before, packed(tall)
         drop(old)
         tall = before
-        if tall.isEmpty():
+        if not tall.n_rows:
             break
         sweep(spark)
         slot = F.pmod(F.xxhash64("c", F.lit(-turn - 1)), F.lit(PIVOTS)).cast("int")
@@ -293,37 +370,36 @@ def _linked_sets(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame
         pivot = f"p{turn}"
         star = state.join(pivots, "cell").filter((F.col("root") != F.col("rp")) & near("n", "np", "pos", "pp", "", "p"))
         pairs = star.select(F.least("c", pivot).alias("x"), F.greatest("c", pivot).alias("y")).distinct()
-        for done in measured:
-            pairs = pairs.join(done.select("x", "y"), ["x", "y"], "left_anti")
-        found = _verify(cut(pairs), rows, classes, shingle)
+        found = _verify(_unmeasured(pairs, measured), rows, sets, shingle, percent)
         measured.append(found)
         links = found.filter(is_link).select("x", "y")
         roots = _joined(roots, links)
-        ends = pivots.select(F.col(pivot).alias("p")).distinct()
-        hits = links.select(F.col("x").alias("c"), F.col("y").alias("p")).union(links.select("y", "x")).join(ends, "p").groupBy("c").agg(F.count(F.lit(1)).alias("hits"))
-        hits = hits.join(ends.withColumnRenamed("p", "c"), "c", "left_anti")
-        both = found.select(F.col("x").alias("c"), F.col("y").alias(pivot), distance.alias(f"d{turn}"))
-        both = both.union(found.select("y", "x", distance))
-        at, state = state, state.drop("root", "hits").join(pivots.filter("slot = 0").select("cell", pivot), "cell", "left").join(both, ["c", pivot], "left").join(roots, "c", "left").join(hits, "c", "left")
-        old, state = at, cut(state.withColumns({"root": F.coalesce("root", "c"), "hits": F.coalesce("hits", F.lit(0))}))
+        hits = hits_of(pivots.select(F.col(pivot).alias("p")).distinct())
+        at, state = state, state.drop("root", "hits").join(pivots.filter("slot = 0").select("cell", pivot), "cell", "left").join(apart(pivot, f"d{turn}"), ["c", pivot], "left").join(roots, "c", "left").join(hits, "c", "left")
+        old, state = at, packed(state.withColumns(fresh))
         drop(old)
     sweep(spark)
     # Then the pairs that are apart so far and that the triangle inequality over all pivots leaves open.
     turns = [c[1:] for c in state.columns if c[0] == "d" and c[1:].isdigit()]
     split = state.groupBy("cell").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("cell")
-    open_ = cut(state.join(split, "cell").select("cell", "c", "n", "pos", "root", *SIGNS, *[f"d{t}" for t in turns]))
+    open_ = packed(state.join(split, "cell").select("cell", "c", "n", "pos", "root", *SIGNS, *[f"d{t}" for t in turns]))
     a, b = both_sides(open_, ["c", "n", "pos", "root", *SIGNS, *[f"d{t}" for t in turns]])
     radius = 1 - percent / 100 + 1e-9
     admitted = (F.col("cx") < F.col("cy")) & (F.col("rootx") != F.col("rooty")) & near("nx", "ny", "posx", "posy", "x", "y")
     for t in turns:
         admitted &= F.coalesce(F.abs(F.col(f"d{t}x") - F.col(f"d{t}y")), F.lit(0.0)) <= radius
-    pairs = a.join(b, "cell").filter(admitted).select(F.col("cx").alias("x"), F.col("cy").alias("y")).distinct()
-    for done in measured:
-        pairs = pairs.join(done.select("x", "y"), ["x", "y"], "left_anti")
-    last = _verify(cut(pairs), rows, classes, shingle)
+    pairs = a.join(b, "cell").filter(admitted).select(F.col("cx").alias("x"), F.col("cy").alias("y"))
+    # In regions of few sets all pairs that can link and are apart so far.
+    a, b = both_sides(multi.filter((F.col("k") > 2) & (F.col("k") <= SMALL)), ["c", "n", "pos", *SIGNS])  # of two sets, one is the pivot
+    few = a.join(b, "cell").filter((F.col("cx") < F.col("cy")) & near("nx", "ny", "posx", "posy", "x", "y"))
+    few = packed(few.select(F.col("cx").alias("x"), F.col("cy").alias("y")).distinct())
+    of = lambda k: roots.select(F.col("c").alias(k), F.col("root").alias(f"r{k}"))
+    left_over = few.join(of("x"), "x", "left").join(of("y"), "y", "left").filter(F.coalesce("rx", "x") != F.coalesce("ry", "y"))
+    pairs = pairs.union(left_over.select("x", "y")).distinct()
+    last = _verify(_unmeasured(pairs, measured), rows, sets, shingle, percent)
     roots = _joined(roots, last.filter(is_link).select("x", "y"))
-    drop(before, state, open_, last, *measured)
-    return members, roots, classes
+    drop(before, state, open_, few, multi, last, *measured)
+    return members, roots, sets.select("c", "first")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFrame:

@@ -265,6 +265,48 @@ def test_jaccard(spark, odd, none, docs):
     assert lone[None] == 0 and jaccard.join_documents(none).count() == 0
 
 
+def edited(words, edits, name):
+    """The text of words with so many of them replaced, evenly."""
+    w = list(words)
+    for k in range(edits):
+        w[(2 * k + 1) * len(w) // (2 * edits)] = f"{name}-{k}"
+    return " ".join(w)
+
+
+def test_jaccard_measures_few_pairs(spark, monkeypatch):
+    # Near copies are linked by way of one of them; long texts that are near, but not enough, are told apart before they are moved.
+    texts = [edited([f"a{k}" for k in range(300)], i % 3, f"e{i}") for i in range(40)]
+    texts += [edited([f"b{k}" for k in range(1500)], 35, f"f{i}") for i in range(12)]
+    measured, verify = [], jaccard._verify
+
+    def counted(*args):
+        out = verify(*args)
+        measured.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "_verify", counted)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == brute_components(list(enumerate(texts)))
+    assert sum(measured) <= 2 * len(texts)
+
+
+def test_jaccard_rounds_and_parts(spark, monkeypatch):
+    # Rounds of pivots in all regions but the least, and tables of more than one partition.
+    for name, value in (("WIDE", 0), ("SMALL", 3), ("PART_ROWS", 16), ("PART_PAIRS", 8)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = np.random.default_rng(5)
+    texts = []
+    for f in range(3):
+        for i in range(30):  # chains: each text is the one before with two words replaced
+            w = [f"{f}w{k}" for k in range(150)] if not i else list(w)
+            for k in rng.choice(150, 2, replace=False):
+                w[k] = f"{f}e{i}-{k}"
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == brute_components(list(enumerate(texts)))
+
+
 def test_sharding(odd, none, docs):
     for frame in (odd, docs):
         out = sharding.shard_documents(frame).toPandas()
