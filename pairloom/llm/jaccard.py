@@ -5,7 +5,9 @@ as first pivots would put all in one region.  The pivots are the single shingles
 lies at 1 - 1/n from each shingle it has and at 1 from any other, its nearest pivot is the
 first of its own in one global order (rare words first), and a partner within the radius r
 can miss so few of them that it shares one of the document's first floor(r n) + 1.  Those are
-the regions a document is put into, its own and, as a boundary document, the next.  Within a
+the regions a document is put into, its own and, as a boundary document, the next.  The members of
+large regions are put into regions once more, by the order of how many of them have a shingle: what is
+a member's own comes first, and one with too much of its own has no region left.  Within a
 region documents are the pivots: all are measured against them, and a pair is measured only if
 the triangle inequality over the first pivot of each round leaves it open and the two are not linked already.
 """
@@ -35,7 +37,9 @@ SMALL = 32
 #: Rows of a working table that one partition holds, and pairs of texts that one task measures.
 PART_ROWS, PART_PAIRS = 1 << 17, 1024
 #: Pivots of a region in a round, and pairs apart for each member up to which a region needs no round.
-PIVOTS, WIDE = 8, 256
+PIVOTS, WIDE = 8, 64
+#: Regions before one that its members know, so that a pair that met in them does not meet again, and shingles sent on at a time.
+EARLIER, SENT = 8, 1 << 16
 _EMPTY = 0
 #: Parities of a set's shingles over 256 buckets, in four longs.
 SIGNS = ["g0", "g1", "g2", "g3"]
@@ -56,6 +60,11 @@ def _sets(words: Words, shingle: int) -> Iterator[tuple[int, np.ndarray, np.ndar
             yield i, np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
 
+def _name(hashes: np.ndarray) -> np.uint64:
+    """The hash of a set of shingles."""
+    return mix(np.array([mix(hashes ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64) + np.uint64(len(hashes))]))[0]
+
+
 def _wide(hashes: np.ndarray) -> bytes | None:
     """Parities of a large set's shingles over as many buckets as it has shingles, at least."""
     if len(hashes) <= NARROW:
@@ -111,7 +120,7 @@ def _profile(shingle: int):
                 odd = np.bincount((mix(hashes) >> np.uint64(56)).astype(np.int64), minlength=64 * len(SIGNS)) & 1
                 signs[i] = np.packbits(odd.astype(np.uint8)).view(np.uint64)
                 wide[i] = _wide(hashes)
-                s[i] = mix(np.array([mix(hashes ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64) + np.uint64(len(hashes))]))[0] if len(hashes) else _EMPTY
+                s[i] = _name(hashes) if len(hashes) else _EMPTY
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), batch.column(1), pa.array(n), pa.array(signed(s)), *[pa.array(signed(np.ascontiguousarray(g))) for g in signs.T], pa.array(wide, pa.binary())], names=names)
             fresh.append(words.hashes)
             words_seen += len(words.hashes)
@@ -144,7 +153,7 @@ def _regions(shingle: int, percent: int, shared):
                 n = len(hashes)
                 if not n:
                     continue
-                c = mix(np.array([mix(hashes ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64) + np.uint64(n)]))[0]
+                c = _name(hashes)
                 if c in seen:  # a copy: its set has been put into its regions by this task
                     continue
                 if len(seen) >= SEEN_SETS:
@@ -168,6 +177,40 @@ def _regions(shingle: int, percent: int, shared):
     return released(run)
 
 
+def _shingles(shingle: int):
+    """(cell, c): all shingles of the sets c, of rows (c, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            cells, own, held = [], [], 0
+            for i, hashes, _ in _sets(tokenize(batch.column(1), lower=True), shingle):
+                if len(hashes) and int(signed(np.array([_name(hashes)]))[0]) == names[i]:
+                    cells.append(hashes)
+                    own.append(np.full(len(hashes), names[i], np.int64))
+                    held += len(hashes)
+                if cells and (held >= SENT or i == batch.num_rows - 1):
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(cells))), pa.array(np.concatenate(own))], names=["cell", "c"])
+                    cells, own, held = [], [], 0
+
+    return released(run)
+
+
+def _dealt_anew(nodes: DataFrame, rows: DataFrame, sets: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """nodes with cell and pos: the regions of their first pivots in the order of how many nodes have a shingle, and their places in it.
+
+    Shingles that one node alone has come first and need no region.
+    """
+    parts = _texts(rows, nodes, sets).mapInArrow(_shingles(shingle), "cell long, c long")
+    parts = parts.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("cell"))).filter("m > 1")
+    own = Window.partitionBy("c")
+    # A repeated row's text comes as often; its shingles count more, in the same way for all.
+    placed = parts.repartition("c").groupBy("c", "cell").agg(F.first("m").alias("m"))
+    placed = placed.withColumns({"rank": F.row_number().over(own.orderBy("m", "cell")), "shared": F.count(F.lit(1)).over(own)})
+    placed = placed.join(nodes, "c").withColumn("pos", F.col("n") - F.col("shared") + F.col("rank") - 1)
+    return placed.filter((F.col("n") - F.col("pos")) * 100 >= F.col("n") * percent).drop("m", "rank", "shared")
+
+
 def _measure(shingle: int):
     """(x, y, nx, ny, common) of pairs of texts; the last text of the second column is kept."""
 
@@ -348,10 +391,16 @@ def _linked_sets(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame
         met = _either(links, [F.col("x").alias("c"), F.col("y").alias("p")], [F.col("y").alias("c"), F.col("x").alias("p")])
         return met.join(ends, "p").groupBy("c").agg(F.count(F.lit(1)).alias("hits")).join(ends.withColumnRenamed("p", "c"), "c", "left_anti")
 
-    large = packed(multi.filter(F.col("k") > SMALL).drop("k", "open"))
-    state = large.join(apart("p0", "d0"), ["c", "p0"], "left").join(roots, "c", "left").join(hits_of(large.select(F.col("p0").alias("p")).distinct()), "c", "left")
+    # The members of large regions that links have not joined are dealt anew.  The order by words lets the text that many near
+    # copies stem from come before their edits, so all of them meet; by the members' own shingles they meet only if both can link.
+    large = multi.filter(F.col("k") > SMALL).drop("k", "open").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    large = packed(large)
+    split = large.groupBy("cell").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("cell")
+    far = packed(large.join(split, "cell").groupBy("c").agg(*[F.first(k).alias(k) for k in ["n", "root", *SIGNS]]))
+    nearest = large.select("c", "p0").distinct().join(apart("p0", "d0"), ["c", "p0"]).groupBy("c").agg(F.min(F.struct("d0", "p0")).alias("q")).select("c", "q.d0", "q.p0")
+    state = _dealt_anew(far, rows, sets, shingle, percent).join(nearest, "c", "left").join(hits_of(large.select(F.col("p0").alias("p")).distinct()), "c", "left")
     state = packed(state.withColumns(fresh))
-    drop(large)
+    drop(large, far)
     before = None
     for turn in itertools.count(1):
         tall = state.filter(left("n", "pos", "n")).groupBy("cell", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("cell").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("k2"))
@@ -380,12 +429,15 @@ def _linked_sets(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame
         drop(old)
     sweep(spark)
     # Then the pairs that are apart so far and that the triangle inequality over all pivots leaves open.
-    turns = [c[1:] for c in state.columns if c[0] == "d" and c[1:].isdigit()]
+    turns = [c[1:] for c in state.columns if c[0] == "d" and c[1:].isdigit() and c != "d0"]
     split = state.groupBy("cell").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("cell")
-    open_ = packed(state.join(split, "cell").select("cell", "c", "n", "pos", "root", *SIGNS, *[f"d{t}" for t in turns]))
-    a, b = both_sides(open_, ["c", "n", "pos", "root", *SIGNS, *[f"d{t}" for t in turns]])
+    kept = ["c", "n", "pos", "root", *SIGNS, "p0", "d0", *[f"d{t}" for t in turns]]
+    just_before = Window.partitionBy("c").orderBy("pos").rowsBetween(-EARLIER, -1)
+    open_ = packed(state.join(split, "cell").select("cell", *kept, F.collect_list("cell").over(just_before).alias("early")))
+    a, b = both_sides(open_, [*kept, "early"])
     radius = 1 - percent / 100 + 1e-9
     admitted = (F.col("cx") < F.col("cy")) & (F.col("rootx") != F.col("rooty")) & near("nx", "ny", "posx", "posy", "x", "y")
+    admitted &= ~F.arrays_overlap("earlyx", "earlyy") & F.coalesce((F.col("p0x") != F.col("p0y")) | (F.abs(F.col("d0x") - F.col("d0y")) <= radius), F.lit(True))
     for t in turns:
         admitted &= F.coalesce(F.abs(F.col(f"d{t}x") - F.col(f"d{t}y")), F.lit(0.0)) <= radius
     pairs = a.join(b, "cell").filter(admitted).select(F.col("cx").alias("x"), F.col("cy").alias("y"))

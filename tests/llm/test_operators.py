@@ -307,6 +307,29 @@ def test_jaccard_rounds_and_parts(spark, monkeypatch):
     assert got == brute_components(list(enumerate(texts)))
 
 
+def test_jaccard_far_members_do_not_meet(spark, monkeypatch):
+    # Near copies with some edits too many for a link, all of common words: they share the first regions of the text that all stem from.
+    rng = np.random.default_rng(11)
+    words = [f"w{k}" for k in range(400)]
+    texts = []
+    for i in range(80):
+        w = list(words)
+        for k in rng.choice(400, 10 if i % 2 else i % 3, replace=False):
+            w[k] = words[rng.integers(400)]
+        texts.append(" ".join(w))
+    asked, verify = [], jaccard._verify
+
+    def counted(pairs, *args):
+        asked.append(pairs.distinct().count())
+        return verify(pairs, *args)
+
+    monkeypatch.setattr(jaccard, "_verify", counted)
+    rows = [*enumerate(texts), (79, texts[79]), (2, texts[2])]  # two rows come twice
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(list(enumerate(texts)))
+    assert sum(asked[1:]) <= len(texts), asked
+
+
 def test_sharding(odd, none, docs):
     for frame in (odd, docs):
         out = sharding.shard_documents(frame).toPandas()
