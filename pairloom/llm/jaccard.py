@@ -5,8 +5,8 @@ as first pivots would put all in one region.  The pivots are the single shingles
 lies at 1 - 1/n from each shingle it has and at 1 from any other, its nearest pivot is the
 first of its own in one global order (rare words first), and a partner within the radius r
 can miss so few of them that it shares one of the document's first floor(r n) + 1.  Those are
-the regions a document is put into, its own and, as a boundary document, the next.  The members of
-large regions are put into regions once more, by the order of how many of them have a shingle: what is
+the regions a document is put into, its own and, as a boundary document, the next.  Sets that
+are in many large regions, or in a very large one, are put into regions once more, by the order of how many of them have a shingle: what is
 a member's own comes first, and one with too much of its own has no region left.  Within a
 region documents are the pivots: all are measured against them, and a pair is measured only if
 the triangle inequality over the first pivot of each round leaves it open and the two are not linked already.
@@ -40,6 +40,8 @@ PART_ROWS, PART_PAIRS = 1 << 17, 1024
 PIVOTS, WIDE = 8, 64
 #: Regions before one that its members know, so that a pair that met in them does not meet again, and shingles sent on at a time.
 EARLIER, SENT = 8, 1 << 16
+#: Large regions of a set, and members of one of them, from which the set is dealt anew with all its shingles.
+MANY, HUGE = 8, 512
 _EMPTY = 0
 #: Parities of a set's shingles over 256 buckets, in four longs.
 SIGNS = ["g0", "g1", "g2", "g3"]
@@ -391,16 +393,17 @@ def _linked_sets(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame
         met = _either(links, [F.col("x").alias("c"), F.col("y").alias("p")], [F.col("y").alias("c"), F.col("x").alias("p")])
         return met.join(ends, "p").groupBy("c").agg(F.count(F.lit(1)).alias("hits")).join(ends.withColumnRenamed("p", "c"), "c", "left_anti")
 
-    # The members of large regions that links have not joined are dealt anew.  The order by words lets the text that many near
-    # copies stem from come before their edits, so all of them meet; by the members' own shingles they meet only if both can link.
-    large = multi.filter(F.col("k") > SMALL).drop("k", "open").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    # Of the sets of large regions that links have not joined, those of many regions or a very large one are dealt anew.  The order
+    # by words lets the text that many near copies stem from come before their edits, so all of them meet; by the sets' own
+    # shingles they meet only if both can link.  Sets in few regions, which long texts share by chance, stay in those, of HUGE members at most.
+    large = multi.filter(F.col("k") > SMALL).drop("open").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
     large = packed(large)
-    split = large.groupBy("cell").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("cell")
-    far = packed(large.join(split, "cell").groupBy("c").agg(*[F.first(k).alias(k) for k in ["n", "root", *SIGNS]]))
+    split = lambda df: df.groupBy("cell").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("cell")
+    far = large.join(split(large), "cell").groupBy("c").agg(*[F.first(k).alias(k) for k in ["n", "root", *SIGNS]], F.count(F.lit(1)).alias("many"), F.max("k").alias("k"))
+    far = packed(far.filter((F.col("many") >= MANY) | (F.col("k") > HUGE)).drop("many", "k"))
     nearest = large.select("c", "p0").distinct().join(apart("p0", "d0"), ["c", "p0"]).groupBy("c").agg(F.min(F.struct("d0", "p0")).alias("q")).select("c", "q.d0", "q.p0")
     state = _dealt_anew(far, rows, sets, shingle, percent).join(nearest, "c", "left").join(hits_of(large.select(F.col("p0").alias("p")).distinct()), "c", "left")
     state = packed(state.withColumns(fresh))
-    drop(large, far)
     before = None
     for turn in itertools.count(1):
         tall = state.filter(left("n", "pos", "n")).groupBy("cell", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("cell").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("k2"))
@@ -430,10 +433,9 @@ def _linked_sets(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame
     sweep(spark)
     # Then the pairs that are apart so far and that the triangle inequality over all pivots leaves open.
     turns = [c[1:] for c in state.columns if c[0] == "d" and c[1:].isdigit() and c != "d0"]
-    split = state.groupBy("cell").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("cell")
     kept = ["c", "n", "pos", "root", *SIGNS, "p0", "d0", *[f"d{t}" for t in turns]]
     just_before = Window.partitionBy("c").orderBy("pos").rowsBetween(-EARLIER, -1)
-    open_ = packed(state.join(split, "cell").select("cell", *kept, F.collect_list("cell").over(just_before).alias("early")))
+    open_ = packed(state.join(split(state), "cell").select("cell", *kept, F.collect_list("cell").over(just_before).alias("early")))
     a, b = both_sides(open_, [*kept, "early"])
     radius = 1 - percent / 100 + 1e-9
     admitted = (F.col("cx") < F.col("cy")) & (F.col("rootx") != F.col("rooty")) & near("nx", "ny", "posx", "posy", "x", "y")
@@ -441,6 +443,14 @@ def _linked_sets(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame
     for t in turns:
         admitted &= F.coalesce(F.abs(F.col(f"d{t}x") - F.col(f"d{t}y")), F.lit(0.0)) <= radius
     pairs = a.join(b, "cell").filter(admitted).select(F.col("cx").alias("x"), F.col("cy").alias("y"))
+    # In large regions the pairs of which one at least has not been dealt anew.
+    rest = large.drop("root").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c")).join(far.select("c", F.lit(True).alias("anew")), "c", "left").withColumn("anew", F.col("anew").isNotNull())
+    mixed = rest.groupBy("cell").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("anew").alias("anew")).filter("r0 <> r1 and not anew").select("cell")
+    met_here = ["c", "n", "pos", "root", "anew", *SIGNS]
+    rest = packed(rest.join(mixed, "cell").select("cell", *met_here, F.collect_list("cell").over(just_before).alias("early")))
+    a, b = both_sides(rest, [*met_here, "early"])
+    others = (F.col("cx") < F.col("cy")) & (F.col("rootx") != F.col("rooty")) & ~(F.col("anewx") & F.col("anewy")) & near("nx", "ny", "posx", "posy", "x", "y") & ~F.arrays_overlap("earlyx", "earlyy")
+    pairs = pairs.union(a.join(b, "cell").filter(others).select(F.col("cx").alias("x"), F.col("cy").alias("y")))
     # In regions of few sets all pairs that can link and are apart so far.
     a, b = both_sides(multi.filter((F.col("k") > 2) & (F.col("k") <= SMALL)), ["c", "n", "pos", *SIGNS])  # of two sets, one is the pivot
     few = a.join(b, "cell").filter((F.col("cx") < F.col("cy")) & near("nx", "ny", "posx", "posy", "x", "y"))
@@ -450,7 +460,7 @@ def _linked_sets(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame
     pairs = pairs.union(left_over.select("x", "y")).distinct()
     last = _verify(_unmeasured(pairs, measured), rows, sets, shingle, percent)
     roots = _joined(roots, last.filter(is_link).select("x", "y"))
-    drop(before, state, open_, few, multi, last, *measured)
+    drop(before, state, open_, few, multi, large, far, rest, last, *measured)
     return members, roots, sets.select("c", "first")
 
 
