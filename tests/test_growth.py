@@ -209,3 +209,13 @@ def test_pairs_of_one_result_are_one_row(monkeypatch):
     out = H.best_matches(side, side, N.ROLE_WEIGHTS, schema)
     assert out.num_rows == 300
     assert {(i, j) for r in out.to_pylist() for i in r["owners_i"] for j in r["owners_j"] if i < j} == set(itertools.combinations(range(600), 2))
+
+
+def test_articles_are_shuffled_once_and_not_for_each_block(spark, monkeypatch):
+    monkeypatch.setattr(N, "CONTEXTS", 3)
+    rows = [("a" if k < 50 else "b", k, None, f"tekst \u00e9{k} " * (k % 5)) for k in range(51)]
+    out = N.context_with_budget(spark.createDataFrame(rows, "article string, pos int, label string, text string"), 40, least=6)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("Generate") < plan.index("Exchange")
+    got = {r.pos: r.context for r in out.collect()}
+    assert len(got) == 51 and got[50] is None and got[0].startswith("[lid 2] tekst \u00e91 \n\n[lid 3] tekst \u00e92 tekst \u00e92 \n\n") and got[49].endswith("[lid 49] tekst [...]")
