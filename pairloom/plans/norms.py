@@ -53,12 +53,16 @@ def norms_with_addressee(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EDGES = "SELECT DISTINCT least(a.l_partkey, b.l_partkey) AS i, greatest(a.l_partkey, b.l_partkey) AS j FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey"
 
 
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts that stand in following lines of an order, as citations."""
+def _following(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that stand in following lines of an order, as citations; some more than once."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     after = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("k"))
     met = lines.join(after, ["l_orderkey", "l_linenumber"]).filter("l_partkey <> k")
-    return met.select(F.least("l_partkey", "k").alias("i"), F.greatest("l_partkey", "k").alias("j")).distinct()
+    return met.select(F.least("l_partkey", "k").alias("i"), F.greatest("l_partkey", "k").alias("j"))
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _following(spark, sf_dir).distinct()
 
 
 @query(f"""WITH {_N}, p AS (SELECT norm_id, instrument, addressee, p_size = 1 AS incident, p_size = 2 AND p_type <> 'PROMO' AS risk, CASE WHEN p_size = 3 AND p_type = 'SMALL' THEN 1 WHEN p_size = 3 AND p_type = 'ECONOMY' THEN -1 END AS pole FROM n),
@@ -70,7 +74,7 @@ g AS (SELECT i, j, string_agg(DISTINCT signal, ',' ORDER BY signal) AS signals,
 r AS (SELECT g.*, CASE WHEN a.addressee = b.addressee THEN 'same_actor' WHEN (a.addressee = 'SMALL' AND b.addressee = 'ECONOMY') OR (a.addressee = 'ECONOMY' AND b.addressee = 'SMALL') THEN 'same_process' ELSE 'unrelated' END AS relation FROM g JOIN p a ON g.i = a.norm_id JOIN p b ON g.j = b.norm_id)
 SELECT i, j, relation, signals FROM r WHERE relation = 'same_actor' OR (relation = 'same_process' AND strong)""")
 def signal_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = N.signal_candidates(_norms(spark, sf_dir), ["incident", "risk"], "poles", {"cited": _edges(spark, sf_dir)}, [("SMALL", "ECONOMY")], ["poles", "risk"])
+    found = N.signal_candidates(_norms(spark, sf_dir), ["incident", "risk"], "poles", {"cited": _following(spark, sf_dir)}, [("SMALL", "ECONOMY")], ["poles", "risk"])
     return found.select("i", "j", "relation", F.array_join("signals", ",").alias("signals"))
 
 

@@ -219,3 +219,26 @@ def test_articles_are_shuffled_once_and_not_for_each_block(spark, monkeypatch):
     assert plan.rindex("Generate") < plan.index("Exchange")
     got = {r.pos: r.context for r in out.collect()}
     assert len(got) == 51 and got[50] is None and got[0].startswith("[lid 2] tekst \u00e91 \n\n[lid 3] tekst \u00e92 tekst \u00e92 \n\n") and got[49].endswith("[lid 49] tekst [...]")
+
+
+def test_pairs_of_a_family_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(N, "ALIKE", 2)
+    monkeypatch.setattr(N, "MEET", 3)
+    rng = random.Random(9)
+    rows = [(k, rng.choice(["L1", "L2", "L3", None]), rng.choice([None, [], ["a"], ["c"], ["a", "b"], ["b", None], ["a", "c"]]), rng.random() < 0.5, rng.choice([True, False, None]), rng.choice([None, ["f+"], ["f-", "g+"], ["g-", "f+", "f-"], ["f"]])) for k in range(70)]
+    norms = spark.createDataFrame(rows, "norm_id long, instrument string, actors array<string>, weak boolean, hard boolean, poles array<string>")
+    near, cited = {(rng.randrange(70), rng.randrange(70)) for _ in range(300)}, {(0, k) for k in range(70)}
+    for linked in ({}, {"near": near, "cited": cited}):
+        want = {}
+        for x, y in itertools.combinations(rows, 2):
+            a, b, apart = set(x[2] or []) - {None}, set(y[2] or []) - {None}, x[1] != y[1]
+            p, q = set(x[5] or []), set(y[5] or [])
+            on = {"hard": apart and x[4] and y[4], "poles": apart and any(f"{f}{s}" in p and f"{f}{t}" in q for f in "fg" for s, t in ("+-", "-+")), "weak": apart and x[3] and y[3], **{n: (x[0], y[0]) in l or (y[0], x[0]) in l for n, l in linked.items()}}
+            signals = sorted(n for n in on if on[n])
+            relation = "same_actor" if a & b else "same_process" if ("a" in a and "c" in b) or ("c" in a and "a" in b) else None
+            if signals and (relation == "same_actor" or (relation and {"hard", "near"} & set(signals))):
+                want[x[0], y[0]] = (relation, signals)
+        out = N.signal_candidates(norms, ["weak", "hard"], "poles", {n: spark.createDataFrame(sorted(l), "i long, j long") for n, l in linked.items()}, [("a", "c")], ["hard", "near"])
+        got = out.collect()
+        assert len(got) == len(want) and {(r.i, r.j): (r.relation, r.signals) for r in got} == want
+        assert "hashpartitioning(i#" not in out._jdf.queryExecution().executedPlan().toString()
