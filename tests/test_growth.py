@@ -4,6 +4,8 @@ import itertools
 import math
 import random
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 from pairloom.operators import blocks as B
@@ -242,3 +244,30 @@ def test_pairs_of_a_family_are_not_shuffled(spark, monkeypatch):
         got = out.collect()
         assert len(got) == len(want) and {(r.i, r.j): (r.relation, r.signals) for r in got} == want
         assert "hashpartitioning(i#" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vectors_are_not_copied_for_each_block(spark, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK", 10)
+    rng = random.Random(6)
+    rows = [(k, k % 3 if k % 7 else None, [float(rng.choice([1, 2, 4])) * x for x in rng.choice([(1.0, 0.0), (0.0, 1.0), (1.0, 1.0)])]) for k in range(60)]
+    out = P.knn_two_budgets(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>"), 2, 4)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "CartesianProduct" in plan
+    first = {tuple(v): min(k for k, _, u in rows if u == v) for _, _, v in rows}
+    dot = lambda a, b: sum(p * q for p, q in zip(a, b))
+    want = set()
+    for i, li, vi in rows:
+        for same, budget in ((True, 2), (False, 4), (None, 4)):
+            kind = lambda lj: None if None in (li, lj) else li == lj  # noqa: B023, E731
+            found = [(-round(dot(vi, vj) / math.sqrt(dot(vi, vi) * dot(vj, vj)), 9), first[tuple(vj)], j) for j, lj, vj in rows if j != i and kind(lj) is same]
+            slots = sorted({f[:2] for f in found})
+            want |= {(i, j, same, slots.index((s, h)) + 1) for s, h, j in found if slots.index((s, h)) < budget and s < 0}
+    got = [(r.i, r.j, r.same, r["rank"]) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_only_what_may_be_nearest_is_sent_on():
+    found = pd.DataFrame({"x": [1] * 40 + [2], "y": range(41), "lx": ["a"] * 41, "ly": ["a", "b"] * 20 + [None], "first_y": [k // 4 for k in range(40)] + [0], "cosine": [0.5 + 1e-11 * k for k in range(40)] + [0.1]})
+    kept = B.nearest(2, 3, "first").thin(found)
+    assert list(kept["y"]) == [0, 1, 2, 3, 4, 5, 6, 7, 9, 11, 40]
+    assert list(B.rounded(np.array([0.0000000005, 0.1234567885, -0.0000000005, float("nan")]), 9)) == [1.0, 123456789.0, -1.0, 2.0**62]
