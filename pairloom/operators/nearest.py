@@ -11,8 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DataType
+
+from .blocks import packed_pairs
 
 #: Centres: a fixed number, so that what every task holds is bounded.
 CENTRES = 64
@@ -56,24 +62,61 @@ def _clusters(v: pd.Series, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return best, angles[np.arange(len(best)), best]
 
 
-def _met(units: DataFrame, labels: DataFrame, kinds: tuple[str, str]) -> DataFrame:
-    """id, label, cosine and compared: each unit's best label in the cluster piece that its row names."""
+def _block(batch: pa.RecordBatch, row: int, name: str) -> np.ndarray:
+    """The vectors of a packed block, all of one length."""
+    v = batch.column(name)[row].values
+    flat = v.flatten().to_numpy()
+    return flat.reshape(len(v), -1)
+
 
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"id": [], "label": [], "cosine": [], "compared": []})
-        right = right.sort_values("id", kind="stable")
-        units, others = np.array(list(left["v"])), np.array(list(right["v"])).T
-        near, top = np.zeros(len(left), int), np.zeros(len(left))
-        for k in range(0, len(left), ROWS):  # so that few products stand at once
-            sims = units[k : k + ROWS] @ others
-            top[k : k + ROWS] = sims.max(axis=1)
-            # Equal but for rounding counts as equal: the least label of the nearest.
-            near[k : k + ROWS] = (np.round(sims, 12) == np.round(top[k : k + ROWS], 12)[:, None]).argmax(axis=1)
-        return pd.DataFrame({"id": left["id"].to_numpy(), "label": right["id"].to_numpy()[near], "cosine": top, "compared": len(right)})
+def _met(pairs: DataFrame, kinds: tuple[DataType, DataType]) -> DataFrame:
+    """id, label, cosine and compared: the best label of each unit of packed pairs in all the pieces that a task holds.
 
-    where = ["cluster", "piece", "block"]
-    return units.groupBy(*where).cogroup(labels.groupBy(*where)).applyInPandas(best, f"id {kinds[0]}, label {kinds[1]}, cosine double, compared long")
+    A pair has p, id, v and open (the clusters that each unit is held against) and cluster, label and w.
+    """
+    shape = T.StructType([T.StructField("id", kinds[0]), T.StructField("label", kinds[1]), T.StructField("cosine", T.DoubleType()), T.StructField("compared", T.LongType())])
+    schema = to_arrow_schema(shape)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = None, None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if state is not None:
+                some = np.flatnonzero(state["compared"])
+                for k in range(0, len(some), SENT):
+                    take = some[k : k + SENT]
+                    yield pa.RecordBatch.from_arrays([state["id"].take(pa.array(take)), pa.array(state["label"][take].tolist(), schema.field("label").type), pa.array(state["cosine"][take]), pa.array(state["compared"][take])], schema=schema)
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                p = batch.column("p")[row].as_py()
+                if p != at:
+                    yield from done()
+                    at, n = p, len(batch.column("id")[row].values)
+                    state = {"id": batch.column("id")[row].values, "v": _block(batch, row, "v"), "label": np.full(n, None, object), "less": np.full(n, np.inf), "cosine": np.zeros(n), "compared": np.zeros(n, np.int64)}
+                    open_ = batch.column("open")[row].values
+                    owner = np.repeat(np.arange(n), open_.value_lengths().to_numpy())
+                    clusters = open_.flatten().to_numpy()
+                mine = owner[clusters == batch.column("cluster")[row].as_py()]
+                if not len(mine):
+                    continue
+                names, others = np.array(batch.column("label")[row].values.to_pylist(), object), _block(batch, row, "w").T
+                for k in range(0, len(mine), ROWS):  # so that few products stand at once
+                    i = mine[k : k + ROWS]
+                    sims = state["v"][i] @ others
+                    top = sims.max(axis=1)
+                    # Equal but for rounding counts as equal: the least label of the nearest.
+                    label = names[(np.round(sims, 12) == np.round(top, 12)[:, None]).argmax(axis=1)]
+                    less, before = -np.round(top, 12), state["less"][i]
+                    better = less < before
+                    tie = np.flatnonzero(less == before)
+                    better[tie] = label[tie] < state["label"][i[tie]]
+                    for c, new in (("label", label), ("less", less), ("cosine", top)):
+                        state[c][i[better]] = new[better]
+                    state["compared"][i] += len(names)
+        yield from done()
+
+    return pairs.mapInArrow(run, shape)
 
 
 def nearest_labels(units: DataFrame, labels: DataFrame, *, id: str = "id", label: str = "label", vector: str = "vector", centres: int = CENTRES) -> DataFrame:
@@ -100,48 +143,51 @@ def nearest_labels(units: DataFrame, labels: DataFrame, *, id: str = "id", label
                 yield pd.DataFrame({"id": f["id"], "v": f["v"], "cluster": c, "angle": a})
 
     dealt = some.select("id", "v").mapInPandas(assign, f"id {kinds[1]}, v array<double>, cluster int, angle double")
-    dealt = dealt.withColumn("piece", F.lit(0))
     sizes = dealt.groupBy("cluster").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n")).collect()  # a row for each centre
     pieces = {r["cluster"]: -(-r["n"] // PIECE) for r in sizes}
     radius = np.full(len(middle), -np.inf)
     for r in sizes:
         radius[r["cluster"]] = r["radius"]
-    total = units.count()
-    blocks = max(1, -(-total // BLOCK))
     many = F.element_at(F.create_map(*[F.lit(x) for kv in pieces.items() for x in kv]), F.col("cluster"))
-    placed = dealt.withColumn("piece", F.pmod(F.xxhash64("id"), many).cast("int"))
+    number = lambda part: F.col("cluster").cast("long") * 1_000_000_000 + part
+    packed = dealt.groupBy(number(F.pmod(F.xxhash64("id"), many)).alias("q"), "cluster").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("r")).select("q", "cluster", F.col("r.id").alias("label"), F.col("r.v").alias("w"))
+    size = sum(r["n"] for r in sizes) * middle.shape[1] * 8
 
     def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
                 angles = _angle(np.array(list(f["v"])) @ middle.T)
                 angles[:, ~np.isfinite(radius)] = np.inf
-                yield pd.DataFrame({"id": f["id"], "v": f["v"], "cluster": angles.argmin(axis=1)})
+                near = angles.argmin(axis=1)
+                yield pd.DataFrame({"id": f["id"], "v": f["v"], "home": near, "open": list(near[:, None])})
 
     def others(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
                 angles = _angle(np.array(list(f["v"])) @ middle.T)
                 open_ = angles - radius <= _angle(f["cosine"].to_numpy())[:, None] + ROOM
-                open_[np.arange(len(f)), f["cluster"].to_numpy()] = False
-                i, c = np.nonzero(open_)
-                for k in range(0, len(i), SENT):  # a unit goes to up to all clusters
-                    some = slice(k, k + SENT)
-                    yield pd.DataFrame({"id": f["id"].to_numpy()[i[some]], "v": f["v"].to_numpy()[i[some]], "cluster": c[some]})
+                open_[np.arange(len(f)), f["home"].to_numpy()] = False
+                yield pd.DataFrame({"id": f["id"], "v": f["v"], "home": f["home"], "open": [np.flatnonzero(x) for x in open_]})
 
-    shape = f"id {kinds[0]}, v array<double>, cluster int"
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    shape = f"id {kinds[0]}, v array<double>, home int, open array<int>"
+    start = directions(units, id, vector).mapInPandas(first, shape)
+    counts = {r["home"]: r["count"] for r in start.groupBy("home").count().collect()}  # a row for each centre
+    if not counts:
+        return spark.createDataFrame([], f"id {kinds[0]}, label {kinds[1]}, cosine double, compared long")
+    cuts = {k: -(-n // BLOCK) for k, n in counts.items()}
 
     def compare(rows: DataFrame) -> DataFrame:
-        sent = rows.withColumn("block", block).select("*", F.explode(F.sequence(F.lit(0), many.cast("int") - 1)).alias("piece"))
-        wanted = sent.select(F.col("cluster").alias("c"), F.col("piece").alias("p"), F.col("block").alias("to")).distinct()
-        there = (F.col("cluster") == F.col("c")) & (F.col("piece") == F.col("p"))
-        return _met(sent, placed.join(wanted, there).select("id", "v", F.col("c").alias("cluster"), F.col("p").alias("piece"), F.col("to").alias("block")), kinds)
+        """Units of one nearest cluster are packed together, so that few blocks are open to a cluster that is far."""
+        parts = F.element_at(F.create_map(*[F.lit(x) for kv in cuts.items() for x in kv]), F.col("home"))
+        p = F.col("home").cast("long") * 1_000_000_000 + F.pmod(F.xxhash64("id"), parts)
+        sent = rows.filter(F.size("open") > 0).groupBy(p.alias("p")).agg(F.collect_list(F.struct("id", "v", "open")).alias("r")).select("p", F.col("r.id").alias("id"), F.col("r.v").alias("v"), F.col("r.open").alias("open"))
+        sent = sent.withColumn("opens", F.array_distinct(F.flatten("open")))  # a number for each centre at most
+        pairs = packed_pairs(sent, packed, size, sum(cuts.values())).filter(F.array_contains("opens", F.col("cluster")))
+        return _met(pairs.drop("opens", "q"), (units.schema[id].dataType, labels.schema[label].dataType))
 
     def least(found: DataFrame) -> DataFrame:
         return found.groupBy("id").agg(F.min(F.struct((-F.round("cosine", 12)).alias("less"), "label", "cosine")).alias("b"), F.sum("compared").alias("compared")).select("id", "b.label", "b.cosine", "compared")
 
-    start = directions(units, id, vector).mapInPandas(first, shape)
     near = least(compare(start))
     rest = start.join(near.select("id", "cosine"), "id").mapInPandas(others, shape)
     return least(near.unionByName(compare(rest)))

@@ -51,3 +51,16 @@ def test_fallback(spark):
     near = spark.createDataFrame([(i, 0, 0.1 * i, 1) for i in range(1, 11)], "id long, label long, cosine double, compared long")
     got = {r.id: (r.percentile, r.accepted, r.confidence) for r in N.with_fallback(near, 20.0, 0.3, 0.7).collect()}
     assert got[1] == (10.0, False, None) and got[2] == (20.0, True, 0.3) and got[6] == (60.0, True, 0.5) and got[10] == (100.0, True, 0.7)
+
+
+def test_vectors_are_not_copied_for_each_block(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 30)
+    monkeypatch.setattr(N, "PIECE", 20)
+    rng = np.random.default_rng(4)
+    units, labels = rows(rng, 150, 5, 0.4, 0), [(f"l{k:04}", v) for k, v in rows(rng, 200, 5, 0.4, 0)]
+    labels += [(f"k{k}", [3 * x for x in labels[k][1]]) for k in range(40)]
+    near = N.nearest_labels(spark.createDataFrame(units, "id long, vector array<double>"), spark.createDataFrame(labels, "label string, vector array<double>"), centres=6)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "CartesianProduct" in plan
+    got = near.collect()
+    assert {r.id: r.label for r in got} == plain(units, labels) and len(got) == 150
